@@ -24,14 +24,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return (base or "file:/tmp/checkpoints").rstrip("/")
 
 
+#: Ends a query's shuffle files with the query, rather than when the driver collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
-    Lost executors then cost only the tasks they ran: the table stays.
+    Lost executors then cost only the tasks they ran: the table stays, and the
+    shuffle files that made it go.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, quality
-from .common import documents, let
+from . import fingerprint, langid, lm, minhash, mixing, packing, pii, quality, tokens, toxicity
+from .common import documents, let, remainder
+
+#: Vocabularies are read from where they are installed, never copied here.
+WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backoff-automaton score of each text, learnt from rows whose remainder by 7 is not 2."""
+    return lm.score(documents(spark, sf_dir), lm.by_remainder(7, 2))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document in the near-duplicate graph."""
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each text: base counts and digest, and all spans."""
+    return pii.summary(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii.*")
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,4 +69,51 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_fingerprint, op6_quality)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-centroid language of each text, learnt from rows whose remainder by 3 is not 1."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held = remainder(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs, ~held)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.packed(documents(spark, sf_dir), vocabulary(WORD_VOCAB))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of every document under the repetition limit."""
+    return mixing.mix(documents(spark, sf_dir)).drop("text", "lang", "n_chars")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each text, learnt from labels whose remainder by 4 is not 2."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, labels, ~held)
+    rows = toxicity.scored(docs, model, lang="lang")
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "flagged")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    return tokens.token_files(documents(spark, sf_dir), vocabulary(BYTE_VOCAB))[0]
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lm_scoring,
+        op2_near_dedup,
+        op3_pii,
+        op4_fingerprint,
+        op5_language_id,
+        op6_quality,
+        op7_packing,
+        op8_mixing,
+        op9_toxicity,
+        op10_token_files,
+    )
+}
