@@ -29,23 +29,34 @@ from pyspark.sql import functions as F
 from .common import parts, scratch_dir
 
 END = 2
-#: Words kept by the encoder; older ones are encoded anew.
-MEMO = 150_000
+#: Words that an encoder remembers before it starts anew (about 25 bytes each).
+MEMO = 2_000_000
+#: New words that wait before they are merged into the sorted table.
+FRESH = 50_000
+#: Characters of text whose words are looked up together.
+LOOK_UP = 1 << 21
 #: White space of the pre-tokenizer's pattern (Unicode White_Space).
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Pieces that the merges never cross: a word with one leading space, or a run of white space.
-_SPACED = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_PLAIN = re.compile(f"[^{_S}]+")
+#: A whole run of Latin letters: nothing after it could still belong to it, or change it.
+_LATIN = "[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f]++(?![\\xaa\\xb5\\xba\\u0180-\\U0010ffff])"
+#: Pieces that the merges never cross: a run of letters, or what stands between two white spaces, with one
+#: leading space where that belongs to it; or a run of white space.
+_SPACED = re.compile(f" ?{_LATIN}| ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_PLAIN = re.compile(f"{_LATIN}|[^{_S}]+")
 
 
 class Encoder:
-    """A tokenizer with a memo of words.
+    """A tokenizer with a memo of words, held as sorted 64-bit hashes beside one pool of ids.
 
     ``spaced``: whether a word's leading space belongs to it (byte-level BPE);
     else white space yields no ids. Either way pre-tokenization never crosses
     the pieces, so encoding them one by one gives the ids of the whole text.
+    Words that are new are joined and encoded as one text, which is split again
+    at the ids that only a word's start (or the mark between words) can have.
     """
 
+    MARK = "~"
+
     def __init__(self, path: str, spaced: bool):
         import os
 
@@ -54,23 +65,109 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.spaced = spaced
         self.cut = (_SPACED if spaced else _PLAIN).findall
-        self.memo: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        mark = self._ids(self.MARK)
+        if spaced:
+            self.starts[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        elif len(mark) == 1:
+            self.starts[mark[0]] = True
+        self.forget()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _fresh(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the memo lacks."""
+        if self.spaced:
+            joins = [w for w in words if w[0] == " " and len(w) > 1 and w[1] not in " \t\n\r\x0b\x0c"]
+            text, skip = "".join(joins), 0
+        else:
+            joins = [w for w in words if self.MARK not in w]
+            text, skip = "".join(f"{self.MARK} {w} " for w in joins), 1
+        found: dict[str, bytes] = {}
+        if len(joins) > 1:
+            ids = np.array(self._ids(text), "<u4")
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(joins):
+                raw, ends = ids.tobytes(), np.append(at[1:], len(ids)).tolist()
+                found = {w: raw[4 * (a + skip) : 4 * b] for w, a, b in zip(joins, at.tolist(), ends)}
+        rest = [w for w in words if w not in found]
+        if rest:
+            found |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False))}
+        return [found[w] for w in words]
+
+    def _found(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool each word's ids start, and how many they are; ``keys`` are sorted."""
+        start, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for known, at, n in (self.table, self.fresh):
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[i] == keys
+                start[hit], size[hit] = at[i[hit]], n[i[hit]]
+        new = np.flatnonzero(size < 0)
+        if len(new):
+            ids = self._fresh([words[i] for i in new.tolist()])
+            size[new] = [len(x) // 4 for x in ids]
+            start[new] = self.used + np.cumsum(size[new]) - size[new]
+            self._append(np.frombuffer(b"".join(ids), "<u4"))
+            self.fresh = _merged(self.fresh, (keys[new], start[new], size[new]))
+            if len(self.fresh[0]) > FRESH:
+                self.table, self.fresh = _merged(self.table, self.fresh), _nothing()
+        return start, size
+
+    def _append(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(1 << 16, self.used // 2 + len(ids)), self.pool.dtype)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def forget(self) -> None:
+        self.table, self.fresh, self.used = _nothing(), _nothing(), 0
+        self.pool = np.zeros(1 << 16, "<u2" if len(self.starts) <= 1 << 16 else "<u4")
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, without an end id."""
+        pieces: list[str] = []
+        ends: list[int] = []
+        size = 0
         for text in texts:
-            pieces = self.cut(text or "")
-            memo = self.memo
-            try:
-                yield b"".join([memo[p] for p in pieces])
-            except KeyError:
-                new = list({p for p in pieces if p not in memo})
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = list(set(pieces))
-                memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-                yield b"".join([memo[p] for p in pieces])
+            pieces += self.cut(text or "")
+            ends.append(len(pieces))
+            size += len(text or "")
+            if size >= LOOK_UP:
+                yield from self._joined(pieces, ends)
+                pieces, ends, size = [], [], 0
+        yield from self._joined(pieces, ends)
+
+    def _joined(self, pieces: list[str], ends: list[int]) -> Iterator[bytes]:
+        if len(self.table[0]) > MEMO:
+            self.forget()
+        keys, first, at = np.unique(np.fromiter(map(hash, pieces), np.int64, len(pieces)), return_index=True, return_inverse=True)
+        start, size = self._found([pieces[i] for i in first.tolist()], keys)
+        start, size = start[at], size[at]
+        stop = np.cumsum(size)
+        ids = self.pool[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)].astype("<u4").tobytes()
+        edge = np.concatenate(([0], stop))[ends].tolist()
+        done = 0
+        for e in edge:
+            yield ids[4 * done : 4 * e]
+            done = e
+
+
+_Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _nothing() -> _Table:
+    return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+
+
+def _merged(a: _Table, b: _Table) -> _Table:
+    """Two tables of sorted, different keys as one."""
+    at = np.searchsorted(a[0], b[0])
+    return tuple(np.insert(x, at, y) for x, y in zip(a, b))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -90,14 +187,13 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri) if uri.startswith("file:") else uri if "://" in uri else f"file://{uri}")
 
 
-def write_shard(fsys, stem: str, ids: list[int | None], blobs: list[bytes], dtype: str) -> None:
-    """``blobs``: ids as ``<u4``; all three files appear whole or not at all."""
+def write_shard(fsys, stem: str, ids: list[int | None], blobs: list[bytes], dtype: str) -> int:
+    """``blobs``: ids of each document as ``dtype``; all three files appear whole or not at all. Returns the number of ids."""
     nulls = sum(i is None for i in ids)
-    arrays = [np.frombuffer(b, "<u4").astype(dtype) for b in blobs]
     offsets = np.zeros(len(blobs) + 1, "<u8")
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
+    np.cumsum([len(b) // np.dtype(dtype).itemsize for b in blobs], out=offsets[1:])
     parts_ = {
-        "bin": [a.tobytes() for a in arrays],
+        "bin": blobs,
         "idx": [offsets.tobytes()],
         "ids": [struct.pack("<Q", nulls), np.array([i or 0 for i in ids], "<i8").tobytes()],
     }
@@ -107,6 +203,7 @@ def write_shard(fsys, stem: str, ids: list[int | None], blobs: list[bytes], dtyp
             for c in chunks:
                 out.write(c)
         fsys.move(temp, f"{stem}.{ext}")
+    return int(offsets[-1])
 
 
 def read_shard(fsys, stem: str, dtype: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -134,7 +231,7 @@ def write(docs: DataFrame, vocab: str, folder: str, spaced: bool = True, wide: b
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts(docs, 8), "id", "h").sortWithinPartitions("id", "h")
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, shard = encoder(vocab, spaced), TaskContext.get().partitionId()
@@ -142,13 +239,13 @@ def write(docs: DataFrame, vocab: str, folder: str, spaced: bool = True, wide: b
         fsys.create_dir(root, recursive=True)
         end, ids, blobs = np.array([END], "<u4").tobytes(), [], []
         for b in batches:
-            ids += [None if pd.isna(i) else int(i) for i in b["id"]]
-            blobs += [np.frombuffer(x + end, "<u4").astype(dtype) for x in enc.encode(b["t"])]
+            ids += b.column("id").to_pylist()
+            blobs += [np.frombuffer(x + end, "<u4").astype(dtype).tobytes() for x in enc.encode(t.as_py() for t in b.column("t"))]
         if ids:
-            write_shard(fsys, f"{root}/{shard:08d}", ids, [x.astype("<u4").tobytes() for x in blobs], dtype)
-            yield pd.DataFrame({"shard": [shard], "n_docs": [len(ids)], "n_tokens": [sum(map(len, blobs))]})
+            n = write_shard(fsys, f"{root}/{shard:08d}", ids, blobs, dtype)
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(ids)], "n_tokens": [n]})
 
-    return rows.select("id", "t").mapInPandas(save, "shard long, n_docs long, n_tokens long")
+    return rows.select("id", "t").mapInArrow(save, "shard long, n_docs long, n_tokens long")
 
 
 def read(spark, shards: list[tuple[int, int]], folder: str, wide: bool = False) -> DataFrame:
