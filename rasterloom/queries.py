@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions import adjust as A
 from .functions import blend as B
 from .functions import color as C
 from .functions.dual import Steps, X, byte_up, call, dbl, half_up, lit, name, names
 from .operators import composite as K
+from .operators import stencil as T
 from .plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,4 +144,164 @@ stacked("composite_dirty_tiles", [L(1), L(2, "exclusion")], tiles=K.dirty_tiles(
 stacked("composite_merge_down", [L(4), L(5, "softLight", 0.7)])
 
 
+# -- neighbourhoods ----------------------------------------------------------------
+W = V.WIDTH
+PX = f"px AS MATERIALIZED ({V.PIXELS}), hh AS (SELECT max(y) + 1 AS h FROM px)"
+EVEN = lambda v: f"round_even(least(255.0::DOUBLE, greatest(0.0::DOUBLE, {v})), 0)::INT"
+CUT = lambda v: f"trunc(least(255.0::DOUBLE, greatest(0.0::DOUBLE, {v})))::INT"
+UP = lambda v: f"least(255, greatest(0, floor({v} + 0.5::DOUBLE)::INT))"
+SINGLE = lambda v: f"(({v})::FLOAT)::DOUBLE"
+
+
+def _edge_sql(v: str, n: str, mode: str = "clamp") -> str:
+    fold = lambda x, m: f"(CASE WHEN abs({x}) % (2 * ({m})) >= ({m}) THEN 2 * ({m}) - 1 - abs({x}) % (2 * ({m})) ELSE abs({x}) % (2 * ({m})) END)"
+    t = f"((({v}) % (2 * ({n})) + 2 * ({n})) % (2 * ({n})))"
+    return {
+        "clamp": f"least({n} - 1, greatest(0, {v}))",
+        "wrap": f"((({v}) % ({n}) + ({n})) % ({n}))",
+        "mirror": f"(CASE WHEN {t} >= {n} THEN 2 * ({n}) - 1 - {t} ELSE {t} END)",
+        "reflect": fold(f"({v})", n),
+        "extend": f"({fold(f'(({v}) - 1)', f'{n} - 2')} + 1)",
+    }[mode]
+
+
+def _offsets(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join(f"({i}, {dx}, {dy}, {float(k)!r}::DOUBLE)" for i, (dx, dy, k) in enumerate(rows)) + ") AS o(i, dx, dy, k)"
+
+
+def taps(src: str, rows: list[tuple], select: str, mode: str = "clamp") -> str:
+    """For each pixel p of ``src``, its neighbours s with weight k; grouped by the pixel."""
+    return (
+        f"SELECT p.x, p.y, {select} FROM {src} p CROSS JOIN hh CROSS JOIN {_offsets(rows)} "
+        f"JOIN {src} s ON s.x = {_edge_sql('p.x + o.dx', str(W), mode)} AND s.y = {_edge_sql('p.y + o.dy', 'hh.h', mode)} GROUP BY p.x, p.y"
+    )
+
+
+def _line(kernel, down: bool) -> list[tuple]:
+    r = len(kernel) // 2
+    return [(0, i - r, k) if down else (i - r, 0, k) for i, k in enumerate(kernel)]
+
+
+def two_pass(kernel, first, second, channels="rgba", src="px", out="blur") -> str:
+    """CTEs ``{out}_h`` and ``{out}``."""
+    sums = lambda f: ", ".join(f"{f(f's_{c}')} AS {c}" for c in channels)
+    pass_ = lambda src, down, f: f"SELECT x, y, {sums(f)} FROM ({taps(src, _line(kernel, down), ', '.join(f'sum(o.k * s.{c}) AS s_{c}' for c in channels))})"
+    return f"{out}_h AS MATERIALIZED ({pass_(src, False, first)}), {out} AS MATERIALIZED ({pass_(f'{out}_h', True, second)})"
+
+
+def stencil(key: str, run, ctes: str, select: str, channels: str = "rgb") -> None:
+    def query(spark, sf):
+        h = V.height(spark, sf)
+        return V.explode_scan(run(V.scan(spark, sf), W, h), ("y",), tuple(channels)).select("x", "y", *channels)
+
+    register(key, query, f"WITH {PX}{', ' + ctes if ctes else ''} {select}")
+
+
+def rgb(f, channels="rgb") -> str:
+    return ", ".join(f"{f(c)} AS {c}" for c in channels)
+
+
+_sharpen = [0, -1, 0, -1, 5, -1, 0, -1, 0]
+_grid = lambda r, k=None: [(i % (2 * r + 1) - r, i // (2 * r + 1) - r, k[i] if k else 1) for i in range((2 * r + 1) ** 2)]
+for _m in T.EDGES:
+    stencil(
+        f"stencil_convolve_{_m}",
+        lambda d, w, h, m=_m: T.convolve(d, w, h, _sharpen, 3, m),
+        "",
+        taps("px", _grid(1, _sharpen), rgb(lambda c: CUT(f"sum(o.k * s.{c})")), _m),
+    )
+stencil("stencil_gaussian_blur", lambda d, w, h: T.gaussian_blur(d, w, h, 6), two_pass(T.gaussian_kernel(6), EVEN, EVEN), "SELECT x, y, r, g, b, a FROM blur", "rgba")
+stencil("stencil_frequency_blur", lambda d, w, h: T.frequency_blur(d, w, h, 4), two_pass(T.frequency_kernel(4), SINGLE, EVEN), "SELECT x, y, r, g, b FROM blur")
+_mean = lambda v: EVEN(f"{v} / 5")
+stencil("stencil_box_blur", lambda d, w, h: T.box_blur(d, w, h, 2), two_pass([1.0] * 5, _mean, _mean, "rgb"), "SELECT x, y, r, g, b FROM blur")
+_with = lambda f: f"SELECT p.x, p.y, {rgb(f)} FROM px p JOIN blur q USING (x, y)"
+stencil(
+    "stencil_unsharp_mask",
+    lambda d, w, h: T.unsharp_mask(d, w, h, 1.2, 2, 3),
+    two_pass(T.gaussian_kernel(2), EVEN, EVEN),
+    _with(lambda c: f"CASE WHEN abs(p.{c} - q.{c}) < 3 THEN p.{c} ELSE {CUT(f'p.{c} + (p.{c} - q.{c}) * 1.2::DOUBLE')} END"),
+)
+stencil(
+    "stencil_emboss",
+    lambda d, w, h: T.emboss(d, w, h),
+    "",
+    taps("px", [(-1, -1, 1), (1, 1, -1)], rgb(lambda c: CUT(f"sum(o.k * s.{c} * 0.5::DOUBLE) * 1.5::DOUBLE + 128.0::DOUBLE"))),
+)
+_lum = "(s.r * 0.299::DOUBLE + s.g * 0.587::DOUBLE + s.b * 0.114::DOUBLE)"
+_case = lambda k: "CASE o.i " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(k)) + " END"
+SOBEL = f"sobel AS (SELECT x, y, least(255.0::DOUBLE, sqrt(gx * gx + gy * gy)) AS m FROM ({taps('px', _grid(1), f'sum({_lum} * {_case(T.SOBEL_X)}) AS gx, sum({_lum} * {_case(T.SOBEL_Y)}) AS gy')}))"
+stencil("stencil_sobel", lambda d, w, h: T.sobel_edge(d, w, h), SOBEL, f"SELECT x, y, {rgb(lambda c: EVEN('m'))} FROM sobel")
+stencil("stencil_sobel_inverted", lambda d, w, h: T.sobel_edge(d, w, h, True, 1.0), SOBEL, f"SELECT x, y, {rgb(lambda c: EVEN('255.0::DOUBLE - m'))} FROM sobel")
+stencil("stencil_median", lambda d, w, h: T.median_filter(d, w, h, 1), "", taps("px", _grid(1), rgb(lambda c: f"list_sort(list(s.{c}))[5]")))
+_post = lambda v: f"floor(floor({v} / 85.0::DOUBLE + 0.5::DOUBLE) * 85.0::DOUBLE + 0.5::DOUBLE)::INT"
+stencil(
+    "stencil_cel_shade",
+    lambda d, w, h: T.cel_shade(d, w, h),
+    SOBEL,
+    f"SELECT p.x, p.y, {rgb(lambda c: f'CASE WHEN {EVEN(chr(109))} < 60 THEN {_post(f'p.{c}')} ELSE {24 if c == 'b' else 20} END')} FROM px p JOIN sobel USING (x, y)",
+)
+_quads = [(ox + i % 3, oy + i // 3, q) for q, (ox, oy) in enumerate(((-2, -2), (0, -2), (-2, 0), (0, 0))) for i in range(9)]
+stencil(
+    "stencil_kuwahara",
+    lambda d, w, h: T.kuwahara(d, w, h, 2),
+    f"q AS (SELECT p.x, p.y, o.k AS q, {', '.join(f'avg(s.{c}) AS m{c}, sum(s.{c} * s.{c}) / 9.0::DOUBLE - (sum(s.{c}) / 9.0::DOUBLE) * (sum(s.{c}) / 9.0::DOUBLE) AS v{c}' for c in 'rgb')} "
+    f"FROM px p CROSS JOIN hh CROSS JOIN {_offsets(_quads)} JOIN px s ON s.x = {_edge_sql('p.x + o.dx', str(W))} AND s.y = {_edge_sql('p.y + o.dy', 'hh.h')} GROUP BY p.x, p.y, o.k)",
+    f"SELECT x, y, {rgb(lambda c: EVEN(f'm{c}'))} FROM q QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY vr + vg + vb, q) = 1",
+)
+_lin = lambda v: f"(CASE WHEN {v} <= 0.04045::DOUBLE THEN {v} / 12.92::DOUBLE ELSE power(({v} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END)"
+_srgb = lambda v: f"(CASE WHEN {v} >= 1 THEN 1.0::DOUBLE WHEN {v} <= 0.0031308::DOUBLE THEN {v} * 12.92::DOUBLE ELSE 1.055::DOUBLE * power({v}, {1 / 2.4!r}::DOUBLE) - 0.055::DOUBLE END)"
+stencil(
+    "stencil_bloom",
+    lambda d, w, h: T.bloom(d, w, h, 5, 0.7),
+    two_pass(T.gaussian_kernel(5), EVEN, EVEN),
+    f"SELECT x, y, {rgb(lambda c: CUT(f'{_srgb(c)} * 255.0::DOUBLE'))} FROM (SELECT p.x, p.y, {rgb(lambda c: f'least(1.0::DOUBLE, {_lin(f'(p.{c} / 255.0::DOUBLE)')} + {_lin(f'(q.{c} / 255.0::DOUBLE)')} * 0.7::DOUBLE)')} FROM px p JOIN blur q USING (x, y))",
+)
+_n = 9
+_moves = [(math.floor((t / _n * 2 - 1) * _n * 0.5 * math.cos(0.5) + 0.5), math.floor((t / _n * 2 - 1) * _n * 0.5 * math.sin(0.5) + 0.5), 1) for t in range(_n)]
+stencil("stencil_motion_blur", lambda d, w, h: T.motion_blur(d, w, h, _n, math.degrees(0.5)), "", taps("px", _moves, rgb(lambda c: EVEN(f"sum(s.{c}) / 9.0::DOUBLE"))))
+_FREQ = two_pass(T.frequency_kernel(4), SINGLE, EVEN)
+_HIGH = f"high AS (SELECT p.x, p.y, {rgb(lambda c: UP(f'(p.{c} - q.{c}) / 2.0::DOUBLE + 128.0::DOUBLE'))} FROM px p JOIN blur q USING (x, y))"
+stencil("stencil_frequency_high", lambda d, w, h: T.frequency_separate(d, w, h, 4)["high"], f"{_FREQ}, {_HIGH}", "SELECT * FROM high")
+stencil(
+    "stencil_frequency_recon",
+    lambda d, w, h: T.frequency_separate(d, w, h, 4)["recon"],
+    f"{_FREQ}, {_HIGH}",
+    f"SELECT q.x, q.y, {rgb(lambda c: f'least(255, greatest(0, q.{c} + 2 * (t.{c} - 128)))')} FROM blur q JOIN high t USING (x, y)",
+)
+stencil("stencil_smooth_tones", lambda d, w, h: T.smooth_tones(d, w, h, 4, 0.7), _FREQ, _with(lambda c: UP(f"p.{c} + (q.{c} - p.{c}) * 0.7::DOUBLE")))
+_G3 = two_pass(T.gaussian_kernel(3), EVEN, EVEN)
+_BLEM = "blem AS (SELECT p.x, p.y, (abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b) > 60)::INT AS m FROM px p JOIN blur q USING (x, y))"
+stencil("stencil_blemish_mask", lambda d, w, h: T.blemish_mask(d, w, h, 60), f"{_G3}, {_BLEM}", "SELECT x, y, m FROM blem", "m")
+stencil(
+    "stencil_masked_smooth",
+    lambda d, w, h: T.masked_smooth(d, T.blemish_mask(d, w, h, 60), w, h, 4, 0.6),
+    f"{_G3}, {_BLEM}, {two_pass(T.gaussian_kernel(4), EVEN, EVEN, out='soft')}",
+    f"SELECT p.x, p.y, {rgb(lambda c: UP(f'p.{c} + (q.{c} - p.{c}) * m * 0.6::DOUBLE'))} FROM px p JOIN soft q USING (x, y) JOIN blem USING (x, y)",
+)
+# alpha for the next two: clear where the pixel is dark
+_sil = lambda d: d.withColumn("a", F.transform("r", lambda v: F.when(v > 125, 255).otherwise(0)))
+_SIL = "sil AS MATERIALIZED (SELECT x, y, CASE WHEN r > 125 THEN 255 ELSE 0 END AS a FROM px)"
+stencil(
+    "stencil_glow",
+    lambda d, w, h: T.glow_from_alpha(_sil(d), w, h, radius=3),
+    f"{_SIL}, unit AS MATERIALIZED (SELECT x, y, {SINGLE('a / 255.0::DOUBLE')} AS a FROM sil), {two_pass(T.glow_kernel(3), SINGLE, SINGLE, 'a', 'unit', 'glow')}",
+    "SELECT x, y, CASE WHEN o > 0 THEN 255 ELSE 0 END AS r, CASE WHEN o > 0 THEN 210 ELSE 0 END AS g, 0 AS b, o AS a FROM (SELECT x, y, floor(least(1.0::DOUBLE, a * 1.4::DOUBLE) * 255.0::DOUBLE + 0.5::DOUBLE)::INT AS o FROM glow)",
+    "rgba",
+)
+
+
+def _means(src: str, out: str) -> str:
+    near = f"SELECT p.x, p.y, sum(s.s) / count(*) AS m FROM {src} p CROSS JOIN {_offsets(_grid(1))} JOIN {src} s ON s.x = p.x + o.dx AND s.y = p.y + o.dy GROUP BY p.x, p.y"
+    return f"{out} AS MATERIALIZED (SELECT x, y, {EVEN('m')} AS s FROM ({near}))"
+
+
+stencil(
+    "stencil_drop_shadow",
+    lambda d, w, h: T.drop_shadow(_sil(d), w, h, 4, 3, 4),
+    f"{_SIL}, s0 AS MATERIALIZED (SELECT d.x, d.y, coalesce(s.a, 0) AS s FROM sil d LEFT JOIN sil s ON s.x = d.x - 4 AND s.y = d.y - 3), {_means('s0', 's1')}, {_means('s1', 's2')}",
+    "SELECT x, y, 0 AS r, 0 AS g, 0 AS b, CASE WHEN sil.a > 0 THEN 0 ELSE floor(least(255.0::DOUBLE, s * 0.55::DOUBLE) + 0.5::DOUBLE)::INT END AS a FROM s2 JOIN sil USING (x, y)",
+    "rgba",
+)
+
+
 __all__ = ["QUERIES", "SQL", "byte_up", "call", "register"]
