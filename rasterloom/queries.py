@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from .functions import adjust as A
 from .functions import blend as B
 from .functions import color as C
-from .functions.dual import Steps, X, byte_up, call, dbl, half_up, lit, name, names
+from .functions import stamps as ST
+from .functions.dual import Steps, X, dbl, half_up, lit, name, names
 from .operators import composite as K
+from .operators import geometry as Y
+from .operators import history as HI
+from .operators import region as Z
+from .operators import shapes as S
 from .operators import stencil as T
+from .operators import strokes as N
 from .plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,4 +310,288 @@ stencil(
 )
 
 
-__all__ = ["QUERIES", "SQL", "byte_up", "call", "register"]
+# -- geometry and lookups -------------------------------------------------------------
+H5 = "500"
+PXH = f"px AS MATERIALIZED ({V.PIXELS}), hh AS (SELECT max(y) + 1 AS h FROM px)"
+
+
+def framed(key: str, run, sql: str | None) -> None:
+    """``run(spark, pixels, w, h)``."""
+    register(key, lambda spark, sf: run(spark, V.pixels(spark, sf), W, V.height(spark, sf)), f"WITH {PXH} {sql}" if sql else None)
+
+
+framed(
+    "geometry_pixelate",
+    lambda s, p, w, h: Y.pixelate(p, w, h, 6),
+    "SELECT p.x, p.y, s.r, s.g, s.b, s.a FROM px p CROSS JOIN hh JOIN px s ON s.x = least(63, p.x // 6 * 6 + 3) AND s.y = least(h - 1, p.y // 6 * 6 + 3)",
+)
+_ang = "((atan2(p.y - cy, p.x - cx) * 6) % (2 * pi()) + 2 * pi()) % (2 * pi())"
+framed(
+    "geometry_kaleidoscope",
+    lambda s, p, w, h: Y.kaleidoscope(p, w, h, 6),
+    f"SELECT q.x, q.y, s.r, s.g, s.b, s.a FROM (SELECT x, y, h, cx + cos(l) * d AS fx, cy + sin(l) * d AS fy FROM (SELECT x, y, h, cx, cy, d, CASE WHEN floor(ang / pi())::BIGINT % 2 = 0 THEN ang % pi() ELSE pi() - ang % pi() END / 6 AS l FROM (SELECT p.x, p.y, h, cx, cy, sqrt((p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy)) AS d, {_ang} AS ang FROM px p CROSS JOIN (SELECT h, 32.0::DOUBLE AS cx, h / 2.0::DOUBLE AS cy FROM hh)))) q "
+    "JOIN px s ON s.x = least(63, greatest(0, floor(fx + 0.5::DOUBLE)::INT)) AND s.y = least(h - 1, greatest(0, floor(fy + 0.5::DOUBLE)::INT))",
+)
+_zt = "(t / 7.0::DOUBLE * 2 - 1)"
+_zat = lambda c, mid, d, m: f"least({m} - 1, greatest(0, floor({mid} + (p.{c} - {mid}) * (1 + {_zt} * 0.05::DOUBLE) + {d!r}::DOUBLE * {_zt} * 7 * 0.5::DOUBLE + 0.5::DOUBLE)::INT))"
+framed(
+    "geometry_motion_zoom",
+    lambda s, p, w, h: Y.motion_zoom(p, w, h, 7, 30.0, 0.05),
+    f"SELECT p.x, p.y, {rgb(lambda c: f'round_even(sum(s.{c}) / 7.0::DOUBLE, 0)::INT', 'rgba')} FROM px p CROSS JOIN hh CROSS JOIN (SELECT unnest(range(7)) AS t) JOIN px s ON s.x = {_zat('x', '32.0::DOUBLE', math.cos(math.radians(30.0)), '64')} AND s.y = {_zat('y', '(h / 2.0::DOUBLE)', math.sin(math.radians(30.0)), 'h')} GROUP BY p.x, p.y",
+)
+_tgrid = "(SELECT unnest(range(40))::INT AS x) CROSS JOIN (SELECT unnest(range(70))::INT AS y)"
+framed(
+    "geometry_scale_nearest",
+    lambda s, p, w, h: Y.scale_nearest(p, w, h, 40, 70),
+    f"SELECT t.x, t.y, s.r, s.g, s.b, s.a FROM (SELECT * FROM {_tgrid}) t CROSS JOIN hh JOIN px s ON s.x = least(63, t.x * 64 // 40) AND s.y = least(h - 1, t.y * h // 70)",
+)
+framed(
+    "geometry_scale_bilinear",
+    lambda s, p, w, h: Y.scale_bilinear(p, w, h, 40, 70),
+    f"SELECT t.x, t.y, {rgb(lambda c: EVEN(f'sum(s.{c} * (CASE dy WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE dx WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END))'), 'rgba')} "
+    f"FROM (SELECT x, y, h, x * 63 / 39.0::DOUBLE AS fx, y * (h - 1) / 69.0::DOUBLE AS fy FROM {_tgrid} CROSS JOIN hh) t CROSS JOIN (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS d(dx, dy) JOIN px s ON s.x = least(63, floor(fx)::INT + dx) AND s.y = least(h - 1, floor(fy)::INT + dy) GROUP BY t.x, t.y",
+)
+framed("geometry_crop", lambda s, p, w, h: Y.crop(p, 5, 20, 30, 40), "SELECT x - 5 AS x, y - 20 AS y, r, g, b, a FROM px WHERE x >= 5 AND x < 35 AND y >= 20 AND y < 60 AND a > 0")
+framed("geometry_crop_centre", lambda s, p, w, h: Y.crop_centre(p, w, h, 20, 40), "SELECT x - 22 AS x, y - (h - 40) // 2 AS y, r, g, b, a FROM px CROSS JOIN hh WHERE x >= 22 AND x < 42 AND y >= (h - 40) // 2 AND y < (h - 40) // 2 + 40")
+register("geometry_crop_document", lambda s, sf: Y.crop_document(V.layers(s, sf), 10, 5, 40, 20), f"SELECT z, x - 10 AS x, y - 5 AS y, r, g, b, a FROM ({V.LAYERS}) WHERE x >= 10 AND x < 50 AND y >= 5 AND y < 25 AND a > 0")
+framed("geometry_move", lambda s, p, w, h: Y.move(p, 7, -3), "SELECT x + 7 AS x, y - 3 AS y, r, g, b, a FROM px")
+_m = Y.about(32, 250, 0.3, 1.2, 0.9, 4, -6)
+_i = Y.invert(_m)
+
+
+def _affine(spark, p, w, h):
+    u, v = Y.apply_to(_m, F.col("x"), F.col("y"))
+    back = Y.apply_to(_i, F.col("u"), F.col("v"))
+    k = lambda c: F.floor(c * 1000 + 0.5).cast("long")
+    return p.select("x", "y", u.alias("u"), v.alias("v")).select("x", "y", k(F.col("u")).alias("u"), k(F.col("v")).alias("v"), k(back[0]).alias("bx"), k(back[1]).alias("by"))
+
+
+_af = lambda m, x, y: (f"({x} * {m[0]!r}::DOUBLE + {y} * {m[2]!r}::DOUBLE + {m[4]!r}::DOUBLE)", f"({x} * {m[1]!r}::DOUBLE + {y} * {m[3]!r}::DOUBLE + {m[5]!r}::DOUBLE)")
+_k = lambda v: f"floor({v} * 1000 + 0.5::DOUBLE)::BIGINT"
+framed("geometry_affine", _affine, f"SELECT x, y, {_k('u')} AS u, {_k('v')} AS v, {_k(_af(_i, 'u', 'v')[0])} AS bx, {_k(_af(_i, 'u', 'v')[1])} AS by FROM (SELECT x, y, {_af(_m, 'x', 'y')[0]} AS u, {_af(_m, 'x', 'y')[1]} AS v FROM px)")
+register(
+    "lookup_palette",
+    lambda s, sf: Y.palette_lookup(V.pixels(s, sf).withColumn("r", F.col("r") % 60), V.palette(s, sf)),
+    f"SELECT p.x, p.y, coalesce(q.r, 0) AS r, coalesce(q.g, 0) AS g, coalesce(q.b, 0) AS b FROM ({V.PIXELS}) p LEFT JOIN ({V.PALETTE}) q ON q.idx = p.r % 60",
+)
+_other = lambda p: p.withColumns({"r": F.col("g"), "g": F.col("r")}).filter("x > 2")
+_PAIR = "d AS (SELECT coalesce(p.x, q.x) AS x, coalesce(p.y, q.y) AS y, abs(coalesce(p.r, 0) - coalesce(q.g, 0)) AS r, abs(coalesce(p.g, 0) - coalesce(q.r, 0)) AS g, abs(coalesce(p.b, 0) - coalesce(q.b, 0)) AS b, abs(coalesce(p.a, 0) - coalesce(q.a, 0)) AS a FROM px p LEFT JOIN (SELECT * FROM px WHERE x > 2) q ON p.x = q.x AND p.y = q.y)"
+framed("reduce_max_difference", lambda s, p, w, h: Y.max_difference(p, _other(p)), f", {_PAIR} SELECT max(greatest(r, g, b, a)) AS max_diff FROM d")
+framed(
+    "reduce_mean_absolute_error",
+    lambda s, p, w, h: Y.mean_absolute_error(p, _other(p), w, h).select(F.floor(F.col("mae") * 1000 + 0.5).cast("long").alias("mae")),
+    f", {_PAIR} SELECT floor(sum((CASE WHEN ix < n THEN r ELSE 0 END) + (CASE WHEN ix + 1 < n THEN g ELSE 0 END) + (CASE WHEN ix + 2 < n THEN b ELSE 0 END) + (CASE WHEN ix + 3 < n THEN a ELSE 0 END)) / any_value(n)::DOUBLE * 1000 + 0.5::DOUBLE)::BIGINT AS mae FROM (SELECT *, (y * 64 + x) * 4 AS ix, 64 * h * 3 AS n FROM d CROSS JOIN hh)",
+)
+framed(
+    "reduce_percent_different",
+    lambda s, p, w, h: Y.percent_different(p, _other(p), w, h).select(F.floor(F.col("percent") * 1000 + 0.5).cast("long").alias("percent")),
+    f", {_PAIR} SELECT floor(sum((r + g + b > 24)::INT) * 100.0::DOUBLE / (64 * any_value(h)) * 1000 + 0.5::DOUBLE)::BIGINT AS percent FROM d CROSS JOIN hh",
+)
+
+# -- selections -------------------------------------------------------------------------
+_RECT = (8, 30, 25, 60)
+_in = "x >= 8 AND x < 33 AND y >= 30 AND y < 90"
+framed("select_rect", lambda s, p, w, h: Z.rect_mask(p, Z.norm_rect(32, 89, 8, 30)), f"SELECT x, y FROM px WHERE {_in}")
+framed("select_rect_inverse", lambda s, p, w, h: Z.rect_mask(p, _RECT, True), f"SELECT x, y FROM px WHERE NOT ({_in})")
+framed("select_ellipse", lambda s, p, w, h: Z.ellipse_mask(p, 30.5, 100, 20, 45), "SELECT x, y FROM px WHERE ((x - 30.5::DOUBLE) / 20) * ((x - 30.5::DOUBLE) / 20) + ((y - 100) / 45.0::DOUBLE) * ((y - 100) / 45.0::DOUBLE) <= 1 AND x BETWEEN 10 AND 51 AND y BETWEEN 55 AND 145")
+_POLY = [(5.0, 10.0), (60.0, 40.5), (40.0, 120.0), (30.0, 60.0), (12.5, 110.0)]
+_edges = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(_POLY, [*_POLY[1:], _POLY[0]]))
+framed(
+    "select_polygon",
+    lambda s, p, w, h: Z.polygon_mask(s, w, h, _POLY),
+    f", e AS (SELECT x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM (VALUES {_edges}) AS v(x1, y1, x2, y2)), c AS (SELECT p.x, p.y, count(*) FILTER (WHERE cx <= p.x) AS n, count(*) FILTER (WHERE cx = p.x) AS t FROM px p JOIN (SELECT y, x1 + (y + 0.5::DOUBLE - y1) / (y2 - y1) * (x2 - x1) AS cx FROM (SELECT DISTINCT y FROM px), e WHERE (y1 <= y + 0.5::DOUBLE AND y2 > y + 0.5::DOUBLE) OR (y2 <= y + 0.5::DOUBLE AND y1 > y + 0.5::DOUBLE)) k USING (y) GROUP BY p.x, p.y) SELECT x, y FROM c WHERE n % 2 = 1 OR t > 0",
+)
+framed("select_invert", lambda s, p, w, h: Z.invert_selection(s, p.filter("r >= 120"), w, h), "SELECT x, y FROM px WHERE r < 120")
+framed("select_bounds", lambda s, p, w, h: Z.bounds(p.filter("r > 180")), "SELECT count(*) AS n, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM px WHERE r > 180")
+framed("select_is_rectangle", lambda s, p, w, h: Z.is_rectangle(Z.rect_mask(p, _RECT)), f"SELECT (count(*) = (max(x) - min(x) + 1) * (max(y) - min(y) + 1))::INT AS rectangle FROM px WHERE {_in}")
+framed("select_outline", lambda s, p, w, h: Z.outline(p.filter("r >= 115")), ", m AS (SELECT x, y FROM px WHERE r >= 115) SELECT x, y FROM m WHERE (SELECT count(*) FROM m n WHERE abs(n.x - m.x) + abs(n.y - m.y) = 1) < 4")
+framed("select_fill", lambda s, p, w, h: Z.fill(p, Z.rect_mask(p, _RECT), (1, 2, 3, 200)), f"SELECT x, y, CASE WHEN {_in} THEN 1 ELSE r END AS r, CASE WHEN {_in} THEN 2 ELSE g END AS g, CASE WHEN {_in} THEN 3 ELSE b END AS b, CASE WHEN {_in} THEN 200 ELSE a END AS a FROM px")
+framed("select_clear", lambda s, p, w, h: Z.clear(p, Z.rect_mask(p, _RECT)), f"SELECT x, y, r, g, b, a FROM px WHERE NOT ({_in})")
+_SEED = "seed AS (SELECT r AS sr, g AS sg, b AS sb FROM px WHERE x = 32 AND y = 40)"
+_near = lambda t, k: f"(r - sr) * (r - sr) + (g - sg) * (g - sg) + (b - sb) * (b - sb) <= {t * t * k}"
+_MEMBER = lambda t, k: f"{_SEED}, m AS (SELECT x, y FROM px, seed WHERE {_near(t, k)})"
+_GROW = "g AS (SELECT x, y FROM m WHERE x = 32 AND y = 40 UNION SELECT m.x, m.y FROM g JOIN m ON (m.x = g.x + 1 AND m.y = g.y) OR (m.x = g.x - 1 AND m.y = g.y) OR (m.x = g.x AND m.y = g.y + 1) OR (m.x = g.x AND m.y = g.y - 1))"
+
+
+def region(key: str, run, ctes: str, select: str) -> None:
+    register(key, lambda spark, sf: run(V.pixels(spark, sf), W, V.height(spark, sf)), f"WITH RECURSIVE {PXH}, {ctes} {select}")
+
+
+region("region_grow", lambda p, w, h: Z.region_grow(p, w, h, 32, 40, 40), f"{_MEMBER(40, 4)}, {_GROW}", "SELECT x, y FROM g")
+region("region_grow_everywhere", lambda p, w, h: Z.region_grow(p, w, h, 32, 40, 20, contiguous=False), _MEMBER(20, 4), "SELECT x, y FROM m")
+region("region_magic_wand", lambda p, w, h: Z.magic_wand(p, w, h, 32, 40, 40), f"{_MEMBER(40, 3)}, {_GROW}", "SELECT x, y FROM g")
+region("region_flood_fill", lambda p, w, h: Z.flood_fill(p, w, h, 32, 40, 40, (9, 8, 7, 255)), f"{_MEMBER(40, 4)}, {_GROW}", "SELECT px.x, px.y, CASE WHEN g.x IS NULL THEN r ELSE 9 END AS r, CASE WHEN g.x IS NULL THEN px.g ELSE 8 END AS g, CASE WHEN g.x IS NULL THEN b ELSE 7 END AS b, a FROM px LEFT JOIN g ON g.x = px.x AND g.y = px.y")
+region("region_magic_eraser", lambda p, w, h: Z.magic_eraser(p, w, h, 32, 40, 40), f"{_MEMBER(40, 4)}, {_GROW}", "SELECT px.x, px.y, r, px.g AS g, b, a FROM px ANTI JOIN g ON g.x = px.x AND g.y = px.y")
+_D = "sqrt(((r - 120) * (r - 120) + (g - 130) * (g - 130) + (b - 125) * (b - 125))::DOUBLE)"
+_MOST = 25 * math.sqrt(3)
+region(
+    "region_chroma_key",
+    lambda p, w, h: Z.chroma_key(p, w, h, (120, 130, 125), 25),
+    f"m AS (SELECT x, y FROM px WHERE {_D} < {_MOST!r}::DOUBLE), g AS (SELECT m.x, m.y FROM m, hh WHERE x = 0 OR y = 0 OR x = 63 OR y = h - 1 UNION SELECT m.x, m.y FROM g JOIN m ON (m.x = g.x + 1 AND m.y = g.y) OR (m.x = g.x - 1 AND m.y = g.y) OR (m.x = g.x AND m.y = g.y + 1) OR (m.x = g.x AND m.y = g.y - 1)), "
+    f"al AS MATERIALIZED (SELECT px.x, px.y, r, px.g AS gg, b, {SINGLE(f'CASE WHEN g.x IS NOT NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, sqrt(((r - 120) * (r - 120) + (px.g - 130) * (px.g - 130) + (b - 125) * (b - 125))::DOUBLE) / {_MOST!r}::DOUBLE) END')} AS al FROM px LEFT JOIN g ON g.x = px.x AND g.y = px.y), "
+    f"so AS (SELECT p.x, p.y, {SINGLE('sum(coalesce(s.al, p.al) * o.k) / 16.0::DOUBLE')} AS f FROM al p CROSS JOIN {_offsets(_grid(1, [1, 2, 1, 2, 4, 2, 1, 2, 1]))} LEFT JOIN al s ON s.x = p.x + o.dx AND s.y = p.y + o.dy GROUP BY p.x, p.y), "
+    "fin AS (SELECT x, y, r, gg, b, f, least(1.0::DOUBLE, (1 - f) * 0.7::DOUBLE) AS sp FROM al JOIN so USING (x, y))",
+    f"SELECT x, y, r, {EVEN('CASE WHEN sp > 0 AND gg > r AND gg > b THEN gg + ((r + b) / 2.0::DOUBLE - gg) * sp * 2 ELSE gg END')} AS g, b, floor(f * 255 + 0.5::DOUBLE)::INT AS a FROM fin",
+)
+
+# -- gradients and shapes (made from nothing: the tables only supply a session) -----------
+_STOPS = [(0.0, (10, 20, 30, 255)), (0.4, (200, 50, 90, 128)), (1.0, (0, 255, 100, 0))]
+
+
+def _stop_sql(t: str) -> str:
+    out = []
+    for k, c in enumerate("rgba"):
+        parts = [f"WHEN {t} <= {_STOPS[0][0]}::DOUBLE THEN {_STOPS[0][1][k]}"]
+        parts += [f"WHEN {t} <= {t1}::DOUBLE THEN floor(({t} - {t0}::DOUBLE) / {t1 - t0!r}::DOUBLE * {c1[k] - c0[k]} + {c0[k]} + 0.5::DOUBLE)::INT" for (t0, c0), (t1, c1) in zip(_STOPS, _STOPS[1:])]
+        out.append(f"CASE {' '.join(parts)} ELSE {_STOPS[-1][1][k]} END AS {c}")
+    return ", ".join(out)
+
+
+def _xy(x0, y0, x1, y1) -> str:
+    return f"(SELECT x::INT AS x, y::INT AS y FROM (SELECT unnest(range({x0}, {x1})) AS x), (SELECT unnest(range({y0}, {y1})) AS y))"
+
+
+def made(key: str, run, sql: str | None) -> None:
+    register(key, lambda spark, sf: run(spark), sql)
+
+
+_clamp01 = lambda t: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {t}))"
+made("shape_linear_gradient", lambda s: S.linear_gradient(s, 100, 80, 10, 5, 70, 60, _STOPS), f"SELECT * FROM (SELECT x, y, {_stop_sql('t')} FROM (SELECT x, y, {_clamp01('((x - 10) * 60 + (y - 5) * 55) / 6625.0::DOUBLE')} AS t FROM {_xy(10, 5, 71, 61)})) WHERE a > 0")
+made("shape_radial_gradient", lambda s: S.radial_gradient(s, 100, 80, 50, 40, 30, _STOPS), f"SELECT * FROM (SELECT x, y, {_stop_sql('t')} FROM (SELECT x, y, sqrt(((x - 50) * (x - 50) + (y - 40) * (y - 40))::DOUBLE) / 30.0::DOUBLE AS t FROM {_xy(20, 10, 80, 70)}) WHERE t <= 1) WHERE a > 0")
+for _a, _t in ((0, "y / 49.0::DOUBLE"), (90, "x / 89.0::DOUBLE"), (45, "(x / 89.0::DOUBLE + y / 49.0::DOUBLE) / 2")):
+    made(
+        f"shape_flat_gradient_{_a}",
+        lambda s, a=_a: S.flat_gradient(s, 90, 50, angle=a),
+        f"SELECT x, y, {', '.join(f'round_even({a}.0::DOUBLE + ({_t}) * {b - a}, 0)::INT AS {c}' for c, a, b in zip('rgb', (255, 70, 40), (255, 160, 0)))}, 255 AS a FROM {_xy(0, 0, 90, 50)}",
+    )
+_one = "1 AS r, 2 AS g, 3 AS b, 255 AS a"
+_col = (1, 2, 3, 255)
+made("shape_fill_rect", lambda s: S.fill_rect(s, 10.5, 5, 3, 20.2, _col), f"SELECT x, y, {_one} FROM {_xy(3, 5, 12, 22)}")
+made("shape_stroke_rect", lambda s: S.stroke_rect(s, 3, 5, 30, 20, _col, 2), f"SELECT x, y, {_one} FROM {_xy(3, 5, 31, 21)} WHERE x < 5 OR x > 28 OR y < 7 OR y > 18")
+_ell = lambda rx, ry: f"(((x - 40) / {rx}.0::DOUBLE) * ((x - 40) / {rx}.0::DOUBLE) + ((y - 30) / {ry}.0::DOUBLE) * ((y - 30) / {ry}.0::DOUBLE))"
+made("shape_fill_ellipse", lambda s: S.fill_ellipse(s, 40, 30, 20, 12, _col), f"SELECT x, y, {_one} FROM {_xy(20, 18, 61, 43)} WHERE {_ell(20, 12)} <= 1")
+made("shape_stroke_ellipse", lambda s: S.stroke_ellipse(s, 40, 30, 20, 12, _col, 2), f"SELECT x, y, {_one} FROM {_xy(20, 18, 61, 43)} WHERE {_ell(22, 14)} <= 1 AND {_ell(18, 10)} >= 1")
+for _n, (_x0, _y0, _x1, _y1) in {"flat": (3, 5, 40, 17), "steep": (20, 50, 9, 4), "diagonal": (0, 0, 12, 12)}.items():
+    made(
+        f"shape_line_{_n}",
+        lambda s, p=(_x0, _y0, _x1, _y1): S.draw_line(s, *p, _col, 1),
+        f"WITH RECURSIVE l AS (SELECT {_x0} AS x, {_y0} AS y, {abs(_x1 - _x0) - abs(_y1 - _y0)} AS e UNION ALL SELECT CASE WHEN 2 * e > {-abs(_y1 - _y0)} THEN x + {1 if _x0 < _x1 else -1} ELSE x END, CASE WHEN 2 * e < {abs(_x1 - _x0)} THEN y + {1 if _y0 < _y1 else -1} ELSE y END, e - CASE WHEN 2 * e > {-abs(_y1 - _y0)} THEN {abs(_y1 - _y0)} ELSE 0 END + CASE WHEN 2 * e < {abs(_x1 - _x0)} THEN {abs(_x1 - _x0)} ELSE 0 END FROM l WHERE NOT (x = {_x1} AND y = {_y1})) SELECT x, y, {_one} FROM l",
+    )
+made("shape_star", lambda s: S.draw_star(s, 100, 100, 50, 50, 40), None)
+made("shape_arrow", lambda s: S.draw_arrow(s, 120, 120, 20, 20, 80, 70), None)
+
+# -- stamps -------------------------------------------------------------------------------
+PXA = [R, G, BL, name("a")]
+_at = ST.Stamp(30.3, 60.7, 14, 0.6)
+
+
+def stamped(key: str, f) -> None:
+    steps = Steps()
+    pointwise(key, f(steps), steps)
+
+
+stamped("stamp_brush", lambda s: ST.brush(s, PXA, XX, YY, _at, (200, 30, 90, 255), 0.7))
+stamped("stamp_brush_hard", lambda s: ST.brush(s, PXA, XX, YY, ST.Stamp(30, 60, 9, 1.0), (200, 30, 90, 180)))
+stamped("stamp_brush_soft", lambda s: ST.brush(s, PXA, XX, YY, ST.Stamp(30, 60, 9, 0.0), (200, 30, 90, 255)))
+stamped("stamp_square", lambda s: ST.brush(s, PXA, XX, YY, ST.Stamp(30.3, 60.7, 20, 0.5, True), (10, 230, 90, 255)))
+stamped("stamp_pencil", lambda s: ST.pencil(s, PXA, XX, YY, _at, (0, 0, 255, 128)))
+stamped("stamp_eraser", lambda s: ST.erase(s, PXA, XX, YY, _at, 0.9))
+for _e, _r in ((0.5, "midtones"), (-0.6, "shadows"), (0.8, "highlights")):
+    stamped(f"stamp_{'dodge' if _e > 0 else 'burn'}_{_r}", lambda s, e=_e, r=_r: ST.dodge_burn(s, PXA, XX, YY, _at, e, r))
+
+
+def sourced(key: str, f) -> None:
+    """Stamps that read another pixel: the frame joined with itself at an offset; absent is clear."""
+    steps = Steps()
+    values = f(steps, PXA, [name(f"s_{c}") for c in "rgba"])
+
+    def run(spark, sf):
+        px = V.pixels(spark, sf)
+        src = px.select((F.col("x") - 9).alias("x"), (F.col("y") + 4).alias("y"), *[F.col(c).alias(f"s_{c}") for c in "rgba"])
+        joined = px.join(src, ["x", "y"], "left").withColumns({f"s_{c}": F.coalesce(f"s_{c}", F.lit(0)) for c in "rgba"})
+        return steps.spark(joined).select("x", "y", *[v.col.alias(k) for k, v in values.items()])
+
+    src = f"SELECT p.*, {', '.join(f'coalesce(s.{c}, 0) AS s_{c}' for c in 'rgba')} FROM ({V.PIXELS}) p LEFT JOIN ({V.PIXELS}) s ON s.x = p.x + 9 AND s.y = p.y - 4"
+    register(key, run, f"SELECT x, y, {', '.join(f'{v.duck} AS {k}' for k, v in values.items())} FROM ({steps.duck(src)})")
+
+
+sourced("stamp_clone", lambda s, p, q: ST.clone(s, p, q, XX, YY, _at, 0.8))
+sourced("stamp_heal", lambda s, p, q: ST.heal(s, p, q, XX, YY, _at, 0.9))
+framed("stamp_pick_colour", lambda s, p, w, h: p.filter("x = 12 AND y = 34").select("r", "g", "b", "a"), "SELECT r, g, b, a FROM px WHERE x = 12 AND y = 34")
+
+
+def _path(spark, sf):
+    return V.strokes(spark, sf).filter("k >= 0").select((F.col("seq") % 97).alias("stroke"), "seq", "x", "y")
+
+
+def _points(spark, sf):
+    p = N.stroke_points(_path(spark, sf), 2.5)
+    k = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c)
+    return p.select("stroke", "n", k("x"), k("y"))
+
+
+register(
+    "stroke_points",
+    _points,
+    f"""WITH s AS (SELECT seq % 97 AS stroke, seq, x::DOUBLE AS x, y::DOUBLE AS y FROM ({V.STROKES})),
+    g AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM s WINDOW w AS (PARTITION BY stroke ORDER BY seq)),
+    l AS (SELECT *, coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0.0::DOUBLE) AS l FROM g),
+    e AS (SELECT *, sum(l) OVER (PARTITION BY stroke ORDER BY seq ROWS UNBOUNDED PRECEDING) AS e FROM l),
+    n AS (SELECT *, unnest(range((floor((e - l) / 2.5::DOUBLE) + 1)::BIGINT, (floor((e + 1e-6::DOUBLE) / 2.5::DOUBLE) + 1)::BIGINT)) AS n FROM e WHERE l > 0),
+    p AS (SELECT stroke, n, px + (x - px) * ((n * 2.5::DOUBLE - (e - l)) / l) AS x, py + (y - py) * ((n * 2.5::DOUBLE - (e - l)) / l) AS y FROM n
+      UNION ALL SELECT stroke, 0, x, y FROM g WHERE px IS NULL)
+    SELECT stroke, n, {_k('x')} AS x, {_k('y')} AS y FROM p""",
+)
+
+
+def _stamps(spark, sf):
+    return V.strokes(spark, sf).filter("tool = 'click'").select("seq", F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), (F.col("seq") % 4 + 2).cast("double").alias("radius"), F.lit(0.7).alias("hardness"), (F.col("seq") % 256).cast("int").alias("r"), F.lit(120).alias("g"), F.lit(40).alias("b"), F.lit(255).alias("a"), F.lit(0.5).alias("alpha"))
+
+
+framed_stroke = lambda s, sf: N.apply_stamps(V.pixels(s, sf), _stamps(s, sf), W, V.height(s, sf))
+register("stroke_brush", framed_stroke)
+register("stroke_dirty_rect", lambda s, sf: N.dirty_rect(_stamps(s, sf).withColumn("stroke", F.col("seq") % 7), ("stroke",)), f"SELECT seq % 7 AS stroke, greatest(0, trunc(min(x - r))::INT) AS x, greatest(0, trunc(min(y - r))::INT) AS y, ceil(max(x + r) - min(x - r))::INT AS w, ceil(max(y + r) - min(y - r))::INT AS h FROM (SELECT seq, x::DOUBLE AS x, y::DOUBLE AS y, (seq % 4 + 2)::DOUBLE AS r FROM ({V.STROKES}) WHERE tool = 'click') GROUP BY 1")
+
+# -- history ------------------------------------------------------------------------------
+_KIND = "CASE tool WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'push' END"
+
+
+def _log(spark, sf):
+    return V.strokes(spark, sf).select(F.col("x").alias("doc"), "seq", F.expr(_KIND).alias("kind"), (F.col("y") % 8).alias("key"), F.col("k").alias("value"))
+
+
+_HIST = f"""WITH RECURSIVE lg AS (SELECT x AS doc, seq, {_KIND} AS kind, y % 8 AS key, k AS value, row_number() OVER (PARTITION BY x ORDER BY seq) AS rn FROM ({V.STROKES})),
+  f AS (SELECT DISTINCT doc, 0::BIGINT AS rn, []::BIGINT[] AS done, []::BIGINT[] AS redo FROM lg
+  UNION ALL SELECT o.doc, o.rn,
+    CASE WHEN kind = 'push' THEN list_append(done, seq)[greatest(1, len(done) - 18):] WHEN kind = 'undo' AND len(done) > 0 THEN done[:len(done) - 1] WHEN kind = 'redo' AND len(redo) > 0 THEN list_append(done, redo[len(redo)]) ELSE done END,
+    CASE WHEN kind = 'push' THEN []::BIGINT[] WHEN kind = 'undo' AND len(done) > 0 THEN list_append(redo, done[len(done)]) WHEN kind = 'redo' AND len(redo) > 0 THEN redo[:len(redo) - 1] ELSE redo END
+    FROM f JOIN lg o ON o.doc = f.doc AND o.rn = f.rn + 1),
+  last AS (SELECT doc, done, redo FROM f QUALIFY row_number() OVER (PARTITION BY doc ORDER BY rn DESC) = 1)"""
+register(
+    "history_in_force",
+    lambda s, sf: HI.in_force(_log(s, sf), 20).select("doc", F.array_join("done", ",").alias("done"), F.array_join("redo", ",").alias("redo")),
+    _HIST + " SELECT doc, array_to_string(done, ',') AS done, array_to_string(redo, ',') AS redo FROM last",
+)
+register(
+    "history_state",
+    lambda s, sf: HI.state(_log(s, sf), ("key",), "value", 20),
+    _HIST + " SELECT lg.doc, key, arg_max(value, seq) AS value FROM lg JOIN (SELECT doc, unnest(done) AS seq FROM last) d USING (doc, seq) GROUP BY lg.doc, key",
+)
+register("history_tiles", lambda s, sf: HI.allocated_tiles(V.layers(s, sf), ("z",), 16), f"SELECT z, count(*) AS tiles, count(*) * 1024 AS bytes FROM (SELECT DISTINCT z, x // 16, y // 16 FROM ({V.LAYERS}) WHERE a > 0) GROUP BY z")
+_small = f"SELECT DISTINCT z, 10 * z AS v FROM ({V.LAYERS})"
+_zs = lambda s, sf: V.layers(s, sf).select("z", (F.col("z") * 10).alias("v")).distinct()
+register("history_remove_layer", lambda s, sf: HI.remove_layer(_zs(s, sf), 3), f"SELECT CASE WHEN z > 3 THEN z - 1 ELSE z END AS z, v FROM ({_small}) WHERE z <> 3")
+register("history_reorder_layer", lambda s, sf: HI.reorder_layer(_zs(s, sf), 2, 5), f"SELECT CASE WHEN z = 2 THEN 5 WHEN z BETWEEN 2 AND 5 THEN z - 1 ELSE z END AS z, v FROM ({_small})")
+
+
+def _over_gamma(opaque: bool, k: float):
+    def run(spark, p, w, h):
+        return K.over_gamma(p, p.filter("x < 20 AND y < 30").withColumn("a", F.col("g")), 10, 5, k, opaque)
+
+    f = lambda c: f"CASE WHEN t.a IS NULL THEN p.{c} ELSE {EVEN(f't.{c} * {k}::DOUBLE * (t.a / 255.0::DOUBLE) + p.{c} * (1 - t.a / 255.0::DOUBLE)')} END"
+    a = "CASE WHEN t.a IS NULL THEN p.a ELSE 255 END" if opaque else "p.a"
+    return run, f"SELECT p.x, p.y, {rgb(f)}, {a} AS a FROM px p LEFT JOIN (SELECT x + 10 AS x, y + 5 AS y, r, g, b, g AS a FROM px WHERE x < 20 AND y < 30 AND g > 0) t ON t.x = p.x AND t.y = p.y"
+
+
+framed("composite_over_gamma", *_over_gamma(False, 1.0))
+framed("composite_over_gamma_bright", *_over_gamma(True, 1.3))
