@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import adjust as A
@@ -17,10 +18,14 @@ from .operators import composite as K
 from .operators import geometry as Y
 from .operators import history as HI
 from .operators import region as Z
+from .operators import sequential as Q
 from .operators import shapes as S
 from .operators import stencil as T
 from .operators import strokes as N
+from .plans import pipelines as P
 from .plans import views as V
+from .sources import codecs as CO
+from .sources import images as IM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -595,3 +600,93 @@ def _over_gamma(opaque: bool, k: float):
 
 framed("composite_over_gamma", *_over_gamma(False, 1.0))
 framed("composite_over_gamma_bright", *_over_gamma(True, 1.3))
+
+
+# -- codecs: what comes back is what went in --------------------------------------------
+def _round_trip(kind: str):
+    def run(spark, p, w, h):
+        files = IM.encode(p.withColumn("doc_id", F.lit(0).cast("long")), kind, w, h).select(F.lit("f").alias("path"), "content")
+        return IM.to_pixels(IM.decode(files)).drop("path")
+
+    return run
+
+
+for _kind in CO.DECODERS:
+    framed(f"codec_{_kind}", _round_trip(_kind), "SELECT x, y, r, g, b, a FROM px")
+
+
+def _sniffed(spark, p, w, h):
+    small = p.filter("x < 8 AND y < 8").withColumn("doc_id", F.lit(0).cast("long"))
+    files = [IM.encode(small, k, 8, 8).select(F.lit(k).alias("kind"), "content") for k in CO.ENCODERS]
+    out = files[0]
+    for f in files[1:]:
+        out = out.unionByName(f)
+    return out.select("kind", IM.sniff(F.col("content")).alias("format"))
+
+
+framed("codec_sniff", _sniffed, "SELECT k AS kind, k AS format FROM (VALUES " + ", ".join(f"('{k}')" for k in CO.ENCODERS) + ") AS v(k)")
+
+
+def _bytes(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _packed(shortest: int):
+    def query(spark, sf):
+        def run(text: pd.Series) -> pd.Series:
+            raw = [t.encode() for t in text]
+            return pd.Series([len(b) if CO.unpack_bits(CO.pack_bits(b, shortest)) == b else -1 for b in raw])
+
+        return _bytes(spark, sf).select("doc_id", F.pandas_udf(run, "long")("text").alias("n_bytes"))
+
+    return query
+
+
+for _n in (2, 3):
+    register(f"codec_pack_bits_{_n}", _packed(_n), "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents")
+register("codec_crc32", lambda s, sf: _bytes(s, sf).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")))
+_row = Window.partitionBy("y").orderBy("x")
+_delta = lambda p: p.select("x", "y", F.pmod(F.col("r") - F.coalesce(F.lag("r").over(_row), F.lit(0)), F.lit(256)).cast("int").alias("d"))
+framed("codec_delta", lambda s, p, w, h: _delta(p), "SELECT x, y, ((r - coalesce(lag(r) OVER (PARTITION BY y ORDER BY x), 0)) % 256 + 256) % 256 AS d FROM px")
+framed("codec_undelta", lambda s, p, w, h: _delta(p).select("x", "y", F.pmod(F.sum("d").over(_row.rowsBetween(Window.unboundedPreceding, 0)), F.lit(256)).cast("int").alias("r")), "SELECT x, y, r FROM px")
+
+# -- one frame at a time ------------------------------------------------------------------
+_framed = lambda p: p.withColumn("doc_id", F.lit(0).cast("long"))
+framed("frame_dither", lambda s, p, w, h: Q.dither(_framed(p), w, h), None)
+framed("frame_rain", lambda s, p, w, h: Q.rain(_framed(p), w, h), None)
+framed("frame_grain", lambda s, p, w, h: Q.grain(_framed(p), w, h), None)
+framed("frame_inpaint", lambda s, p, w, h: Q.inpaint(_framed(p), _framed(p.filter("r > 200")).select("doc_id", "x", "y"), w, h), None)
+
+
+def _tool(spark, p, w, h):
+    todo = spark.createDataFrame([(0, k, t, 20.0 + 4 * k, 60.0, 9.0, 0.5, 0.6, 3, -2) for k, t in enumerate(("blur", "sharpen", "smudge"))], "doc_id long, seq long, tool string, cx double, cy double, radius double, hardness double, strength double, pull_x int, pull_y int")
+    return N.apply_sequential(_framed(p), todo, w, h)
+
+
+framed("frame_blur_sharpen_smudge", _tool, None)
+
+# -- pipelines ------------------------------------------------------------------------------
+register("pipeline_demo", lambda s, sf: V.explode_scan(P.demo(s)))
+framed("pipeline_thumbnail", lambda s, p, w, h: P.thumbnail(p, w, h, 32, 24), None)
+register("pipeline_retouch", lambda s, sf: V.explode_scan(P.retouch(V.scan(s, sf), W, V.height(s, sf))))
+register("pipeline_flagship", lambda s, sf: flagship(s, sf))
+framed(
+    "pipeline_layer_split",
+    lambda s, p, w, h: P.layer_split(p, p.select("x", "y", A.colour_class(R, G, BL, YY).col.alias("class"))).groupBy("class").agg(F.count("*").alias("n"), F.sum("r").alias("r")),
+    f"SELECT class, count(*) AS n, sum(r)::BIGINT AS r FROM (SELECT r, {A.colour_class(R, G, BL, YY).duck} AS class FROM px) GROUP BY class",
+)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = V.layers(spark, sf_dir)
+    rows = int(px.agg(F.max("y")).first()[0]) + 1
+    return V.explode_scan(P.flagship(px, 128, rows))
+
+
+_FLAT = K.flatten_sql(V.LAYERS, [L(1), L(2, "multiply", 0.5), L(3, "screen", 0.8), L(4, "overlay")])
+SQL["pipeline_flagship"] = (
+    f"WITH ly AS ({V.LAYERS}), hh AS (SELECT max(y) + 1 AS h FROM ly), fl AS MATERIALIZED ({_FLAT}), "
+    "px AS MATERIALIZED (SELECT t.x, t.y, coalesce(f.r, 0) AS r, coalesce(f.g, 0) AS g, coalesce(f.b, 0) AS b, coalesce(f.a, 0) AS a FROM (SELECT unnest(range(128))::INT AS x, y FROM (SELECT unnest(range((SELECT h FROM hh)))::INT AS y)) t LEFT JOIN fl f ON f.x = t.x AND f.y = t.y), "
+    + two_pass([1.0] * 5, _mean, _mean, "rgb").replace("least(64 - 1", "least(128 - 1")
+    + " SELECT x, y, blur.r AS r, blur.g AS g, blur.b AS b, px.a AS a FROM blur JOIN px USING (x, y)"
+)
