@@ -88,14 +88,14 @@ def fold(stack: list[Layer]) -> Steps:
         s.let(**{f"{t}_sa": when((X(f"{p.spark} IS NULL"), 0), other=byte(0))})
         sa = name(f"{t}_sa")
         if layer.clip:
-            sa = _step(s, f"{t}_sb", when((ba <= 0.0, 0), other=half_up(dbl(sa) * ba)))
+            sa = _step(s, f"{t}_clip", when((ba <= 0.0, 0), other=half_up(dbl(sa) * ba)))
         if layer.masked:
             m = name(f"coalesce(m{layer.z}, 0)")
-            sa = _step(s, f"{t}_sc", half_up(dbl(sa) / 255.0 * (dbl(m) / 255.0) * 255.0))
+            sa = _step(s, f"{t}_mask", half_up(dbl(sa) / 255.0 * (dbl(m) / 255.0) * 255.0))
         if layer.vector_masked:
-            sa = _step(s, f"{t}_sd", when((name(f"coalesce(v{layer.z}, 0)") > 0, sa), other=0))
+            sa = _step(s, f"{t}_vec", when((name(f"coalesce(v{layer.z}, 0)") > 0, sa), other=0))
         if opacity < 1:
-            sa = _step(s, f"{t}_se", half_up(dbl(sa) * opacity))
+            sa = _step(s, f"{t}_op", half_up(dbl(sa) * opacity))
         s.let(**{f"{t}_s{k}": when((sa > 0, from_byte(byte(b), single=True)), other=0.0) for k, b in zip("rgb", (24, 16, 8))})
         B.over(s, layer.mode, back, ba, [name(f"{t}_s{k}") for k in "rgb"], dbl(sa) / 255.0, f"{t}o")
         _rename(s, t)

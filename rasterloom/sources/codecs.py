@@ -499,6 +499,8 @@ def psd_decode(data: bytes) -> Image:
     elif how == 1:
         counts = struct.unpack(f">{n * h}H", body[2 : 2 + 2 * n * h])
         at, rows = 2 + 2 * n * h, []
+        if at + sum(counts) > len(body):
+            raise FormatError("image data is short")
         for c in counts:
             rows.append(unpack_bits(body[at : at + c], w).ljust(w, b"\0"))
             at += c
