@@ -645,10 +645,10 @@ def _packed(shortest: int):
 for _n in (2, 3):
     register(f"codec_pack_bits_{_n}", _packed(_n), "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents")
 register("codec_crc32", lambda s, sf: _bytes(s, sf).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")))
-_row = Window.partitionBy("y").orderBy("x")
-_delta = lambda p: p.select("x", "y", F.pmod(F.col("r") - F.coalesce(F.lag("r").over(_row), F.lit(0)), F.lit(256)).cast("int").alias("d"))
+_row = lambda: Window.partitionBy("y").orderBy("x")
+_delta = lambda p: p.select("x", "y", F.pmod(F.col("r") - F.coalesce(F.lag("r").over(_row()), F.lit(0)), F.lit(256)).cast("int").alias("d"))
 framed("codec_delta", lambda s, p, w, h: _delta(p), "SELECT x, y, ((r - coalesce(lag(r) OVER (PARTITION BY y ORDER BY x), 0)) % 256 + 256) % 256 AS d FROM px")
-framed("codec_undelta", lambda s, p, w, h: _delta(p).select("x", "y", F.pmod(F.sum("d").over(_row.rowsBetween(Window.unboundedPreceding, 0)), F.lit(256)).cast("int").alias("r")), "SELECT x, y, r FROM px")
+framed("codec_undelta", lambda s, p, w, h: _delta(p).select("x", "y", F.pmod(F.sum("d").over(_row().rowsBetween(Window.unboundedPreceding, 0)), F.lit(256)).cast("int").alias("r")), "SELECT x, y, r FROM px")
 
 # -- one frame at a time ------------------------------------------------------------------
 _framed = lambda p: p.withColumn("doc_id", F.lit(0).cast("long"))
