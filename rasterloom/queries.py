@@ -22,6 +22,7 @@ from .operators import sequential as Q
 from .operators import shapes as S
 from .operators import stencil as T
 from .operators import strokes as N
+from .operators import text as TX
 from .plans import pipelines as P
 from .plans import views as V
 from .sources import codecs as CO
@@ -615,6 +616,9 @@ for _kind in CO.DECODERS:
     framed(f"codec_{_kind}", _round_trip(_kind), "SELECT x, y, r, g, b, a FROM px")
 
 
+framed("codec_jpeg", _round_trip("jpeg"), None)
+
+
 def _sniffed(spark, p, w, h):
     small = p.filter("x < 8 AND y < 8").withColumn("doc_id", F.lit(0).cast("long"))
     files = [IM.encode(small, k, 8, 8).select(F.lit(k).alias("kind"), "content") for k in CO.ENCODERS]
@@ -650,6 +654,15 @@ _delta = lambda p: p.select("x", "y", F.pmod(F.col("r") - F.coalesce(F.lag("r").
 framed("codec_delta", lambda s, p, w, h: _delta(p), "SELECT x, y, ((r - coalesce(lag(r) OVER (PARTITION BY y ORDER BY x), 0)) % 256 + 256) % 256 AS d FROM px")
 framed("codec_undelta", lambda s, p, w, h: _delta(p).select("x", "y", F.pmod(F.sum("d").over(_row().rowsBetween(Window.unboundedPreceding, 0)), F.lit(256)).cast("int").alias("r")), "SELECT x, y, r FROM px")
 
+# -- text ---------------------------------------------------------------------------------
+register("text_lines", lambda s, sf: _bytes(s, sf).select("doc_id", F.posexplode(TX.layout_lines(F.col("text"), F.lit(300.0), F.lit(6.0))).alias("n", "line")))
+register(
+    "text_spec",
+    lambda s, sf: TX.clamp_spec(V.strokes(s, sf).select("seq", F.col("y").cast("double").alias("size"), (F.col("x") / 10.0).alias("line_height"), (F.col("k") * 100.0).alias("stroke_width"), F.lit(0.0).alias("letter_spacing"), F.col("tool").alias("align")))
+    .select("seq", F.floor(F.col("size")).cast("int").alias("size"), F.floor(F.col("line_height") * 100 + 0.5).cast("int").alias("line_height"), F.floor("stroke_width").cast("int").alias("stroke_width"), "align"),
+    f"SELECT seq, floor(least(4000, greatest(4, CASE WHEN y = 0 THEN 64 ELSE y END)))::INT AS size, floor(least(4.0::DOUBLE, greatest(0.5::DOUBLE, CASE WHEN x = 0 THEN 1.25::DOUBLE ELSE x / 10.0::DOUBLE END)) * 100 + 0.5::DOUBLE)::INT AS line_height, floor(least(200, greatest(0, k * 100)))::INT AS stroke_width, 'left' AS align FROM ({V.STROKES})",
+)
+
 # -- one frame at a time ------------------------------------------------------------------
 _framed = lambda p: p.withColumn("doc_id", F.lit(0).cast("long"))
 framed("frame_dither", lambda s, p, w, h: Q.dither(_framed(p), w, h), None)

@@ -600,16 +600,22 @@ ENCODERS = {"png": png_encode, "bmp": bmp_encode, "qoi": qoi_encode, "tiff": tif
 
 
 def decode(data: bytes) -> Image:
+    from . import jpeg
+
     kind = sniff(data)
-    if kind not in DECODERS:
+    known = DECODERS | {"jpeg": jpeg.decode}
+    if kind not in known:
         raise FormatError(f"no decoder for {kind or 'unknown data'}")
     try:
-        return DECODERS[kind](data)
+        return known[kind](data)
     except (struct.error, IndexError, KeyError, ValueError, zlib.error) as e:
         raise e if isinstance(e, FormatError) else FormatError(f"damaged {kind}: {e}") from e
 
 
 def encode(kind: str, w: int, h: int, rgba: bytes) -> bytes:
-    if kind not in ENCODERS:
+    from . import jpeg
+
+    known = ENCODERS | {"jpeg": jpeg.encode}
+    if kind not in known:
         raise FormatError(f"no encoder for {kind}")
-    return ENCODERS[kind](w, h, rgba)
+    return known[kind](w, h, rgba)

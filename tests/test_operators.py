@@ -147,3 +147,33 @@ def test_bands_do_not_show(spark, h):
 def test_kernels():
     for k in (T.gaussian_kernel(4), T.frequency_kernel(4), T.glow_kernel(4)):
         assert abs(sum(k) - 1) < 1e-6 and k == k[::-1]
+
+
+def lines(text, width):
+    """The rule in plain Python, one unit a character."""
+    import re
+
+    out = []
+    for p in (text or "").split("\n"):
+        if width <= 0:
+            out.append(p)
+            continue
+        cur = ""
+        for t in re.split(r"(\s+)", p):
+            if len(cur + t) > width and cur.strip():
+                out.append(re.sub(r"\s+$", "", cur))
+                cur = re.sub(r"^\s+", "", t)
+            else:
+                cur += t
+        out.append(cur)
+    return out
+
+
+def test_layout_lines(spark):
+    from rasterloom.operators import text as X
+
+    texts = ["the quick  brown fox\njumps over", "", None, "   lead and trail   ", "averyveryverylongword next", "a b c d e f g h i j k", "\n\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for width in (0, 7, 12):
+        got = {r["i"]: r["l"] for r in df.select("i", X.layout_lines(F.col("t"), F.lit(float(width)), F.lit(1.0)).alias("l")).collect()}
+        assert [got[i] for i in range(len(texts))] == [lines(t, width) for t in texts]

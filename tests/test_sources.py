@@ -149,3 +149,18 @@ def test_flat_document(tmp_path):
     for packed in (False, True):
         data = C.psd_encode(5, 3, rgba, packed)
         assert C.decode(data) == (5, 3, rgba) and not C.psd_has_layers(data)
+
+
+@pytest.mark.parametrize("size", [(64, 48), (17, 9), (1, 1)])
+def test_jpeg(size):
+    w, h = size
+    x, y = np.meshgrid(np.arange(w), np.arange(h))
+    a = np.stack(((7 * x) // 4 % 256, (11 * y) // 4 % 256, (x + y) * 2 % 256, np.full_like(x, 255)), axis=2).astype(np.uint8)
+    data = C.encode("jpeg", w, h, a.tobytes())
+    assert C.sniff(data) == "jpeg"
+    got = np.frombuffer(C.decode(data)[2], np.uint8).reshape(h, w, 4)
+    assert np.abs(got.astype(int) - a)[:, :, :3].mean() < 10
+    with pytest.raises(C.FormatError):
+        C.decode(data[: len(data) // 2])
+    with pytest.raises(C.FormatError):
+        C.decode(data.replace(b"\xff\xc0", b"\xff\xc2", 1))
