@@ -134,6 +134,15 @@ def _local(per: list[list[np.ndarray]], train: np.ndarray, order: int) -> list[t
     return out
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane: the high planes are nearly all 0."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(owner, from, to): keys with equal leading bits have one owner."""
     owner = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -156,12 +165,12 @@ def score(docs: DataFrame, train_if, order: int = ORDER, strength: float = STREN
         per, _ = _grams(pdf, order)
         p, out = int(pdf["p"].iloc[0]), []
         for k, (keys, counts) in enumerate(_local(per, pdf["train"].to_numpy(np.float64), order)):
-            out += [(k, q, p, keys[a:b].tobytes(), counts[a:b].tobytes()) for q, a, b in _slices(keys, bits)]
+            out += [(k, q, p, _packed(keys[a:b]), counts[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()) for q, a, b in _slices(keys, bits)]
         return pd.DataFrame(out, columns=["k", "q", "p", "keys", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in pdf["keys"]]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]])
+        keys = [_unpacked(x) for x in pdf["keys"]]
+        counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in pdf["counts"]])
         known, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, counts, len(known)).astype(np.int64)
         k, q, row, out = int(pdf["k"].iloc[0]), int(pdf["q"].iloc[0]), 0, []
