@@ -20,7 +20,8 @@ def vocabulary(name: str) -> str:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backoff-automaton score of each text, learnt from rows whose remainder by 7 is not 2."""
-    return lm.score(documents(spark, sf_dir), lm.by_remainder(7, 2))
+    rows = lm.score(documents(spark, sf_dir), lm.by_remainder(7, 2))
+    return rows.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
