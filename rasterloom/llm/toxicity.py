@@ -3,8 +3,9 @@
 Words (runs of letters, lower case) are hashed into an embedding table; filters
 of widths 1 to 3 slide over the whole text, each keeps its highest response, and
 a logistic layer turns these into a score. Words that fewer than ``MIN_DOCS``
-training texts hold share one silent embedding, so rare words can't be learnt by
-heart. A held-back part of the training rows calibrates the score (Platt) and
+training texts (or one text in ``RARE``) hold share one silent embedding, so rare
+words can't be learnt by heart. The first dimension starts at a word's log-odds
+between the labels, where these are significant; the others start at random. A held-back part of the training rows calibrates the score (Platt) and
 picks, for each language, the threshold with the best F1.
 
 Fitting uses a bounded sample of labelled rows: at most about ``MAX_ROWS`` of
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 MAX_ROWS, MAX_WORDS = 4_000, 6_000_000
-MIN_DOCS = 4
-EPOCHS, BATCH, RATE, DECAY = 8, 16, 0.01, 1e-4
+MIN_DOCS, RARE = 4, 250
+#: Standard errors from which a word's log-odds count at the start.
+SIGNIFICANT = 2.5
+EPOCHS, BATCH, RATE, DECAY = 10, 16, 0.01, 1e-4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -94,12 +97,27 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _start(row: np.ndarray, n: int, seed: int) -> Model:
+def _start(row: np.ndarray, n: int, seed: int, odds: np.ndarray | None = None) -> Model:
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.3, (n, DIM))
+    table = rng.normal(0, 0.1, (n, DIM))
+    if odds is not None:
+        table[1:, 0] = odds / 2
     table[0] = 0
-    filters = [rng.normal(0, (2 / (w * DIM)) ** 0.5, (w, DIM, FILTERS)) for w in WIDTHS]
-    return Model(row, table, filters, np.zeros((len(WIDTHS), FILTERS)), rng.normal(0, 0.1, len(WIDTHS) * FILTERS), 0.0)
+    filters = [rng.normal(0, (1 / (w * DIM)) ** 0.5, (w, DIM, FILTERS)) for w in WIDTHS]
+    for f in filters:
+        f[:, 0, :] = np.abs(f[:, 0, :]) + 0.3
+    return Model(row, table, filters, np.zeros((len(WIDTHS), FILTERS)), rng.normal(0.1, 0.05, len(WIDTHS) * FILTERS), 0.0)
+
+
+def log_odds(texts: list[np.ndarray], labels: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of each known bucket, between texts of label 1 and 0, within 3; 0 where not significant."""
+    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for t, y in zip(texts, labels):
+        (pos if y else neg)[np.unique(t)] += 1
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    p, q = pos[known] + 0.5, neg[known] + 0.5
+    odds = np.log(p / (n1 + 1)) - np.log(q / (n0 + 1))
+    return np.where(np.abs(odds) > SIGNIFICANT * np.sqrt(1 / p + 1 / q), np.clip(odds, -3, 3), 0)
 
 
 def fit_rows(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], seed: int = 3) -> Model:
@@ -108,13 +126,14 @@ def fit_rows(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None
     for t in texts:
         df[np.unique(t)] += 1
     row = np.zeros(BUCKETS, np.int64)
-    known = np.flatnonzero(df >= MIN_DOCS)
+    known = np.flatnonzero(df >= max(MIN_DOCS, len(texts) / RARE))
     row[known] = np.arange(1, len(known) + 1)
-    model = _start(row, len(known) + 1, seed)
+    held = np.arange(len(texts)) % 5 == 4
+    own = [t for t, h in zip(texts, held) if not h]
+    model = _start(row, len(known) + 1, seed, log_odds(own, labels[~held], known) if own else None)
     if len(set(labels.tolist())) < 2:
         model.constant = float(labels.mean()) if len(labels) else 0.0
         return model
-    held = np.arange(len(texts)) % 5 == 4
     seqs = [row[t] for t in texts]
     train = np.flatnonzero(~held)
     params = [model.table, *model.filters, model.bias, model.out]
