@@ -2,22 +2,27 @@
 
 A document is the set of its distinct five-word shingles (the whole sequence
 where it has fewer words). Equal sets are folded first: one class for each set,
-so exact copies cost one row however many there are. For each class 240
-universal hash minima are taken; 48 bands of five propose partners. A proposal is
+so exact copies cost one row however many there are. For each class 320
+universal hash minima are taken; 64 bands of five propose partners. A proposal is
 held against the signatures, and what may reach the threshold is confirmed on
 the full sets: 100 * intersection >= 75 * union. Components come from
 alternating large-star and small-star steps.
 
-No bucket is expanded into all its pairs. First each class is tried against the
-least member of its buckets; most groups are one component after that, and a
-bucket whose members already are one component needs nothing more. Members of
-other buckets are then tried against ``HUBS`` of the bucket at a time, round
-after round, until every two members that are in different components have been
-tried: work is linear in the bucket for each round, and nothing is capped.
-
-A pair at similarity 0.75 escapes all bands with probability
-(1 - 0.75^5)^48 = 2e-6; the signature filter discards a pair that passes with
-probability under 1e-6.
+Buckets are not expanded into all their pairs. Each class is first held against
+the least member (the hub) of its buckets, by signature alone and loosely
+(``LOOSE``); this gathers classes into families. A class that shares a bucket with
+a hub of another family is that family's guest, so any two members of a bucket
+meet in the family of its hub. There the full sets decide: members and guests
+meet in blocks of bounded size, a block compares as many of them with all others
+as are needed until one component is left besides those that have been compared,
+and returns a spanning set of links. A family of several blocks shares its least
+members between them; what then stands outside its largest component is compared
+with every block. So the members of a hot group are sent once, its stragglers
+once for each block, and no link between two components is missed. Nothing is
+capped.
+
+A pair at similarity 0.75 agrees in no band with probability
+(1 - 0.75^5)^64 = 3e-8; every pair that agrees in one is decided on full sets.
 
 Cases: null or blank text has an empty set, is linked with nothing and kept; null
 ids are returned with a null component and kept; repeated rows with one id are
@@ -39,14 +44,14 @@ from .common import materialize
 from .text import mix, sequences, word_hashes
 
 SHINGLE = 5
-ROWS, BANDS = 5, 48
+ROWS, BANDS = 5, 64
 HASHES = ROWS * BANDS
 #: Similarity as a fraction of whole numbers: NUM / DEN.
 NUM, DEN = 75, 100
-#: A pair whose signatures agree in less than this share is not looked at further (5 sigma under 0.75).
-ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / HASHES) ** 0.5
-#: Members of an open bucket that are tried against the others in one round.
-HUBS = 16
+#: Signatures that agree this much put two classes into one family.
+LOOSE = 0.45
+#: Shingles that one block of a family holds; members that all its blocks share.
+CELLS, PIVOTS = 1_000_000, 32
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, np.uint32)
@@ -135,7 +140,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, for nodes of ``edges`` (u, v)."""
+    """(node, component): the least node reachable, for nodes of ``edges`` (u, v); least nodes themselves are not listed."""
     e = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = None
     while True:
@@ -149,106 +154,188 @@ def components(edges: DataFrame) -> DataFrame:
 # -- candidates ---------------------------------------------------------------
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and signatures leave the threshold possible."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
+def _alike(pairs: DataFrame, classes: DataFrame, least: float = LOOSE) -> DataFrame:
+    """Pairs (a, b) whose signatures agree in the share ``least``."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
                 one = np.frombuffer(b"".join(x["sig_a"]), np.uint8).reshape(len(x), HASHES)
                 two = np.frombuffer(b"".join(x["sig_b"]), np.uint8).reshape(len(x), HASHES)
-                yield x.loc[(one == two).mean(axis=1) >= ESTIMATE, ["a", "b"]]
+                yield x.loc[(one == two).mean(axis=1) >= least, ["a", "b"]]
 
     return rows.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) that are linked on their full sets."""
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
-    sets = lambda x: classes.select(F.col("rep").alias(x), F.col("set").alias(f"s_{x}"))
-    rows = pairs.join(sets("a"), "a").join(sets("b"), "b").join(side("a"), "a").join(side("b"), "b")
+class _Union:
+    def __init__(self, labels: list[int]):
+        first: dict[int, int] = {}
+        self.root = np.array([first.setdefault(c, i) for i, c in enumerate(labels)])
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.root[self.root]
+            if (up == self.root).all():
+                return up
+            self.root = up
+
+
+def spanning(sets: list[np.ndarray], labels: list[int], todo: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join everything which is linked on the full sets, given what ``labels`` already join.
+
+    A member compared with all others needs no second look. Without ``todo``,
+    members are taken until those left all belong to one component; with it,
+    those marked are taken.
+    """
+    size = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    mark = np.zeros(codes.max() + 1, np.int32)
+    union, out, done = _Union(labels), [], np.zeros(len(sets), bool)
+    queue = np.flatnonzero(todo).tolist() if todo is not None else None
+    while True:
+        if queue is not None:
+            if not queue:
+                return out
+            i = queue.pop()
+        else:
+            roots = union.roots()
+            main = np.bincount(roots).argmax()
+            left = np.flatnonzero(~done & (roots != main)) if done.any() else np.arange(len(sets))
+            if not len(left):
+                return out
+            i = int(left[0])
+        done[i] = True
+        own = codes[start[i] : start[i] + size[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[codes], start)
+        mark[own] = 0
+        for j in np.flatnonzero(DEN * both >= NUM * (size + size[i] - both)).tolist():
+            x, y = union.find(i), union.find(j)
+            if x != y:
+                union.root[max(x, y)] = min(x, y)
+                out.append((i, j))
+
+
+def _linked_in_groups(rows: DataFrame, n: int) -> DataFrame:
+    """Links (u, v) found in each group (f, i, r) of rows (f, i, r, rep, c, todo, set, text); groups are streamed one by one."""
+
+    def solve(group: list[tuple]) -> tuple[list[int], list[int]]:
+        members: dict[int, tuple] = {}
+        for rep, c, todo, digest_, text in group:
+            found = shingles(text)
+            if len(found) and digest(found) == digest_:
+                old = members.get(rep)
+                members[rep] = (found, c, todo or bool(old and old[2]))
+        reps = sorted(members)
+        if len(reps) < 2:
+            return [], []
+        marks = [members[r][2] for r in reps]
+        links = spanning([members[r][0] for r in reps], [members[r][1] for r in reps], marks if any(marks) else None)
+        return [reps[i] for i, _ in links], [reps[j] for _, j in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            us, vs, cache = [], [], {}
-            for a, b, ta, tb, sa, sb in zip(*[x.column(c) for c in ("a", "b", "t_a", "t_b", "s_a", "s_b")]):
-                a, b = a.as_py(), b.as_py()
-                if b not in cache:
-                    cache = {b: shingles(tb.as_py())}
-                one, two = shingles(ta.as_py()), cache[b]
-                # an id may have several texts: only the one that made the set counts
-                if digest(one) == sa.as_py() and digest(two) == sb.as_py() and linked(one, two):
-                    us.append(a)
-                    vs.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        key, group = None, []
+        us: list[int] = []
+        vs: list[int] = []
+
+        def flush():
+            u, v = solve(group)
+            us.extend(u)
+            vs.extend(v)
 
-    return rows.select("a", "b", "t_a", "t_b", "s_a", "s_b").mapInArrow(run, "u long, v long")
+        for b in batches:
+            f, i, r, *rest = [b.column(c) for c in ("f", "i", "r", "rep", "c", "todo", "set", "text")]
+            for k, x in enumerate(zip(f.to_pylist(), i.to_pylist(), r.to_pylist())):
+                if x != key:
+                    if group:
+                        flush()
+                    key, group = x, []
+                group.append(tuple(c[k].as_py() for c in rest))
+        if group:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    rows = rows.select("f", "i", "r", "rep", "c", "todo", "set", "text")
+    return rows.repartition(n, "f", "i", "r").sortWithinPartitions("f", "i", "r").mapInArrow(run, "u long, v long")
+
+
+def _family_links(families: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) that join each component inside each family; ``families``: (rep, f), guests included."""
+    n = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = families.join(classes.select("rep", "set", "n_shingles"), "rep")
+    sums = rows.groupBy("f").agg(F.sum("n_shingles").alias("cells"), F.count("*").alias("m")).filter("m > 1")
+    sums = sums.select("f", F.ceil(F.col("cells") / CELLS).cast("int").alias("blocks"))
+    rows = materialize(rows.join(sums, "f").withColumn("i", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "families")
+    text = texts.select(F.col("doc_id").alias("rep"), "text")
+
+    # members once, and of families with several blocks the least members in each
+    low = Window.partitionBy("f", "i").orderBy("rep")
+    wide = rows.filter("blocks > 1")
+    pivots = wide.withColumn("k", F.row_number().over(low)).filter(F.col("k") <= F.ceil(F.lit(PIVOTS) / F.col("blocks")))
+    pivots = pivots.select("rep", "f", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    once = rows.select("rep", "f", "set", "i").union(pivots).distinct().withColumns({"r": F.lit(0), "c": F.col("rep"), "todo": F.lit(False)})
+    links = materialize(_linked_in_groups(once.join(text, "rep"), n), "family-links")
+    if wide.isEmpty():
+        return links
+
+    # stragglers of families with several blocks against every block
+    label = components(links)
+    at = wide.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    count = at.groupBy("f", "c").agg(F.count("*").alias("n"))
+    main = count.groupBy("f").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    at = materialize(at.join(main, "f").select("rep", "f", "set", "i", "c", "blocks", "n_shingles", (F.col("c") != F.col("main")).alias("todo")), "stragglers")
+    chunks = at.filter("todo").groupBy("f").agg(F.ceil(F.sum("n_shingles") / CELLS).cast("int").alias("chunks"))
+    at = at.join(chunks, "f")
+    every = at.select("rep", "f", "set", "c", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("r"), F.lit(False).alias("todo"))
+    own = F.pmod(F.xxhash64(F.lit(1), "rep"), "chunks").cast("int").alias("r")
+    rest = at.filter("todo").select("rep", "f", "set", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), own, F.lit(True).alias("todo"))
+    both = every.select("rep", "f", "set", "c", "i", "r", "todo").union(rest.select("rep", "f", "set", "c", "i", "r", "todo"))
+    return links.union(materialize(_linked_in_groups(both.join(text, "rep"), n), "family-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     rows = materialize(signed(docs, id_col, text), "signed")
     full = rows.filter("doc_id is not null and n_shingles > 0")
-    heads = full.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    member = full.select("doc_id", "set").join(heads, "set").select("doc_id", "set", "rep")
-    member = materialize(member, "members")
+    heads = full.groupBy("set").agg(F.min("doc_id").alias("rep"))
+    member = materialize(full.select("doc_id", "set").join(heads, "set").select("doc_id", "set", "rep"), "members")
     classes = full.join(member.filter("doc_id = rep").select("doc_id", "set").distinct(), ["doc_id", "set"]).withColumnRenamed("doc_id", "rep")
     classes = materialize(classes.dropDuplicates(["rep", "set"]), "classes")
 
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
+    keyed = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top")
     buckets = materialize(keyed.join(shared.select("key", "hub"), "key"), "buckets")
-    hubs = buckets.filter("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n"))
-    hubs = materialize(hubs, "hubs")
     needed = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(needed, "doc_id", "left_semi")
     texts = materialize(texts, "texts")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return materialize(_confirmed(materialize(_estimated(pairs, classes), "estimated"), classes, texts), "links")
+    # families: each class with the hub that shares most of its buckets, if they are alike at all
+    hubs = buckets.filter("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n"))
+    hubs = materialize(hubs, "hubs")
+    near = materialize(_alike(hubs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")), classes), "near")
+    family = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    of = lambda x: family.select(F.col("node").alias(x), F.col("component").alias(f"f_{x}"))
+    met = hubs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    met = met.select("a", "b", F.coalesce("f_a", "a").alias("f_a"), F.coalesce("f_b", "b").alias("f_b"))
+    groups = met.select(F.col("a").alias("rep"), F.col("f_b").alias("f")).union(met.select("b", "f_b")).union(met.select("a", "f_a"))
+    roots = family.select(F.col("component").alias("rep"), F.col("component").alias("f"))
+    links = _family_links(groups.union(roots).distinct(), classes, texts)
 
     # an id with several texts ties its classes together
-    ties = member.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     tie = member.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).filter("u > v")
-    ties = member.join(tie.select("doc_id", "v"), "doc_id").filter("rep > v").select(F.col("rep").alias("u"), "v")
-
-    # first the partner that shares most buckets, then every other least member still apart
-    links = confirm(hubs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))).union(ties)
-    label = components(links)
-    tried = hubs.join(_labelled(hubs.select("a"), label, "a"), "a").join(_labelled(hubs.select("b"), label, "b"), "b")
-    more = confirm(tried.filter("c_a <> c_b").select("a", "b"))
-    links = links.union(more)
+    links = links.union(member.join(tie.select("doc_id", "v"), "doc_id").filter("rep > v").select(F.col("rep").alias("u"), "v"))
     label = components(links)
-
-    done = 0
-    while True:
-        at = buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-        order = Window.partitionBy("key").orderBy("rep")
-        left = materialize(at.join(mixed, "key").withColumn("i", F.row_number().over(order) - 1), "open")
-        # the least member (i = 0) was tried above, so the first round starts after it
-        hub = left.filter((F.col("i") > done) & (F.col("i") <= done + HUBS)).select("key", F.col("rep").alias("b"), F.col("c").alias("c_b"), F.col("i").alias("j"))
-        pairs = left.join(hub, "key").filter("i > j and c <> c_b").select(F.col("rep").alias("a"), "b").distinct()
-        found = confirm(pairs)
-        done += HUBS
-        last = left.agg(F.max("i").alias("i")).first()["i"]
-        if found.isEmpty():
-            if last is None or last <= done:
-                break
-            continue
-        links = links.union(found)
-        label = components(links)
-        if last <= done:
-            break
     comp = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     comp = comp.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
-
-
-def _labelled(ids: DataFrame, label: DataFrame, name: str) -> DataFrame:
-    own = label.select(F.col("node").alias(name), "component")
-    return ids.distinct().join(own, name, "left").select(name, F.coalesce("component", name).alias(f"c_{name}"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from rasterloom.llm import minhash
 
 
@@ -61,8 +63,11 @@ def test_chains_and_common_passages(spark):
     check(spark.createDataFrame([(3 * i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3))
 
 
-def test_open_buckets_take_rounds(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "HUBS", 1)
+@pytest.mark.parametrize("loose", [0.0, 1.1])
+def test_one_family_or_guests_only(spark, monkeypatch, loose):
+    """Texts that share a passage: all in one family, or each a guest of the others' hubs."""
+    monkeypatch.setattr(minhash, "LOOSE", loose)
+    monkeypatch.setattr(minhash._alike, "__defaults__", (loose,))
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     passage = [word() for _ in range(60)]
@@ -70,6 +75,43 @@ def test_open_buckets_take_rounds(spark, monkeypatch):
     check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
 
 
+def test_families_of_several_blocks(spark, monkeypatch):
+    """Variants of one text at all distances, in blocks far smaller than the family."""
+    monkeypatch.setattr(minhash, "CELLS", 1500)
+    monkeypatch.setattr(minhash, "PIVOTS", 4)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            text[rng.randrange(len(text))] = word()
+        rows.append(" ".join(text))
+    check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+
+
+def test_spanning():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = np.arange(40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, 40 - int(rng.integers(0, 9)), False), rng.integers(100, 9999, int(rng.integers(0, 5))).astype(np.uint64)))) for _ in range(60)]
+    want = minhash._Union(list(range(60)))
+    for i in range(60):
+        for j in range(i):
+            if minhash.linked(sets[i], sets[j]):
+                x, y = want.find(i), want.find(j)
+                want.root[max(x, y)] = min(x, y)
+    for todo in (None, [True] * 60):
+        got = minhash._Union(list(range(60)))
+        for i, j in minhash.spanning(sets, list(range(60)), todo):
+            assert minhash.linked(sets[i], sets[j])
+            x, y = got.find(i), got.find(j)
+            got.root[max(x, y)] = min(x, y)
+        assert got.roots().tolist() == want.roots().tolist()
+
+
 def test_odd(odd, empty):
     check(odd)
     assert minhash.near_duplicates(empty).count() == 0
