@@ -164,3 +164,41 @@ def test_jpeg(size):
         C.decode(data[: len(data) // 2])
     with pytest.raises(C.FormatError):
         C.decode(data.replace(b"\xff\xc0", b"\xff\xc2", 1))
+
+
+def layered():
+    from rasterloom.sources.psd import Record
+
+    return [
+        Record("ground", x=0, y=0, w=6, h=4, rgba=image(6, 4)),
+        Record("gröup ☃", "group", opacity=0.6),
+        Record("inner", mode="multiply", opacity=128 / 255, clip=True, x=1, y=-2, w=3, h=5, rgba=image(3, 5), mask=bytes(range(15))),
+        Record("close", "end"),
+        Record("top", mode="luminosity", visible=False, x=2, y=2, w=1, h=1, rgba=image(1, 1)),
+    ]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_layered_document(spark, packed):
+    from rasterloom.sources import psd
+
+    layers = layered()
+    data = psd.encode(6, 4, layers, image(6, 4) and bytes(96), packed)
+    assert C.psd_has_layers(data) and C.decode(data)[:2] == (6, 4)
+    w, h, got = psd.decode(data)
+    assert (w, h) == (6, 4) and len(got) == 5
+    for a, b in zip(layers, got):
+        assert (a.name, a.kind, a.mode, a.visible, a.clip) == (b.name, b.kind, b.mode, b.visible, b.clip)
+        assert abs(a.opacity - b.opacity) < 0.003
+        if a.kind == "paint":
+            assert (a.x, a.y, a.w, a.h, a.rgba, a.mask) == (b.x, b.y, b.w, b.h, b.rgba, b.mask)
+    rows = psd.read_layers(spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(data[:200]))], "path string, content binary")).collect()
+    assert [r["name"] for r in rows if r["path"] == "a"] == [r.name for r in layers]
+    assert [bool(r["error"]) for r in rows if r["path"] == "b"] == [True]
+
+
+def test_every_mode_has_a_key():
+    from rasterloom.functions.blend import MODES
+    from rasterloom.sources.psd import MODE_KEYS
+
+    assert set(MODE_KEYS) == set(MODES) and len(set(MODE_KEYS.values())) == len(MODES)
