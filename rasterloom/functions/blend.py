@@ -110,9 +110,12 @@ def over(steps: Steps, mode: str, back: list[X], ab: X, src: list[X], alpha: X,
     steps.let(**{f"{tag}_ao": sa + ba * (1.0 - sa)})
     ao = name(f"{tag}_ao")
     whole = when((ao > 0.0, ao), other=1.0)
-    value = lambda b, s, m: when(
-        (sa <= 0.0, b), (ba <= 0.0, s), other=(sa * (1.0 - ba) * s + sa * ba * m + (1.0 - sa) * ba * b) / whole
-    )
+
+    def value(b: X, s: X, m: X) -> X:
+        if SEPARABLE.get(mode) is SEPARABLE["normal"]:
+            return when((sa <= 0.0, b), (ba <= 0.0, s), other=(sa * s + (1.0 - sa) * ba * b) / whole)
+        return when((sa <= 0.0, b), (ba <= 0.0, s), other=(sa * (1.0 - ba) * s + sa * ba * m + (1.0 - sa) * ba * b) / whole)
+
     steps.let(**{f"{tag}{k}": value(b, s, m) for k, b, s, m in zip("rgb", back, src, mixed)}, **{f"{tag}a": when((sa <= 0.0, ba), other=ao)})
     return [*_three(tag), name(f"{tag}a")]
 

@@ -22,7 +22,8 @@ LINEAR = [_linear(i / 255) for i in range(256)]
 
 def from_byte(v, single: bool = False) -> X:
     """Linear light of a byte; ``single``: rounded to single precision, as the compositor's table is."""
-    out = to_linear(dbl(v) / 255.0)
+    unit = dbl(v) / 255.0
+    out = when((unit <= SRGB_CUT, unit / SRGB_SLOPE), other=call("power", (unit + SRGB_OFFSET) / (1 + SRGB_OFFSET), SRGB_GAMMA))
     return X(f"CAST(CAST({out.spark} AS FLOAT) AS DOUBLE)", f"CAST(CAST({out.duck} AS FLOAT) AS DOUBLE)") if single else out
 
 
@@ -39,7 +40,7 @@ def to_srgb(v) -> X:
 
 def to_byte(v) -> X:
     """Byte of a linear value, halves up."""
-    return half_up(clamp(to_srgb(v), 0.0, 1.0) * 255.0)
+    return half_up(to_srgb(v) * 255.0)
 
 
 def luma(r, g, b, weights=REC709) -> X:

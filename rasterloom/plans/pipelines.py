@@ -12,11 +12,13 @@ CH = ("r", "g", "b", "a")
 
 def to_scan(px: DataFrame, w: int, h: int) -> DataFrame:
     """Dense scanlines of sparse pixels; absent ones are clear."""
-    at = F.map_from_entries(F.collect_list(F.struct("x", F.struct(*CH))))
-    rows = px.groupBy("y").agg(at.alias("m"))
-    every = px.sparkSession.range(h).select(F.col("id").cast("int").alias("y")).join(rows, "y", "left")
-    one = lambda c: F.transform(F.sequence(F.lit(0), F.lit(w - 1)), lambda x: F.coalesce(F.try_element_at(F.col("m"), x)[c], F.lit(0)))
-    return every.select("y", *[F.when(F.col("m").isNull(), F.array_repeat(F.lit(0), w)).otherwise(one(c)).alias(c) for c in CH])
+    every = geometry.grid(px.sparkSession, 0, 0, w, h).join(px.select("x", "y", *CH), ["x", "y"], "left")
+    rows = every.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("x", *[F.coalesce(c, F.lit(0)).alias(c) for c in CH]))).alias("p"))
+    return rows.select("y", *[F.transform("p", _field(c)).alias(c) for c in CH])
+
+
+def _field(c: str):
+    return lambda v: v[c]
 
 
 def demo(spark, w: int = 96, h: int = 64) -> DataFrame:
