@@ -3,7 +3,7 @@
 Two readings of one stream (doc, seq, ts, x, y, radius, hardness, r, g, b, a):
 which tiles were touched in each window of time, and the frame itself, kept as
 keyed state that stamps change in order of ``seq`` within a batch. A stroke that
-comes after the watermark is dropped; the reference point has no rule for that.
+comes after the watermark is dropped.
 """
 
 from __future__ import annotations
