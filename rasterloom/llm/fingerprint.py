@@ -96,8 +96,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
         own = F.split(F.lit(",".join(map(str, used))), ",").cast("array<int>")
         follow = F.get(own, F.array_position(after, F.col("b")).cast("int") - 1)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.select("id", "text", F.xxhash64("text").alias("h"), _range_of(F.col("id"), cuts).alias("b")).repartition(n, "b")
+    d = d.select("id", "text", F.xxhash64("text").alias("h"), _range_of(F.col("id"), cuts).alias("b"))
     by = Window.partitionBy("b").orderBy(F.col("id").asc_nulls_first(), "h")
-    heads = d.groupBy("b").agg(F.min_by("text", F.struct("id", "h")).alias("first_text")).select(follow.alias("b"), "first_text")
+    # the first row of each range: its key first, which is small, then the texts of these rows alone (at most n keys are sent)
+    keys = d.groupBy("b").agg(F.min(F.struct("id", "h")).alias("k")).select("b", F.col("k.id").alias("k_id"), F.col("k.h").alias("k_h"))
+    hit = (F.col("id").eqNullSafe(F.col("k_id"))) & (F.col("h") == F.col("k_h"))
+    heads = d.drop("b").join(F.broadcast(keys), hit).groupBy("b").agg(F.first("text").alias("first_text")).select(follow.alias("b"), "first_text")
+    d = d.repartition(n, "b")
     rows = d.select("b", "id", "text", F.lead("text").over(by).alias("next_text"))
     return rows.join(heads, "b", "left").select("id", "text", F.coalesce("next_text", "first_text").alias("next_text"))
