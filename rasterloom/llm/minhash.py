@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     rows = materialize(signed(docs, id_col, text), "signed")
     full = rows.filter("doc_id is not null and n_shingles > 0")
-    heads = full.groupBy("set").agg(F.min("doc_id").alias("rep"))
+    # written first, so that the join below has two plain inputs and a hot set can be split
+    heads = materialize(full.groupBy("set").agg(F.min("doc_id").alias("rep")), "heads")
     member = materialize(full.select("doc_id", "set").join(heads, "set").select("doc_id", "set", "rep"), "members")
     classes = full.join(member.filter("doc_id = rep").select("doc_id", "set").distinct(), ["doc_id", "set"]).withColumnRenamed("doc_id", "rep")
     classes = materialize(classes.dropDuplicates(["rep", "set"]), "classes")
