@@ -229,18 +229,18 @@ def _linked_in_groups(rows: DataFrame, n: int) -> DataFrame:
     """Links (u, v) found in each group (f, i, r) of rows (f, i, r, rep, c, todo, set, text); groups are streamed one by one."""
 
     def solve(group: list[tuple]) -> tuple[list[int], list[int]]:
-        members: dict[int, tuple] = {}
+        members: dict[tuple[int, bytes], tuple] = {}  # an id with several texts has several sets, all with its label
         for rep, c, todo, digest_, text in group:
             found = shingles(text)
             if len(found) and digest(found) == digest_:
-                old = members.get(rep)
-                members[rep] = (found, c, todo or bool(old and old[2]))
-        reps = sorted(members)
-        if len(reps) < 2:
+                old = members.get((rep, digest_))
+                members[rep, digest_] = (found, c, todo or bool(old and old[2]))
+        keys = sorted(members)
+        if len(keys) < 2:
             return [], []
-        marks = [members[r][2] for r in reps]
-        links = spanning([members[r][0] for r in reps], [members[r][1] for r in reps], marks if any(marks) else None)
-        return [reps[i] for i, _ in links], [reps[j] for _, j in links]
+        marks = [members[k][2] for k in keys]
+        links = spanning([members[k][0] for k in keys], [members[k][1] for k in keys], marks if any(marks) else None)
+        return [keys[i][0] for i, _ in links], [keys[j][0] for _, j in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []

@@ -91,6 +91,21 @@ def test_families_of_several_blocks(spark, monkeypatch):
     check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
 
 
+@pytest.mark.parametrize("cells", [1_000_000, 300])
+def test_one_id_with_several_texts(spark, monkeypatch, cells):
+    """Each text of an id links its own near copy, whichever is read last, in one block or in several."""
+    monkeypatch.setattr(minhash, "CELLS", cells)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(4):
+        for k in range(3):
+            text = [word() for _ in range(60)]
+            rows += [(10 * g, " ".join(text)), (10 * g + 1 + k, " ".join([*text, word()]))]
+    for order in (rows, rows[::-1]):
+        check(spark.createDataFrame(order, "doc_id long, text string").coalesce(1))
+
+
 def test_spanning():
     import numpy as np
 
