@@ -49,6 +49,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country: the registry's, then those in use beside it.
+_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 "
+    "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
+    "MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 "
+    "SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30 "
+    "AO25 BF28 BJ28 CF27 CG27 CI28 CM27 CV25 DZ26 GA27 GQ27 GW25 IR26 KM27 MA28 MG27 ML28 MZ25 NE28 SN28 TD27 TG28"
+)
+LENGTHS = {x[:2]: int(x[2:]) for x in _LENGTHS.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
@@ -93,6 +102,28 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def _iban_end(run: str) -> int | None:
+    """Where the IBAN at the start of ``run`` ends; words and digits may follow it in the run.
+
+    The length of the country first, else the whole run.
+    """
+    at = [i for i, c in enumerate(run, 1) if c != " "]
+    own, code = LENGTHS.get(run[:2], len(at)), run.replace(" ", "")
+    for n in (own, len(at)):
+        if n <= len(at) and (n == len(at) or run[at[n - 1]] == " ") and mod97(code[:n]):
+            return at[n - 1]
+    return None
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    m = _IBAN.search(text)
+    while m:
+        end = _iban_end(m[0])
+        if end:
+            yield m.start(), m.start() + end
+        m = _IBAN.search(text, m.start() + (end or 1))
+
+
 def _phones(text: str) -> Iterator[tuple[int, int]]:
     for m in _PHONE.finditer(text):
         if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
@@ -112,10 +143,7 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
                 found["card" if len(digits) >= 16 else "card_short"].append(m.span())
     if "+" in text:
         found["phone"] = list(_phones(text))
-    for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if len(code) <= 34 and mod97(code):
-            found["iban"].append(m.span())
+    found["iban"] = list(_ibans(text))
     if "-" in text:
         for m in _SSN.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":

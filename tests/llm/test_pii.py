@@ -57,6 +57,20 @@ def test_checksums_and_context():
     assert pii.redact("call +44 20 7946 0958 or jo@ex.org") == "call <PHONE> or <EMAIL>"
 
 
+def test_iban_before_other_words():
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for before in ("", "AB12 ", "REF 2024 DE12 "):
+            for after in ("", " BIC COBADEFFXXX", " I said", " 00 2024", " 2024.", " MT84 MALT 0110 0001 2345 MTLC AST0 01S", " " + iban):
+                found = [(s.start, s.end) for s in pii.spans(before + iban + after) if s.kind == "iban"]
+                assert (len(before), len(before + iban)) == found[0]
+                assert len(found) == (2 if len(after) > 17 else 1)
+    assert pii.redact("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == "<IBAN> BIC COBADEFFXXX"
+
+
+def test_linear_on_many_iban_starts():
+    pii.spans("DE12 " * 40_000 + "ZZ12 " * 40_000)
+
+
 def test_linear_on_long_runs():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "+1" + " " * 100_000, "A1" * 100_000, "1-" * 100_000):
         pii.spans(t)
