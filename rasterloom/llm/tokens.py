@@ -51,6 +51,8 @@ class Encoder:
     ``spaced``: whether a word's leading space belongs to it (byte-level BPE);
     else white space yields no ids. Either way pre-tokenization never crosses
     the pieces, so encoding them one by one gives the ids of the whole text.
+    The vocabulary's special tokens are pieces of their own: the library cuts
+    them out before it looks at anything else.
     Words that are new are joined and encoded as one text, which is split again
     at the ids that only a word's start (or the mark between words) can have.
     """
@@ -64,9 +66,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.spaced = spaced
-        self.cut = (_SPACED if spaced else _PLAIN).findall
+        added = self.tok.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError(f"{path}: special tokens that depend on what surrounds them")
+        self.special = {t.content for t in added}
+        self.between = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})").split if self.special else None
+        self.words = (_SPACED if spaced else _PLAIN).findall
         vocab = self.tok.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         mark = self._ids(self.MARK)
@@ -79,13 +85,22 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text; those between two special tokens know nothing of what is beyond."""
+        if not self.between:
+            return self.words(text)
+        parts_ = self.between(text)
+        if len(parts_) == 1:
+            return self.words(text)
+        return [w for i, part in enumerate(parts_) for w in ([part] if i % 2 else self.words(part))]
+
     def _fresh(self, words: list[str]) -> list[bytes]:
         """Ids of words that the memo lacks."""
         if self.spaced:
             joins = [w for w in words if w[0] == " " and len(w) > 1 and w[1] not in " \t\n\r\x0b\x0c"]
             text, skip = "".join(joins), 0
         else:
-            joins = [w for w in words if self.MARK not in w]
+            joins = [w for w in words if self.MARK not in w and w not in self.special]
             text, skip = "".join(f"{self.MARK} {w} " for w in joins), 1
         found: dict[str, bytes] = {}
         if len(joins) > 1:

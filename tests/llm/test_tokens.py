@@ -5,11 +5,13 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from rasterloom.llm import queries, tokens
 
 BYTE, WORD = (public_tokenizers.path(n) for n in (queries.BYTE_VOCAB, queries.WORD_VOCAB))
 KINDS = [(BYTE, True), (WORD, False)]
+UNTOUCHED = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
 
 
 def plain(path, text):
@@ -38,6 +40,20 @@ def test_whole_documents(docs, path, spaced, monkeypatch):
     assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [plain(path, t) for t in texts]
 
 
+@pytest.mark.parametrize(("path", "spaced"), KINDS)
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "|>", "<", "~", "a", "B1", "'s", " ", "  ", "\n", "é", "\u0338"]), max_size=8).map("".join), max_size=4))
+def test_special_tokens_as_in_the_untouched_library(path, spaced, texts):
+    tok = UNTOUCHED[path]
+    enc = tokens.Encoder.__new__(tokens.Encoder)
+    enc.__dict__.update(tokens.encoder(path, spaced).__dict__)
+    enc.forget()
+    texts = ["a <|endoftext|> b", "a  <|endoftext|>", *texts]
+    got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == ([64, 220, 50256, 275] if spaced else [*got[0][:1], 49407, *got[0][2:]])
+
+
 def test_query(spark, docs):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in queries.op10_token_files(spark, "/root/testdata/sf0.001").collect()}
