@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import math
 import uuid
 
@@ -52,6 +55,36 @@ def parts(df: DataFrame, mb: float) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (mb * 1e6)))
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the machine: workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` (a function of a group, or a generator over batches), its memory released when it ends."""
+
+    @functools.wraps(run)
+    def one(*args):
+        try:
+            return run(*args)
+        finally:
+            release()
+
+    @functools.wraps(run)
+    def many(*args):
+        try:
+            yield from run(*args)
+        finally:
+            release()
+
+    return many if inspect.isgeneratorfunction(run) else one
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, remainder
+from .common import materialize, parts, remainder, tidy
 from .text import mix, sequences, word_hashes
 
 ORDER = 2
@@ -161,6 +161,7 @@ def score(docs: DataFrame, train_if, order: int = ORDER, strength: float = STREN
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), train_if.alias("train"))
     rows = rows.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long")).repartition(n, "p")
 
+    @tidy
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         per, _ = _grams(pdf, order)
         p, out = int(pdf["p"].iloc[0]), []
@@ -168,6 +169,7 @@ def score(docs: DataFrame, train_if, order: int = ORDER, strength: float = STREN
             out += [(k, q, p, _packed(keys[a:b]), counts[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()) for q, a, b in _slices(keys, bits)]
         return pd.DataFrame(out, columns=["k", "q", "p", "keys", "counts"])
 
+    @tidy
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [_unpacked(x) for x in pdf["keys"]]
         counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in pdf["counts"]])
@@ -189,6 +191,7 @@ def score(docs: DataFrame, train_if, order: int = ORDER, strength: float = STREN
     s = told.filter("p = -1 and k = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2")]).first()
     stats = Stats(s["n"], s["v"], s["n1"], s["n2"])
 
+    @tidy
     def finish(pdf: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         per, lengths = _grams(pdf, order)
         local = [(keys, c.astype(np.int64)) for keys, c in _local(per, pdf["train"].to_numpy(np.float64), order)]

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .text import mix, sequences, word_hashes
 
 SHINGLE = 5
@@ -98,6 +98,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def signed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(doc_id, n_shingles, set, sig, bands): ``set`` digests the shingle set; ``sig`` has the low byte of each minimum."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sets, sigs, keys = [], [], [], []
@@ -159,6 +160,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float = LOOSE) -> DataFr
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
@@ -242,6 +244,7 @@ def _linked_in_groups(rows: DataFrame, n: int) -> DataFrame:
         links = spanning([members[k][0] for k in keys], [members[k][1] for k in keys], marks if any(marks) else None)
         return [keys[i][0] for i, _ in links], [keys[j][0] for _, j in links]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         us: list[int] = []

@@ -20,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import materialize, parts, tidy
 from .tokens import END, encoder
 
 CAPACITY = 4096
@@ -52,23 +53,25 @@ def cut(n: int, capacity: int = CAPACITY, max_pad: int = MAX_PAD) -> list[tuple[
     return out
 
 
+_PIECE = pa.schema([(c, pa.int32() if c == "k" else pa.int64()) for c in ("doc_id", "start", "length", "k", "doc_tokens", "ids_crc32", "h")])
+
+
 def pieces(docs: DataFrame, vocab: str, spaced: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, length, k, doc_tokens, ids_crc32, row): every id of every document once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocab, spaced), np.array([END], "<u4").tobytes()
         for b in batches:
             rows = []
-            for i, h, blob in zip(b["id"], b["h"], enc.encode(b["t"])):
+            for i, h, blob in zip(b.column("id").to_pylist(), b.column("h").to_pylist(), enc.encode(t.as_py() for t in b.column("t"))):
                 blob += end
                 n = len(blob) // 4
                 rows += [(i, a, s, k, n, zlib.crc32(blob[4 * a : 4 * (a + s)]), h) for a, s, k in cut(n)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "k", "doc_tokens", "ids_crc32", "h"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(_PIECE), _PIECE.types)], schema=_PIECE)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("id", "t"))
-    return rows.mapInPandas(run, "doc_id long, start long, length long, k int, doc_tokens long, ids_crc32 long, h long")
+    return rows.mapInArrow(run, "doc_id long, start long, length long, k int, doc_tokens long, ids_crc32 long, h long")
 
 
 def _tail(left: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int]]:
@@ -150,6 +153,7 @@ def _split(docs: DataFrame, vocab: str, spaced: bool, todo: list[tuple]) -> Data
     for h, *x in todo:
         by.setdefault(h, []).append(x)
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, end = encoder(vocab, spaced), np.array([END], "<u4").tobytes()
         for b in batches:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "card_short")
 KINDS = BASE_KINDS + ADDED_KINDS
@@ -205,16 +207,16 @@ def _summary(text: pd.Series) -> pd.DataFrame:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii``: the spans of each text with kind, offsets and score."""
-    run = F.pandas_udf(_spans, "array<struct<kind string, start int, end int, score double>>")
+    run = F.pandas_udf(tidy(_spans), "array<struct<kind string, start int, end int, score double>>")
     return docs.withColumn("pii", run(F.col(text)))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind."""
-    return docs.withColumn(text, F.pandas_udf(_redact, "string")(F.col(text)))
+    return docs.withColumn(text, F.pandas_udf(tidy(_redact), "string")(F.col(text)))
 
 
 def summary(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``pii``: counts of the base kinds, digest of their spans, and all spans as one string."""
-    run = F.pandas_udf(_summary, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    run = F.pandas_udf(tidy(_summary), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     return docs.withColumn("pii", run(F.col(text)))

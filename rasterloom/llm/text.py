@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hash a worker keeps.
-MEMO = 200_000
+#: Words whose hash a worker keeps (about 200 bytes each).
+MEMO = 60_000
 
 
 class _Memo(dict):

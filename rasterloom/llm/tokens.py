@@ -26,15 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, scratch_dir
+from .common import parts, scratch_dir, tidy
 
 END = 2
-#: Words that an encoder remembers before it starts anew (about 25 bytes each).
-MEMO = 2_000_000
-#: New words that wait before they are merged into the sorted table.
-FRESH = 50_000
-#: Characters of text whose words are looked up together.
-LOOK_UP = 1 << 21
+#: Slots of an encoder's memo (14 bytes each); at ``FULL`` words, or as many ids as slots times 4, it starts anew.
+SLOTS = 1 << 20
+FULL = SLOTS * 6 // 10
+#: Characters of text whose words are looked up together, and of new words that the library encodes at once.
+LOOK_UP, AT_ONCE = 1 << 19, 1 << 16
 #: White space of the pre-tokenizer's pattern (Unicode White_Space).
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A whole run of Latin letters: nothing after it could still belong to it, or change it.
@@ -46,7 +45,7 @@ _PLAIN = re.compile(f"{_LATIN}|[^{_S}]+")
 
 
 class Encoder:
-    """A tokenizer with a memo of words, held as sorted 64-bit hashes beside one pool of ids.
+    """A tokenizer with a memo of words: an open table of 64-bit hashes beside one pool of ids, of fixed size.
 
     ``spaced``: whether a word's leading space belongs to it (byte-level BPE);
     else white space yields no ids. Either way pre-tokenization never crosses
@@ -96,6 +95,16 @@ class Encoder:
 
     def _fresh(self, words: list[str]) -> list[bytes]:
         """Ids of words that the memo lacks."""
+        out: list[bytes] = []
+        size, first = 0, 0
+        for i, w in enumerate(words):
+            size += len(w)
+            if size >= AT_ONCE:
+                out += self._encoded(words[first : i + 1])
+                size, first = 0, i + 1
+        return out + self._encoded(words[first:])
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
         if self.spaced:
             joins = [w for w in words if w[0] == " " and len(w) > 1 and w[1] not in " \t\n\r\x0b\x0c"]
             text, skip = "".join(joins), 0
@@ -114,34 +123,41 @@ class Encoder:
             found |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False))}
         return [found[w] for w in words]
 
-    def _found(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in the pool each word's ids start, and how many they are; ``keys`` are sorted."""
-        start, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
-        for known, at, n in (self.table, self.fresh):
-            if len(known):
-                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[i] == keys
-                start[hit], size[hit] = at[i[hit]], n[i[hit]]
-        new = np.flatnonzero(size < 0)
-        if len(new):
-            ids = self._fresh([words[i] for i in new.tolist()])
-            size[new] = [len(x) // 4 for x in ids]
-            start[new] = self.used + np.cumsum(size[new]) - size[new]
-            self._append(np.frombuffer(b"".join(ids), "<u4"))
-            self.fresh = _merged(self.fresh, (keys[new], start[new], size[new]))
-            if len(self.fresh[0]) > FRESH:
-                self.table, self.fresh = _merged(self.table, self.fresh), _nothing()
-        return start, size
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the free slot where its search ends."""
+        at = keys & (SLOTS - 1)
+        go = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != 0))
+        while len(go):
+            at[go] = (at[go] + 1) & (SLOTS - 1)
+            k = self.keys[at[go]]
+            go = go[(k != keys[go]) & (k != 0)]
+        return at
+
+    def _learn(self, words: list[str], keys: np.ndarray) -> None:
+        """Put words that the memo lacks into it; the keys differ."""
+        ids = self._fresh(words)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        start = self.used + np.cumsum(size) - size
+        self._append(np.frombuffer(b"".join(ids), "<u4"))
+        todo = np.arange(len(keys))
+        while len(todo):
+            at = self._slot(keys[todo])
+            slots, one = np.unique(at, return_index=True)  # of keys that want one slot, the first has it
+            own = todo[one]
+            self.keys[slots], self.start[slots], self.size[slots] = keys[own], start[own], size[own]
+            todo = np.delete(todo, one)
+        self.known += len(keys)
 
     def _append(self, ids: np.ndarray) -> None:
         if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(1 << 16, self.used // 2 + len(ids)), self.pool.dtype)))
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(1 << 18, self.used // 2 + len(ids)), self.pool.dtype)))
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
     def forget(self) -> None:
-        self.table, self.fresh, self.used = _nothing(), _nothing(), 0
-        self.pool = np.zeros(1 << 16, "<u2" if len(self.starts) <= 1 << 16 else "<u4")
+        self.keys, self.start, self.size = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.uint32)
+        self.pool = np.zeros(1 << 18, "<u2" if len(self.starts) <= 1 << 16 else "<u4")
+        self.known = self.used = 0
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, without an end id."""
@@ -158,31 +174,31 @@ class Encoder:
         yield from self._joined(pieces, ends)
 
     def _joined(self, pieces: list[str], ends: list[int]) -> Iterator[bytes]:
-        if len(self.table[0]) > MEMO:
-            self.forget()
-        keys, first, at = np.unique(np.fromiter(map(hash, pieces), np.int64, len(pieces)), return_index=True, return_inverse=True)
-        start, size = self._found([pieces[i] for i in first.tolist()], keys)
-        start, size = start[at], size[at]
-        stop = np.cumsum(size)
-        ids = self.pool[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)].astype("<u4").tobytes()
-        edge = np.concatenate(([0], stop))[ends].tolist()
+        """The ids of each text, whose pieces end at ``ends``; pieces go through the memo in runs that it can hold."""
+        runs = [self._looked_up(pieces[i : i + FULL // 2]) for i in range(0, len(pieces), FULL // 2)]
+        ids = b"".join(x.tobytes() for x, _ in runs)
+        stop = np.cumsum(np.concatenate([[0], *[n for _, n in runs]]))
         done = 0
-        for e in edge:
+        for e in stop[ends].tolist():
             yield ids[4 * done : 4 * e]
             done = e
 
-
-_Table = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def _nothing() -> _Table:
-    return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-
-
-def _merged(a: _Table, b: _Table) -> _Table:
-    """Two tables of sorted, different keys as one."""
-    at = np.searchsorted(a[0], b[0])
-    return tuple(np.insert(x, at, y) for x, y in zip(a, b))
+    def _looked_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has."""
+        keys = np.fromiter(map(hash, pieces), np.int64, len(pieces))
+        keys[keys == 0] = 1
+        at = self._slot(keys)
+        new = np.flatnonzero(self.keys[at] == 0)
+        if len(new):
+            if self.known + len(new) > FULL or self.used > 4 * SLOTS:
+                self.forget()
+                new = np.arange(len(keys))
+            fresh, first = np.unique(keys[new], return_index=True)
+            self._learn([pieces[i] for i in new[first].tolist()], fresh)
+            at = self._slot(keys)
+        start, size = self.start[at].astype(np.int64), self.size[at].astype(np.int64)
+        stop = np.cumsum(size)
+        return self.pool[np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)].astype("<u4"), size
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -246,6 +262,7 @@ def write(docs: DataFrame, vocab: str, folder: str, spaced: bool = True, wide: b
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts(docs, 8), "id", "h").sortWithinPartitions("id", "h")
 
+    @tidy
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -267,6 +284,7 @@ def read(spark, shards: list[tuple[int, int]], folder: str, wide: bool = False)
     """(doc_id, start, n_tokens, ids_crc32) from the files; ``shards``: (shard, tokens before it)."""
     dtype = "<u4" if wide else "<u2"
 
+    @tidy
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fsys, root = filesystem(folder)
         for b in batches:

@@ -41,7 +41,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 class _Memo(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 60_000:
             self.clear()
         h = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
         return h

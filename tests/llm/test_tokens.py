@@ -32,9 +32,8 @@ def test_pieces_give_the_ids_of_the_text(path, spaced, texts):
 
 @pytest.mark.parametrize(("path", "spaced"), KINDS)
 def test_whole_documents(docs, path, spaced, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO", 3000)
-    monkeypatch.setattr(tokens, "FRESH", 100)
-    monkeypatch.setattr(tokens, "LOOK_UP", 5000)
+    for name, value in {"SLOTS": 1 << 12, "FULL": 2400, "LOOK_UP": 5000, "AT_ONCE": 700}.items():
+        monkeypatch.setattr(tokens, name, value)
     texts = [r["text"] for r in docs.select("text").collect()]
     enc = tokens.Encoder(path, spaced)
     assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [plain(path, t) for t in texts]
