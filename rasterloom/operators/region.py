@@ -1,20 +1,25 @@
 """Selections, masks, polygons, region growing and the operators built on them.
 
 A selection is a set of (keys, x, y). Growing a contiguous region is a
-reachability question: members are labelled by alternating star steps over
-4-neighbour links, as many rounds as the logarithm of the region's size, instead
-of one round for each pixel of its diameter.
+reachability question: bands of rows label their members on their own, and the
+labels are joined over the borders by alternating star steps, as many rounds as
+the logarithm of the number of bands, instead of one round for each pixel of a
+region's diameter.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .geometry import grid
+from .stencil import BAND, PIXELS
 
 CH = ("r", "g", "b", "a")
 
@@ -22,7 +27,10 @@ CH = ("r", "g", "b", "a")
 def shared(df: DataFrame, name: str) -> DataFrame:
     """Written to the folder the cluster shares and read again, so that loops keep no lineage."""
     spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints").rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = (base or "file:/tmp/checkpoints").rstrip("/")
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -125,29 +133,54 @@ def outline(mask: DataFrame) -> DataFrame:
 # -- regions ------------------------------------------------------------------------------
 
 
+def _labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of ``n`` nodes reaches over the links (u, v): hook and halve."""
+    p = np.arange(n)
+    while True:
+        a, b = p[u], p[v]
+        if (a == b).all():
+            return p
+        np.minimum.at(p, np.maximum(a, b), np.minimum(a, b))
+        while (p[p] != p).any():
+            p = p[p]
+
+
 def _reach(cells: DataFrame, w: int) -> DataFrame:
-    """(x, y, c) of cells (x, y), c being the least cell number of its 4-connected component."""
-    v = F.col("y").cast("long") * w + F.col("x")
-    right = F.struct(v.alias("u"), (v + 1).alias("v"))
-    down = F.struct(v.alias("u"), (v + w).alias("v"))
-    ids = cells.select(v.alias("id"))
-    links = cells.select(F.explode(F.when(F.col("x") < w - 1, F.array(right, down)).otherwise(F.array(down))).alias("e")).select("e.u", "e.v")
-    links = links.join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
-    links = shared(links.select("u", "v"), "links")
+    """(x, y, c): the least index y * w + x that 4-neighbour steps reach.
+
+    A band of rows is solved in its own task; what remains are links between
+    components on either side of a border, joined by alternating star steps.
+    """
+    high = max(1, min(BAND, PIXELS // max(1, w)))
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        at = np.unique(table.column("y").to_numpy().astype(np.int64) * w + table.column("x").to_numpy())
+        here = lambda want: np.minimum(np.searchsorted(at, want), len(at) - 1)
+        right, down = here(at + 1), here(at + w)
+        r = np.flatnonzero((at[right] == at + 1) & ((at + 1) % w != 0))
+        d = np.flatnonzero(at[down] == at + w)
+        label = _labels(np.concatenate((r, d)), np.concatenate((right[r], down[d])), len(at))
+        return pa.table({"x": pa.array((at % w).astype(np.int32)), "y": pa.array((at // w).astype(np.int32)), "c": pa.array(at[label])})
+
+    banded = cells.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.floor(F.col("y") / high).alias("band"))
+    found = shared(banded.groupBy("band").applyInArrow(solve, "x int, y int, c long"), "bands")
+    above = found.filter(F.pmod("y", F.lit(high)) == high - 1).select("x", (F.col("y") + 1).alias("y"), F.col("c").alias("v"))
+    links = found.filter(F.pmod("y", F.lit(high)) == 0).select("x", "y", F.col("c").alias("u")).join(above, ["x", "y"]).select("u", "v").distinct()
+    links = shared(links, "links")
     seen = None
-    while True:
+    while not links.isEmpty():
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         links = shared(small, "links")
-        now = links.agg(F.count("*"), F.sum("v"), F.sum(F.col("u") % 1000003 * (F.col("v") % 1000003))).first()
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break
         seen = now
-    label = links.select(F.col("u").alias("id"), F.col("v").alias("c"))
-    return cells.withColumn("id", v).join(label, "id", "left").select("x", "y", F.coalesce("c", "id").alias("c"))
+    label = links.select(F.col("u").alias("c"), F.col("v").alias("root"))
+    return found.join(label, "c", "left").select("x", "y", F.coalesce("root", "c").alias("c"))
 
 
 def matching(px: DataFrame, seed: tuple[int, int, int, int], tol: float, match_alpha: bool = True) -> Column:

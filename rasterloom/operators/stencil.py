@@ -1,13 +1,17 @@
 """Neighbourhood operators over frames held as scanlines.
 
-A row of a frame is one record: y and an array of bytes for each channel. A
-horizontal pass stays inside the row. A vertical or square pass needs the rows
-above and below: rows are dealt into bands, and each row also goes to the bands
-it borders (a halo), so a band is complete in its own group and large frames
-spread over many tasks. Sums run in kernel order, so rounding is the same on
-every run.
-
-``h`` is the frame's height: frame sizes are metadata, not scanned for.
+A row of a frame is one record: y and an array of bytes for each channel. Rows
+are dealt into bands of a bounded height, and each row also goes to the bands
+that it borders (a halo as high as the operator's reach), so a band is complete
+in its own group and large frames spread over many tasks. One shuffle serves a
+whole operator, however many passes it has: a band arrives as Arrow columns and
+is computed as matrices, tap by tap in kernel order, so rounding is the same on
+every run and equal to a sum over single pixels.
+
+``h`` is the frame's height: frame sizes are metadata, not scanned for. A frame
+holds each of its rows once; a band that misses a row it needs, holds one twice,
+or has a row of another width raises an error rather than shift its neighbours.
+Rows outside 0..h-1 are not part of the frame.
 """
 
 from __future__ import annotations
@@ -15,21 +19,25 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
-BAND = 256
+#: Rows of a band, and pixels it holds at most besides its halo.
+BAND, PIXELS = 256, 1 << 21
 CH = ("r", "g", "b", "a")
+RGB = ("r", "g", "b")
 EDGES = ("clamp", "wrap", "mirror", "reflect", "extend")
+Plane = np.ndarray
 
 
 # -- kernels --------------------------------------------------------------------
 
 
 def single(v: float) -> float:
-    import struct
-
-    return struct.unpack("f", struct.pack("f", v))[0]
+    return float(np.float32(v))
 
 
 def gaussian_kernel(radius: int) -> list[float]:
@@ -57,103 +65,165 @@ def glow_kernel(radius: int) -> list[float]:
 # -- edges ------------------------------------------------------------------------
 
 
-def edge(v: Column, n: int, mode: str = "clamp") -> Column:
-    """Coordinate ``v`` brought into 0..n-1."""
-    fold = lambda x, m: F.when(F.abs(x) % (2 * m) >= m, 2 * m - 1 - F.abs(x) % (2 * m)).otherwise(F.abs(x) % (2 * m))
+def edge(v: Plane, n: int, mode: str = "clamp") -> Plane:
+    """Coordinates ``v`` brought into 0..n-1."""
+
+    def fold(x: Plane, m: int) -> Plane:
+        t = np.abs(x) % (2 * m)
+        return np.where(t >= m, 2 * m - 1 - t, t)
+
     if mode == "wrap":
-        return F.pmod(v, F.lit(n))
+        return v % n
     if mode == "mirror":
-        t = F.pmod(v, F.lit(2 * n))
-        return F.when(t >= n, 2 * n - 1 - t).otherwise(t)
+        t = v % (2 * n)
+        return np.where(t >= n, 2 * n - 1 - t, t)
     if mode == "reflect":
         return fold(v, n)
     if mode == "extend":
         return fold(v - 1, n - 2) + 1
-    return F.least(F.lit(n - 1), F.greatest(F.lit(0), v))
-
-
-# -- rows -------------------------------------------------------------------------
-
-
-def near_rows(rows: DataFrame, reach: int, h: int, keys: tuple[str, ...] = (), channels: tuple[str, ...] = CH, mode: str = "clamp") -> DataFrame:
-    """``rows`` with ``near``: an array of the rows y-reach..y+reach, edges resolved, each a struct of channels."""
-    # the destination rows that see this row; at an edge one row may stand for several
-    spread = rows.select(*keys, F.col("y").alias("src"), F.struct(*channels).alias("row"))
-    want = rows.select(*keys, "y", F.posexplode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: edge(F.col("y") + k, h, mode))).alias("i", "src"))
-    if mode != "clamp":
-        got = want.join(spread, [*keys, "src"]).groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("n"))
-        return rows.join(got.select(*keys, "y", F.transform("n", lambda x: x["row"]).alias("near")), [*keys, "y"])
-    band = F.explode(F.array_distinct(F.transform(F.array(F.lit(-reach), F.lit(0), F.lit(reach)), lambda k: F.floor(edge(F.col("y") + k, h) / BAND))))
-    w = Window.partitionBy(*keys, "band").orderBy("y").rowsBetween(-reach, reach)
-    banded = rows.withColumn("band", band).withColumn("n", F.collect_list(F.struct("y", F.struct(*channels).alias("row"))).over(w))
-    own = banded.filter(F.col("band") == F.floor(F.col("y") / BAND))
-    first = F.get("n", F.lit(0))["y"]
-    at = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.get(F.col("n"), edge(F.col("y") + k, h) - first)["row"])
-    return own.withColumn("near", at).drop("n", "band")
-
-
-def across(w: int, f: Callable[[Column], Column]) -> Column:
-    """An array of f(x) for each x of a row."""
-    return F.transform(F.sequence(F.lit(0), F.lit(w - 1)), f)
+    return np.clip(v, 0, n - 1)
+
+
+# -- bands ------------------------------------------------------------------------
+
+
+def band_height(w: int, reach: int) -> int:
+    """Rows of a band: fewer where rows are wide, and at least the reach, so a row goes to three bands at most."""
+    return max(1, min(BAND, PIXELS // max(1, w)), reach)
+
+
+def _bands(reach: int, h: int, high: int, mode: str) -> Column:
+    """The bands that need row y."""
+    last = (h - 1) // high
+    y = F.col("y")
+    lo = F.greatest(F.lit(0), F.floor((y - reach) / high).cast("int"))
+    hi = F.least(F.lit(last), F.floor((y + reach) / high).cast("int"))
+    near = F.sequence(lo, hi)
+    if mode == "clamp" or not reach:
+        return near
+    # rows that stand in for positions outside the frame: at most one for each such position
+    beyond = np.concatenate((np.arange(-reach, 0), np.arange(h, h + reach)))
+    also: dict[int, set[int]] = {}
+    for p, src in zip(beyond.tolist(), edge(beyond, h, mode).tolist()):
+        also.setdefault(src, set()).update(range(max(0, (p - reach) // high), min(last, (p + reach) // high) + 1))
+    table = F.create_map(*[x for src, b in also.items() for x in (F.lit(src), F.array(*[F.lit(i) for i in sorted(b)]))])
+    more = table[y.cast("int")]
+    return F.when(more.isNull(), near).otherwise(F.array_union(near, more))
+
+
+def _matrix(column: pa.ChunkedArray, w: int) -> Plane:
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    if len(flat.flatten()) != w * len(flat) or any(n != w for n in flat.value_lengths().unique().to_pylist()):
+        raise ValueError(f"a row of the frame is not {w} wide")
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), w)
+
+
+def banded(
+    rows: DataFrame,
+    w: int,
+    h: int,
+    reach: int,
+    f: Callable[[dict[str, Plane], Plane], dict[str, Plane]],
+    keys: tuple[str, ...] = (),
+    needs: tuple[str, ...] = CH,
+    gives: tuple[str, ...] = CH,
+    mode: str = "clamp",
+    kind: str = "int",
+) -> DataFrame:
+    """(keys, y, ``gives``) of ``f(planes, at)``, band by band.
+
+    A plane holds the rows at the positions ``at``: those of the band and
+    ``reach`` more on either side, edges resolved. ``f`` returns planes of the
+    band's own rows.
+    """
+    high = band_height(w, reach)
+    schema = ty.StructType([rows.schema[k] for k in keys] + [rows.schema["y"]] + [ty.StructField(c, ty.ArrayType(ty.IntegerType() if kind == "int" else ty.DoubleType())) for c in gives])
+    own = pa.int32() if kind == "int" else pa.float64()
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        first = key[-1].as_py() * high
+        at = np.arange(first - reach, min(h, first + high) + reach)
+        y = table.column("y").to_numpy()
+        order = np.argsort(y, kind="stable")
+        y, want = y[order], edge(at, h, mode)
+        i = np.minimum(np.searchsorted(y, want), len(y) - 1)
+        if (y[i] != want).any() or (len(y) > 1 and (y[1:] == y[:-1]).any()):
+            raise ValueError(f"frame {[k.as_py() for k in key[:-1]]}: of rows {want.min()} to {want.max()} one is missing or repeated")
+        out = f({c: _matrix(table.column(c), w)[order][i] for c in needs}, at)
+        n = len(at) - 2 * reach
+        data = [pa.repeat(k, n) for k in key[:-1]] + [pa.array(at[reach : reach + n]).cast(table.schema.field("y").type)]
+        for c in gives:
+            flat = np.ascontiguousarray(out[c]).ravel()
+            data.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), pa.array(flat.astype(np.int32 if kind == "int" else np.float64)).cast(own)))
+        return pa.Table.from_arrays(data, names=schema.names)
 
-def weighted(kernel: list[float], value: Callable[[Column], Column]) -> Column:
-    """Sum of kernel[i] * value(i), first tap first."""
-    taps = F.array(*[F.lit(float(k)) for k in kernel])
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(kernel) - 1)), F.lit(0.0), lambda s, i: s + F.get(taps, i) * value(i))
+    dealt = rows.filter((F.col("y") >= 0) & (F.col("y") < h)).select(*keys, "y", *needs, F.explode(_bands(reach, h, high, mode)).alias("band"))
+    return dealt.groupBy(*keys, "band").applyInArrow(run, schema)
 
 
-def total(n: int, value: Callable[[Column], Column], zero: float = 0.0) -> Column:
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(zero), lambda s, i: s + value(i))
+# -- rounding and passes ------------------------------------------------------------
 
 
-def even(v: Column) -> Column:
-    return F.rint(F.least(F.lit(255.0), F.greatest(F.lit(0.0), v))).cast("int")
+def even(v: Plane) -> Plane:
+    return np.rint(np.clip(v, 0.0, 255.0))
 
 
-def cut(v: Column) -> Column:
-    return F.least(F.lit(255.0), F.greatest(F.lit(0.0), v)).cast("int")
+def cut(v: Plane) -> Plane:
+    return np.trunc(np.clip(v, 0.0, 255.0))
 
 
-def up(v: Column) -> Column:
-    return F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v + 0.5).cast("int")))
+def up(v: Plane) -> Plane:
+    return np.clip(np.floor(v + 0.5), 0, 255)
 
 
-def _same(v: Column) -> Column:
-    return v
+def _single(v: Plane) -> Plane:
+    return v.astype(np.float32).astype(np.float64)
 
 
-def _single(v: Column) -> Column:
-    return v.cast("float").cast("double")
+def across(a: Plane, kernel: list[float]) -> Plane:
+    """Weighted sums along the rows, first tap first."""
+    r, w = len(kernel) // 2, a.shape[1]
+    wide = a[:, edge(np.arange(-r, w + r), w)]
+    out = np.zeros(a.shape)
+    for i, k in enumerate(kernel):
+        out += k * wide[:, i : i + w]
+    return out
 
 
-def horizontal(rows: DataFrame, w: int, kernel: list[float], finish=even, channels: tuple[str, ...] = CH) -> DataFrame:
-    r = len(kernel) // 2
-    one = lambda c: across(w, lambda x: finish(weighted(kernel, lambda i: F.get(F.col(c), edge(x + i - r, w)))))
-    return rows.withColumns({c: one(c) for c in channels})
+def down(a: Plane, kernel: list[float]) -> Plane:
+    """Weighted sums along the columns of a plane with a halo of the kernel's radius, which goes."""
+    n = len(a) - len(kernel) + 1
+    out = np.zeros((n, a.shape[1]))
+    for i, k in enumerate(kernel):
+        out += k * a[i : i + n]
+    return out
 
 
-def vertical(rows: DataFrame, w: int, h: int, kernel: list[float], finish=even, keys: tuple[str, ...] = (), channels: tuple[str, ...] = CH) -> DataFrame:
-    near = near_rows(rows, len(kernel) // 2, h, keys, channels)
-    one = lambda c: across(w, lambda x: finish(weighted(kernel, lambda i: F.get(F.get(F.col("near"), i)[c], x))))
-    return near.withColumns({c: one(c) for c in channels}).drop("near")
+def inner(a: Plane, reach: int) -> Plane:
+    """A plane without its halo."""
+    return a[reach : len(a) - reach]
 
 
-def square(rows: DataFrame, w: int, h: int, reach: int, f: Callable, keys: tuple[str, ...] = (), mode: str = "clamp", out: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """``f(c, tap)`` for each channel, where ``tap(dx, dy)`` is the neighbour's byte (columns or integers)."""
-    near = near_rows(rows, reach, h, keys, CH, mode)
+def blurred(a: Plane, kernel: list[float], first=even, second=even) -> Plane:
+    return second(down(first(across(a, kernel)), kernel))
 
-    def one(c: str) -> Column:
-        return across(w, lambda x: f(c, lambda dx, dy, ch=c: F.get(F.get(F.col("near"), F.lit(reach) + dy)[ch], edge(x + dx, w, mode))))
 
-    return near.withColumns({c: one(c) for c in out}).drop("near")
+def boxed(a: Plane, r: int) -> Plane:
+    """Means over 2r+1 bytes, along rows and then columns; sums of whole numbers, so running sums are exact."""
+    n, w = 2 * r + 1, a.shape[1]
+    wide = a[:, edge(np.arange(-r, w + r), w)].astype(np.int64)
+    run = np.concatenate((np.zeros((len(a), 1), np.int64), np.cumsum(wide, axis=1)), axis=1)
+    one = even((run[:, n:] - run[:, :-n]) / n).astype(np.int64)
+    run = np.concatenate((np.zeros((1, w), np.int64), np.cumsum(one, axis=0)))
+    return even((run[n:] - run[:-n]) / n)
 
 
-def pairwise(rows: DataFrame, other: DataFrame, f: Callable[[Column, Column], Column], keys: tuple[str, ...] = (), channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """Row by row of two frames: f(own byte, other byte)."""
-    o = other.select(*keys, "y", *[F.col(c).alias(f"o_{c}") for c in channels])
-    joined = rows.join(o, [*keys, "y"])
-    return joined.withColumns({c: F.zip_with(c, f"o_{c}", f) for c in channels}).drop(*[f"o_{c}" for c in channels])
+def taps(a: Plane, reach: int, mode: str = "clamp") -> Callable[[int, int], Plane]:
+    """``tap(dx, dy)``: the plane of neighbours at that offset."""
+    w, n = a.shape[1], len(a) - 2 * reach
+    wide = a[:, edge(np.arange(-reach, w + reach), w, mode)]
+    return lambda dx, dy: wide[reach + dy : reach + dy + n, reach + dx : reach + dx + w]
 
 
 # -- operators ----------------------------------------------------------------------
@@ -161,39 +231,58 @@ def pairwise(rows: DataFrame, other: DataFrame, f: Callable[[Column, Column], Co
 
 def convolve(rows, w, h, kernel: list[float], size: int, mode="clamp", gain=1.0, bias=0.0, keys=()):
     half = size // 2
-    k = F.array(*[F.lit(float(v)) for v in kernel])
-    f = lambda c, tap: cut(total(size * size, lambda i: tap((i % size) - half, F.floor(i / size).cast("int") - half) * F.get(k, i)) * gain + bias)
-    return square(rows, w, h, half, f, keys, mode)
+
+    def f(src, at):
+        out = {"a": inner(src["a"], half)}
+        for c in RGB:
+            tap, total = taps(src[c], half, mode), 0.0
+            for i in range(size * size):
+                total = total + tap(i % size - half, i // size - half) * float(kernel[i])
+            out[c] = cut(total * gain + bias)
+        return out
+
+    return banded(rows, w, h, half, f, keys, mode=mode)
 
 
 def gaussian_blur(rows, w, h, radius=4, keys=(), channels=CH):
     k = gaussian_kernel(radius)
-    return vertical(horizontal(rows, w, k, even, channels), w, h, k, even, keys, channels)
+    return banded(rows, w, h, len(k) // 2, lambda src, at: {c: blurred(src[c], k) for c in channels}, keys, channels, channels)
 
 
 def frequency_blur(rows, w, h, radius=8, keys=()):
     """Like ``gaussian_blur`` with another sigma, single precision between the passes."""
     k = frequency_kernel(radius)
-    return vertical(horizontal(rows, w, k, _single), w, h, k, even, keys)
+    return banded(rows, w, h, len(k) // 2, lambda src, at: {c: blurred(src[c], k, _single) for c in CH}, keys)
 
 
 def box_blur(rows, w, h, radius=1, keys=()):
     r = max(1, int(radius))
-    n = 2 * r + 1
-    mean = lambda v: even(v / n)
-    ones = [1.0] * n
-    return vertical(horizontal(rows, w, ones, mean, ("r", "g", "b")), w, h, ones, mean, keys, ("r", "g", "b"))
+    return banded(rows, w, h, r, lambda src, at: {c: boxed(src[c], r) for c in RGB} | {"a": inner(src["a"], r)}, keys)
+
+
+def with_blur(rows, w, h, kernel: list[float], first, f: Callable[[Plane, Plane], Plane], keys=()) -> DataFrame:
+    """``f(own, blurred)`` for each colour; alpha stays."""
+    r = len(kernel) // 2
+    return banded(rows, w, h, r, lambda src, at: {c: f(inner(src[c], r), blurred(src[c], kernel, first)) for c in RGB} | {"a": inner(src["a"], r)}, keys)
 
 
 def unsharp_mask(rows, w, h, amount=1.2, radius=2, threshold=0, keys=()):
-    f = lambda s, b: F.when(F.abs(s - b) < threshold, s).otherwise(cut(s + (s - b) * F.lit(float(amount))))
-    return pairwise(rows, gaussian_blur(rows, w, h, radius, keys), f, keys)
+    f = lambda s, b: np.where(np.abs(s - b) < threshold, s, cut(s + (s - b) * float(amount)))
+    return with_blur(rows, w, h, gaussian_kernel(radius), even, f, keys)
 
 
 def emboss(rows, w, h, strength=1.5, direction=135.0, keys=()):
     rad = math.radians(direction)
     dx, dy = math.floor(math.cos(rad) + 0.5), math.floor(-math.sin(rad) + 0.5)
-    return square(rows, w, h, 1, lambda c, tap: cut((tap(dx, dy) * 0.5 - tap(-dx, -dy) * 0.5) * strength + 128.0), keys)
+
+    def f(src, at):
+        out = {"a": inner(src["a"], 1)}
+        for c in RGB:
+            tap = taps(src[c], 1)
+            out[c] = cut((tap(dx, dy) * 0.5 - tap(-dx, -dy) * 0.5) * strength + 128.0)
+        return out
+
+    return banded(rows, w, h, 1, f, keys)
 
 
 #: The gradient kernels and luma weights of the edge detector.
@@ -202,82 +291,77 @@ SOBEL_Y = (-1, -2, -1, 0, 0, 0, 1, 2, 1)
 LUMA = (0.299, 0.587, 0.114)
 
 
-def sobel_edge(rows, w, h, invert=False, boost=1.0, keys=()):
-    luma = F.transform(F.arrays_zip("r", "g", "b"), lambda p: p["r"] * LUMA[0] + p["g"] * LUMA[1] + p["b"] * LUMA[2])
-    grey = rows.withColumn("l", luma)
-    near = near_rows(grey, 1, h, keys, ("l",))
+def _edges(src: dict[str, Plane], boost: float) -> Plane:
+    """Gradient magnitude of the luma, at most 255; the halo of one goes."""
+    luma = src["r"] * LUMA[0] + src["g"] * LUMA[1] + src["b"] * LUMA[2]
+    tap = taps(luma, 1)
+    grad = lambda k: sum((tap(i % 3 - 1, i // 3 - 1) * float(v) for i, v in enumerate(k) if v), 0.0)
+    gx, gy = grad(SOBEL_X), grad(SOBEL_Y)
+    return np.minimum(255.0, np.sqrt(gx * gx + gy * gy) * boost)
+
 
-    def at(x: Column) -> Column:
-        tap = lambda i: F.get(F.get(F.col("near"), F.lit(i // 3))["l"], edge(x + (i % 3 - 1), w))
-        grad = lambda k: sum((tap(i) * float(v) for i, v in enumerate(k) if v), F.lit(0.0))
-        gx, gy = grad(SOBEL_X), grad(SOBEL_Y)
-        mag = F.least(F.lit(255.0), F.sqrt(gx * gx + gy * gy) * boost)
-        return even(255.0 - mag if invert else mag)
+def sobel_edge(rows, w, h, invert=False, boost=1.0, keys=()):
+    def f(src, at):
+        mag = _edges(src, boost)
+        v = even(255.0 - mag if invert else mag)
+        return {"r": v, "g": v, "b": v, "a": np.full(v.shape, 255)}
 
-    out = near.withColumn("r", across(w, at)).drop("near", "l")
-    return out.withColumns({"g": F.col("r"), "b": F.col("r"), "a": F.array_repeat(F.lit(255), w)})
+    return banded(rows, w, h, 1, f, keys, RGB)
 
 
 def median_filter(rows, w, h, radius=1, keys=()):
     n = 2 * radius + 1
 
-    def f(c, tap):
-        values = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: tap(i % n - radius, F.floor(i / n).cast("int") - radius))
-        return F.get(F.sort_array(values), F.lit(n * n // 2))
+    def f(src, at):
+        out = {"a": inner(src["a"], radius)}
+        for c in RGB:
+            tap = taps(src[c].astype(np.uint8), radius)
+            near = np.stack([tap(i % n - radius, i // n - radius) for i in range(n * n)])
+            out[c] = np.partition(near, n * n // 2, axis=0)[n * n // 2]
+        return out
 
-    return square(rows, w, h, radius, f, keys)
+    return banded(rows, w, h, radius, f, keys)
 
 
-def posterize_byte(v: Column, levels: int) -> Column:
+def posterized(v: Plane, levels: int) -> Plane:
     step = 255 / (max(2, levels) - 1)
-    return cut(F.floor(F.floor(v / F.lit(step) + 0.5) * step + 0.5).cast("double"))
-
-
-def _ink(levels: int, colour: int):
-    return lambda v, e: F.when(e < 60, posterize_byte(v, levels)).otherwise(F.lit(colour))
-
-
-def _where_set(colour: int):
-    return lambda v: F.when(v > 0, colour).otherwise(0)
-
-
-def _field(c: str):
-    return lambda v: even(v[c])
+    return cut(np.floor(np.floor(v / step + 0.5) * step + 0.5))
 
 
 def cel_shade(rows, w, h, levels=4, boost=1.0, keys=()):
     """Posterised, with ink where the edge detector reaches 60."""
-    edges = sobel_edge(rows, w, h, boost=boost, keys=keys)
     ink = {"r": 20, "g": 20, "b": 24}
-    o = edges.select(*keys, "y", F.col("r").alias("e"))
-    joined = rows.join(o, [*keys, "y"])
-    return joined.withColumns({c: F.zip_with(c, "e", _ink(levels, k)) for c, k in ink.items()}).drop("e")
+
+    def f(src, at):
+        line = even(_edges(src, boost)) >= 60
+        return {c: np.where(line, k, posterized(inner(src[c], 1), levels)) for c, k in ink.items()} | {"a": inner(src["a"], 1)}
+
+    return banded(rows, w, h, 1, f, keys)
 
 
 def kuwahara(rows, w, h, radius=3, keys=()):
     """Mean of the quadrant with the least variance; of equal ones the first."""
     r = max(1, int(radius))
     n = (r + 1) ** 2
-    near = near_rows(rows, r, h, keys, ("r", "g", "b"))
 
-    def at(x: Column) -> Column:
-        def quadrant(q: int, ox: int, oy: int) -> Column:
-            tap = lambda c, i: F.get(F.get(F.col("near"), F.lit(r + oy) + F.floor(i / (r + 1)).cast("int"))[c], edge(x + ox + i % (r + 1), w)).cast("double")
-            sums = F.aggregate(
-                F.sequence(F.lit(0), F.lit(n - 1)),
-                F.struct(*[F.lit(0.0).alias(k) for c in "rgb" for k in (f"s{c}", f"q{c}")]),
-                lambda s, i: F.struct(*[e for c in "rgb" for e in ((s[f"s{c}"] + tap(c, i)).alias(f"s{c}"), (s[f"q{c}"] + tap(c, i) * tap(c, i)).alias(f"q{c}"))]),
-            )
-            mean = lambda v, c: v[f"s{c}"] / float(n)
-            var = lambda v, c: v[f"q{c}"] / float(n) - mean(v, c) * mean(v, c)
-            return F.get(
-                F.transform(F.array(sums), lambda v: F.struct((var(v, "r") + var(v, "g") + var(v, "b")).alias("var"), F.lit(q).alias("q"), *[mean(v, c).alias(c) for c in "rgb"])), F.lit(0)
-            )
-
-        return F.array_min(F.array(*[quadrant(q, ox, oy) for q, (ox, oy) in enumerate(((-r, -r), (0, -r), (-r, 0), (0, 0)))]))
-
-    best = near.withColumn("best", across(w, at))
-    return best.withColumns({c: F.transform("best", _field(c)) for c in "rgb"}).drop("near", "best")
+    def f(src, at):
+        tap = {c: taps(src[c], r) for c in RGB}
+        best, out = None, {}
+        for ox, oy in ((-r, -r), (0, -r), (-r, 0), (0, 0)):
+            mean, var = {}, 0.0
+            for c in RGB:
+                total, square = 0.0, 0.0
+                for i in range(n):
+                    v = tap[c](ox + i % (r + 1), oy + i // (r + 1)).astype(float)
+                    total, square = total + v, square + v * v
+                mean[c] = total / float(n)
+                var = var + (square / float(n) - mean[c] * mean[c])
+            less = var < best if best is not None else np.ones(var.shape, bool)
+            best = np.where(less, var, best) if best is not None else var
+            out = {c: np.where(less, mean[c], out[c]) if out else mean[c] for c in RGB}
+        return {c: even(v) for c, v in out.items()} | {"a": inner(src["a"], r)}
+
+    return banded(rows, w, h, r, f, keys)
 
 
 def to_linear(v: Column) -> Column:
@@ -288,90 +372,125 @@ def to_srgb(v: Column) -> Column:
     return F.when(v >= 1, 1.0).when(v <= 0, 0.0).when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
 
 
+def linear(v: Plane) -> Plane:
+    """The same on planes."""
+    return np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4)
+
+
+def gamma(v: Plane) -> Plane:
+    return np.where(v >= 1, 1.0, np.where(v <= 0.0031308, np.maximum(v, 0.0) * 12.92, 1.055 * np.maximum(v, 0.0) ** (1 / 2.4) - 0.055))
+
+
 def bloom(rows, w, h, blur=12, intensity=0.7, keys=()):
-    f = lambda s, b: cut(to_srgb(F.least(F.lit(1.0), to_linear(s / 255.0) + to_linear(b / 255.0) * intensity)) * 255.0)
-    return pairwise(rows, gaussian_blur(rows, w, h, blur, keys), f, keys)
+    f = lambda s, b: cut(gamma(np.minimum(1.0, linear(s / 255.0) + linear(b / 255.0) * intensity)) * 255.0)
+    return with_blur(rows, w, h, gaussian_kernel(blur), even, f, keys)
 
 
 def motion_blur(rows, w, h, length=20, angle=0.0, zoom=0.0, keys=()):
-    """``length`` taps along a line (or out from the centre), coordinates rounded to whole pixels.
+    """``length`` taps along a line, and with ``zoom`` out from the centre; coordinates rounded to whole pixels, clamped.
 
-    Taps are joined by their rounded source coordinate, so any reach works.
+    The reach follows from length, angle and zoom; with zoom it grows with the frame's height.
     """
     n = max(1, int(length))
     dx, dy = math.cos(math.radians(angle)), math.sin(math.radians(angle))
     fs = [t / n * 2 - 1 for t in range(n)]
-    reach = max(abs(math.floor(dy * f * length * 0.5 + 0.5)) for f in fs) + 1
-    whole = lambda v: F.floor(v + 0.5).cast("int")
-    if zoom > 0:
-        raise ValueError("zoom needs a gather by pixel: see geometry.motion_zoom")
-    near = near_rows(rows, reach, h, keys)
+    zoom = max(0.0, zoom)
 
-    def one(c: str) -> Column:
-        def at(x: Column) -> Column:
-            taps = [F.get(F.get(F.col("near"), F.lit(reach + math.floor(dy * f * length * 0.5 + 0.5)))[c], edge(whole(x + dx * f * length * 0.5), w)) for f in fs]
-            return even(sum(taps[1:], taps[0]) / float(n))
+    def to(v: Plane, f: float, d: float, size: int) -> Plane:
+        mid = size / 2
+        moved = mid + (v - mid) * (1 + f * zoom) if zoom else v
+        return np.clip(np.floor(moved + d * f * length * 0.5 + 0.5).astype(int), 0, size - 1)
 
-        return across(w, at)
+    every = np.arange(h)
+    reach = max(int(np.abs(to(every, f, dy, h) - every).max(initial=0)) for f in fs)
 
-    return near.withColumns({c: one(c) for c in CH}).drop("near")
+    def run(src, at):
+        own = inner(at, reach)
+        out = {}
+        for c in CH:
+            total = 0
+            for f in fs:
+                total = total + src[c][np.ix_(to(own, f, dy, h) - at[0], to(np.arange(w), f, dx, w))].astype(np.int64)
+            out[c] = even(total / float(n))
+        return out
+
+    return banded(rows, w, h, reach, run, keys)
 
 
 def frequency_separate(rows, w, h, radius=8, keys=()) -> dict[str, DataFrame]:
     """low, high and their recombination."""
-    low = frequency_blur(rows, w, h, radius, keys)
-    high = pairwise(rows, low, lambda s, b: up((s - b) / 2.0 + 128.0), keys)
-    recon = pairwise(low, high, lambda b, t: up(b + 2.0 * (t - 128)), keys)
-    return {"low": low, "high": high, "recon": recon}
+    k = frequency_kernel(radius)
+    high = lambda s, b: up((s - b) / 2.0 + 128.0)
+    return {
+        "low": frequency_blur(rows, w, h, radius, keys),
+        "high": with_blur(rows, w, h, k, _single, high, keys),
+        "recon": with_blur(rows, w, h, k, _single, lambda s, b: up(b + 2.0 * (high(s, b) - 128)), keys),
+    }
+
+
+def frequency_layers(rows, w, h, radius=8, keys=()) -> dict[str, DataFrame]:
+    """Two layers that give the frame back: ``low`` below, ``high`` over it in linear light mode; the difference is taken in linear light."""
+    part = lambda s, b: up(gamma(np.clip((linear(s / 255.0) - linear(b / 255.0)) / 2 + 0.5, 0.0, 1.0)) * 255.0)
+    return {"low": frequency_blur(rows, w, h, radius, keys), "high": with_blur(rows, w, h, frequency_kernel(radius), _single, part, keys)}
 
 
 def smooth_tones(rows, w, h, radius=10, strength=0.7, keys=()):
-    return pairwise(rows, frequency_blur(rows, w, h, radius, keys), lambda s, b: up(s + (b - s) * F.lit(float(strength))), keys)
+    return with_blur(rows, w, h, frequency_kernel(radius), _single, lambda s, b: up(s + (b - s) * float(strength)), keys)
 
 
 def blemish_mask(rows, w, h, threshold=30, radius=3, keys=()) -> DataFrame:
     """(keys, y, m): 1 where the pixel departs from its blur by more than ``threshold`` over the channels."""
-    b = gaussian_blur(rows, w, h, radius, keys, ("r", "g", "b"))
-    d = pairwise(rows, b, lambda s, t: F.abs(s - t), keys)
-    m = F.transform(F.arrays_zip("r", "g", "b"), lambda p: (p["r"] + p["g"] + p["b"] > threshold).cast("int"))
-    return d.select(*keys, "y", m.alias("m"))
+    k = gaussian_kernel(radius)
+    r = len(k) // 2
+    f = lambda src, at: {"m": sum(np.abs(inner(src[c], r) - blurred(src[c], k)) for c in RGB) > threshold}
+    return banded(rows, w, h, r, f, keys, RGB, ("m",))
 
 
 def masked_smooth(rows, mask: DataFrame, w, h, radius=10, strength=0.6, keys=()):
     """Towards the blur where ``mask`` (y, m as an array of 0..1) is set."""
-    b = gaussian_blur(rows, w, h, radius, keys, ("r", "g", "b"))
-    o = b.select(*keys, "y", *[F.col(c).alias(f"o_{c}") for c in "rgb"])
-    joined = rows.join(o, [*keys, "y"]).join(mask.select(*keys, "y", "m"), [*keys, "y"])
-    f = lambda c: F.transform(F.arrays_zip(F.col(c).alias("s"), F.col(f"o_{c}").alias("t"), F.col("m").alias("m")), lambda p: up(p["s"] + (p["t"] - p["s"]) * p["m"] * F.lit(float(strength))))
-    return joined.withColumns({c: f(c) for c in "rgb"}).drop("m", "o_r", "o_g", "o_b")
+    k = gaussian_kernel(radius)
+    r = len(k) // 2
+    joined = rows.select(*keys, "y", *CH).join(mask.select(*keys, "y", F.transform("m", lambda v: v.cast("double")).alias("m")), [*keys, "y"])
+
+    def f(src, at):
+        m = inner(src["m"], r)
+        soft = lambda s, b: up(s + (b - s) * m * float(strength))
+        return {c: soft(inner(src[c], r), blurred(src[c], k)) for c in RGB} | {"a": inner(src["a"], r)}
+
+    return banded(joined, w, h, r, f, keys, (*CH, "m"))
 
 
 def glow_from_alpha(rows, w, h, color=(255, 210, 0), radius=14, intensity=1.0, keys=()):
     k = glow_kernel(radius)
-    alpha = rows.select(*keys, "y", F.transform("a", lambda v: (v / 255.0).cast("float").cast("double")).alias("a"))
-    soft = vertical(horizontal(alpha, w, k, _single, ("a",)), w, h, k, _single, keys, ("a",))
-    out = soft.withColumn("a", F.transform("a", lambda v: F.floor(F.least(F.lit(1.0), v * 1.4 * intensity) * 255.0 + 0.5).cast("int")))
-    hue = {c: F.transform("a", _where_set(k)) for c, k in zip("rgb", color)}
-    return out.withColumns(hue).select(*keys, "y", *CH)
+
+    def f(src, at):
+        soft = blurred(_single(src["a"] / 255.0), k, _single, _single)
+        a = np.floor(np.minimum(1.0, soft * 1.4 * intensity) * 255.0 + 0.5)
+        return {c: np.where(a > 0, v, 0) for c, v in zip(RGB, color)} | {"a": a}
+
+    return banded(rows, w, h, len(k) // 2, f, keys, ("a",))
 
 
 def drop_shadow(rows, w, h, dx=6, dy=8, blur=8, color=(0, 0, 0), opacity=0.55, keys=()):
     """A shifted, softened silhouette, cleared under the subject; means ignore what lies outside the frame."""
     sx, sy = math.floor(dx + 0.5), math.floor(dy + 0.5)
-    moved = rows.select(*keys, (F.col("y") + sy).alias("y"), across(w, lambda x: F.coalesce(F.get("a", x - sx), F.lit(0))).alias("s")).filter((F.col("y") >= 0) & (F.col("y") < h))
-    soft = rows.select(*keys, "y", F.col("a").alias("sil")).join(moved, [*keys, "y"], "left")
-    soft = soft.withColumn("s", F.coalesce("s", F.array_repeat(F.lit(0), w)))
-    for _ in range(min(3, max(0, math.floor(blur / 2 + 0.5)))):
-        near = near_rows(soft, 1, h, keys, ("s", "sil"))
-
-        def at(x: Column) -> Column:
-            inside = lambda d: (F.col("y") + d >= 0) & (F.col("y") + d < h)
-            tap = lambda i, j: F.when(inside(j), F.get(F.get(F.col("near"), F.lit(1 + j))["s"], x + i))
-            cells = F.filter(F.array(*[tap(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1)]), lambda v: v.isNotNull())
-            return even(F.aggregate(cells, F.lit(0), lambda s, v: s + v) / F.size(cells))
-
-        soft = near.withColumn("s", across(w, at)).drop("near")
+    rounds = min(3, max(0, math.floor(blur / 2 + 0.5)))
+    reach = abs(sy) + rounds
     op = min(1.0, max(0.0, opacity))
-    a = F.zip_with("s", "sil", lambda s, k: F.when(k > 0, 0).otherwise(F.floor(F.least(F.lit(255.0), s * F.lit(op)) + 0.5).cast("int")))
-    out = soft.withColumn("a", a)
-    return out.withColumns({c: F.transform("a", _where_set(k)) for c, k in zip("rgb", color)}).select(*keys, "y", *CH)
+
+    def f(src, at):
+        a, n = src["a"], len(at)
+        inside = ((at >= 0) & (at < h))[:, None]
+        y, x = np.arange(n) - sy, np.arange(w) - sx
+        there = ((y >= 0) & (y < n))[:, None] & ((x >= 0) & (x < w)) & ((at - sy >= 0) & (at - sy < h))[:, None]
+        s = np.where(there & inside, a[np.clip(y, 0, n - 1)][:, np.clip(x, 0, w - 1)], 0).astype(float)
+        count = np.pad(np.broadcast_to(inside, (n, w)).astype(float), 1)
+        cells = sum(count[1 + j : 1 + j + n, 1 + i : 1 + i + w] for j in (-1, 0, 1) for i in (-1, 0, 1))
+        for _ in range(rounds):
+            wide = np.pad(np.where(inside, s, 0.0), 1)
+            total = sum(wide[1 + j : 1 + j + n, 1 + i : 1 + i + w] for j in (-1, 0, 1) for i in (-1, 0, 1))
+            s = even(total / np.maximum(1.0, cells))
+        out = np.where(inner(a, reach) > 0, 0, np.floor(np.minimum(255.0, inner(s, reach) * op) + 0.5))
+        return {c: np.where(out > 0, k, 0) for c, k in zip(RGB, color)} | {"a": out}
+
+    return banded(rows, w, h, reach, f, keys, ("a",))

@@ -182,11 +182,9 @@ def _offsets(rows: list[tuple]) -> str:
 
 
 def taps(src: str, rows: list[tuple], select: str, mode: str = "clamp") -> str:
-    """For each pixel p of ``src``, its neighbours s with weight k; grouped by the pixel."""
-    return (
-        f"SELECT p.x, p.y, {select} FROM {src} p CROSS JOIN hh CROSS JOIN {_offsets(rows)} "
-        f"JOIN {src} s ON s.x = {_edge_sql('p.x + o.dx', str(W), mode)} AND s.y = {_edge_sql('p.y + o.dy', 'hh.h', mode)} GROUP BY p.x, p.y"
-    )
+    """For each pixel of ``src``, its neighbours s with tap o (i, k); grouped by the pixel. The taps are written first: then the join has plain keys."""
+    every = f"SELECT p.x, p.y, o.i, o.k, {_edge_sql('p.x + o.dx', str(W), mode)} AS sx, {_edge_sql('p.y + o.dy', 'hh.h', mode)} AS sy FROM {src} p CROSS JOIN hh CROSS JOIN {_offsets(rows)}"
+    return f"SELECT * FROM (WITH o AS MATERIALIZED ({every}) SELECT o.x, o.y, {select} FROM o JOIN {src} s ON s.x = o.sx AND s.y = o.sy GROUP BY o.x, o.y)"
 
 
 def _line(kernel, down: bool) -> list[tuple]:
@@ -252,12 +250,19 @@ stencil(
     SOBEL,
     f"SELECT p.x, p.y, {rgb(lambda c: f'CASE WHEN {EVEN(chr(109))} < 60 THEN {_post(f'p.{c}')} ELSE {24 if c == 'b' else 20} END')} FROM px p JOIN sobel USING (x, y)",
 )
+
+
+
+def _kuwahara_sql() -> str:
+    means = ", ".join(f"avg(s.{c}) AS m{c}, sum(s.{c} * s.{c}) / 9.0::DOUBLE - (sum(s.{c}) / 9.0::DOUBLE) * (sum(s.{c}) / 9.0::DOUBLE) AS v{c}" for c in "rgb")
+    return taps("px", _quads, f"o.k AS q, {means}").replace("GROUP BY o.x, o.y)", "GROUP BY o.x, o.y, o.k)")
+
+
 _quads = [(ox + i % 3, oy + i // 3, q) for q, (ox, oy) in enumerate(((-2, -2), (0, -2), (-2, 0), (0, 0))) for i in range(9)]
 stencil(
     "stencil_kuwahara",
     lambda d, w, h: T.kuwahara(d, w, h, 2),
-    f"q AS (SELECT p.x, p.y, o.k AS q, {', '.join(f'avg(s.{c}) AS m{c}, sum(s.{c} * s.{c}) / 9.0::DOUBLE - (sum(s.{c}) / 9.0::DOUBLE) * (sum(s.{c}) / 9.0::DOUBLE) AS v{c}' for c in 'rgb')} "
-    f"FROM px p CROSS JOIN hh CROSS JOIN {_offsets(_quads)} JOIN px s ON s.x = {_edge_sql('p.x + o.dx', str(W))} AND s.y = {_edge_sql('p.y + o.dy', 'hh.h')} GROUP BY p.x, p.y, o.k)",
+    f"q AS (SELECT x, y, q, {', '.join(f'm{c}, v{c}' for c in 'rgb')} FROM ({_kuwahara_sql()}))",
     f"SELECT x, y, {rgb(lambda c: EVEN(f'm{c}'))} FROM q QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY vr + vg + vb, q) = 1",
 )
 _lin = lambda v: f"(CASE WHEN {v} <= 0.04045::DOUBLE THEN {v} / 12.92::DOUBLE ELSE power(({v} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END)"
@@ -270,7 +275,7 @@ stencil(
 )
 _n = 9
 _moves = [(math.floor((t / _n * 2 - 1) * _n * 0.5 * math.cos(0.5) + 0.5), math.floor((t / _n * 2 - 1) * _n * 0.5 * math.sin(0.5) + 0.5), 1) for t in range(_n)]
-stencil("stencil_motion_blur", lambda d, w, h: T.motion_blur(d, w, h, _n, math.degrees(0.5)), "", taps("px", _moves, rgb(lambda c: EVEN(f"sum(s.{c}) / 9.0::DOUBLE"))))
+stencil("stencil_motion_blur", lambda d, w, h, n=_n: T.motion_blur(d, w, h, n, math.degrees(0.5)), "", taps("px", _moves, rgb(lambda c: EVEN(f"sum(s.{c}) / 9.0::DOUBLE"))))
 _FREQ = two_pass(T.frequency_kernel(4), SINGLE, EVEN)
 _HIGH = f"high AS (SELECT p.x, p.y, {rgb(lambda c: UP(f'(p.{c} - q.{c}) / 2.0::DOUBLE + 128.0::DOUBLE'))} FROM px p JOIN blur q USING (x, y))"
 stencil("stencil_frequency_high", lambda d, w, h: T.frequency_separate(d, w, h, 4)["high"], f"{_FREQ}, {_HIGH}", "SELECT * FROM high")
@@ -280,6 +285,12 @@ stencil(
     f"{_FREQ}, {_HIGH}",
     f"SELECT q.x, q.y, {rgb(lambda c: f'least(255, greatest(0, q.{c} + 2 * (t.{c} - 128)))')} FROM blur q JOIN high t USING (x, y)",
 )
+stencil(
+    "stencil_frequency_layer",
+    lambda d, w, h: T.frequency_layers(d, w, h, 4)["high"],
+    _FREQ,
+    _with(lambda c: UP(f"{_srgb(f'least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({_lin(f"(p.{c} / 255.0::DOUBLE)")} - {_lin(f"(q.{c} / 255.0::DOUBLE)")}) / 2 + 0.5::DOUBLE))')} * 255.0::DOUBLE")),
+)
 stencil("stencil_smooth_tones", lambda d, w, h: T.smooth_tones(d, w, h, 4, 0.7), _FREQ, _with(lambda c: UP(f"p.{c} + (q.{c} - p.{c}) * 0.7::DOUBLE")))
 _G3 = two_pass(T.gaussian_kernel(3), EVEN, EVEN)
 _BLEM = "blem AS (SELECT p.x, p.y, (abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b) > 60)::INT AS m FROM px p JOIN blur q USING (x, y))"
@@ -303,7 +314,8 @@ stencil(
 
 
 def _means(src: str, out: str) -> str:
-    near = f"SELECT p.x, p.y, sum(s.s) / count(*) AS m FROM {src} p CROSS JOIN {_offsets(_grid(1))} JOIN {src} s ON s.x = p.x + o.dx AND s.y = p.y + o.dy GROUP BY p.x, p.y"
+    every = f"SELECT p.x, p.y, p.x + o.dx AS sx, p.y + o.dy AS sy FROM {src} p CROSS JOIN {_offsets(_grid(1))}"
+    near = f"WITH o AS MATERIALIZED ({every}) SELECT o.x, o.y, sum(s.s) / count(*) AS m FROM o JOIN {src} s ON s.x = o.sx AND s.y = o.sy GROUP BY o.x, o.y"
     return f"{out} AS MATERIALIZED (SELECT x, y, {EVEN('m')} AS s FROM ({near}))"
 
 
@@ -416,7 +428,7 @@ framed("select_clear", lambda s, p, w, h: Z.clear(p, Z.rect_mask(p, _RECT)), f"S
 _SEED = "seed AS (SELECT r AS sr, g AS sg, b AS sb FROM px WHERE x = 32 AND y = 40)"
 _near = lambda t, k: f"(r - sr) * (r - sr) + (g - sg) * (g - sg) + (b - sb) * (b - sb) <= {t * t * k}"
 _MEMBER = lambda t, k: f"{_SEED}, m AS (SELECT x, y FROM px, seed WHERE {_near(t, k)})"
-_GROW = "g AS (SELECT x, y FROM m WHERE x = 32 AND y = 40 UNION SELECT m.x, m.y FROM g JOIN m ON (m.x = g.x + 1 AND m.y = g.y) OR (m.x = g.x - 1 AND m.y = g.y) OR (m.x = g.x AND m.y = g.y + 1) OR (m.x = g.x AND m.y = g.y - 1))"
+_GROW = "g AS (SELECT x, y FROM m WHERE x = 32 AND y = 40 UNION SELECT m.x, m.y FROM (SELECT x + unnest([1, -1, 0, 0]) AS x, y + unnest([0, 0, 1, -1]) AS y FROM g) n JOIN m USING (x, y))"
 
 
 def region(key: str, run, ctes: str, select: str) -> None:
@@ -433,7 +445,7 @@ _MOST = 25 * math.sqrt(3)
 region(
     "region_chroma_key",
     lambda p, w, h: Z.chroma_key(p, w, h, (120, 130, 125), 25),
-    f"m AS (SELECT x, y FROM px WHERE {_D} < {_MOST!r}::DOUBLE), g AS (SELECT m.x, m.y FROM m, hh WHERE x = 0 OR y = 0 OR x = 63 OR y = h - 1 UNION SELECT m.x, m.y FROM g JOIN m ON (m.x = g.x + 1 AND m.y = g.y) OR (m.x = g.x - 1 AND m.y = g.y) OR (m.x = g.x AND m.y = g.y + 1) OR (m.x = g.x AND m.y = g.y - 1)), "
+    f"m AS (SELECT x, y FROM px WHERE {_D} < {_MOST!r}::DOUBLE), g AS (SELECT m.x, m.y FROM m, hh WHERE x = 0 OR y = 0 OR x = 63 OR y = h - 1 UNION SELECT m.x, m.y FROM (SELECT x + unnest([1, -1, 0, 0]) AS x, y + unnest([0, 0, 1, -1]) AS y FROM g) n JOIN m USING (x, y)), "
     f"al AS MATERIALIZED (SELECT px.x, px.y, r, px.g AS gg, b, {SINGLE(f'CASE WHEN g.x IS NOT NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, sqrt(((r - 120) * (r - 120) + (px.g - 130) * (px.g - 130) + (b - 125) * (b - 125))::DOUBLE) / {_MOST!r}::DOUBLE) END')} AS al FROM px LEFT JOIN g ON g.x = px.x AND g.y = px.y), "
     f"so AS (SELECT p.x, p.y, {SINGLE('sum(coalesce(s.al, p.al) * o.k) / 16.0::DOUBLE')} AS f FROM al p CROSS JOIN {_offsets(_grid(1, [1, 2, 1, 2, 4, 2, 1, 2, 1]))} LEFT JOIN al s ON s.x = p.x + o.dx AND s.y = p.y + o.dy GROUP BY p.x, p.y), "
     "fin AS (SELECT x, y, r, gg, b, f, least(1.0::DOUBLE, (1 - f) * 0.7::DOUBLE) AS sp FROM al JOIN so USING (x, y))",
