@@ -69,20 +69,27 @@ def tidy(run):
     """``run`` (a function of a group, or a generator over batches), its memory released when it ends."""
 
     @functools.wraps(run)
-    def one(*args):
+    def one(a):
         try:
-            return run(*args)
+            return run(a)
         finally:
             release()
 
     @functools.wraps(run)
-    def many(*args):
+    def two(a, b):
         try:
-            yield from run(*args)
+            return run(a, b)
         finally:
             release()
 
-    return many if inspect.isgeneratorfunction(run) else one
+    @functools.wraps(run)
+    def many(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return many if inspect.isgeneratorfunction(run) else two if len(inspect.signature(run).parameters) == 2 else one
 
 
 def ascii_lower(text: Column) -> Column:

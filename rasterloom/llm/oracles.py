@@ -68,23 +68,29 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.r AS component_id, m.
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS r FROM c GROUP BY doc_id) m USING (doc_id)
 """
 
-#: The bigram model on the words themselves; scores at six decimals on both sides.
+#: The trigram model on the words themselves. chr(0) ends a text, and as a context begins it.
 OP1 = f"""
 WITH d AS (SELECT doc_id, {crc32("doc_id::VARCHAR")} % 7 = 2 AS held_out, list_append({_WORDS}, chr(0)) AS w FROM documents),
-t AS MATERIALIZED (SELECT doc_id, held_out, i, w[i] AS w, CASE WHEN i = 1 THEN chr(0) ELSE w[i - 1] END AS h FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+t AS MATERIALIZED (
+  SELECT doc_id, held_out, i, w[i] AS w, CASE WHEN i = 1 THEN chr(0) ELSE w[i - 1] END AS h, CASE WHEN i = 2 THEN chr(0) WHEN i > 2 THEN w[i - 2] END AS hh
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)
+),
 u AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
 g AS MATERIALIZED (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY h, w),
+gg AS MATERIALIZED (SELECT hh, h, w, count(*) AS c FROM t WHERE NOT held_out AND i > 1 GROUP BY hh, h, w),
 s AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v, count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2 FROM u),
 p AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2)::DOUBLE ELSE 0.5::DOUBLE END AS dis FROM s),
 x AS (
-  SELECT t.doc_id, t.held_out, p.n, p.v, coalesce(u.c, 0) AS cu, coalesce(k.c, 0) AS ck, coalesce(g.c, 0) AS cg,
+  SELECT t.doc_id, t.held_out, i, p.n, p.v, coalesce(u.c, 0) AS cu, coalesce(k.c, 0) AS ck, coalesce(g.c, 0) AS cg, coalesce(kk.c, 0) AS ckk, coalesce(gg.c, 0) AS cgg,
     CASE WHEN p.n = 0 THEN 1.0::DOUBLE WHEN coalesce(u.c, 0) > 0 THEN (u.c - dis) / p.n ELSE dis * p.v / p.n END AS pu
   FROM t CROSS JOIN p LEFT JOIN u ON u.w = t.w LEFT JOIN u k ON k.w = t.h LEFT JOIN g ON g.w = t.w AND g.h = t.h
-)
+  LEFT JOIN g kk ON kk.w = t.h AND kk.h = t.hh LEFT JOIN gg ON gg.w = t.w AND gg.h = t.h AND gg.hh = t.hh
+),
+y AS (SELECT *, (cg + STRENGTH * pu) / (ck + STRENGTH) AS pb FROM x)
 SELECT doc_id, any_value(held_out) AS held_out, count(*)::BIGINT AS n_tokens, count(*) FILTER (WHERE cu > 0)::BIGINT AS n_known, any_value(n)::BIGINT AS train_tokens,
-  round(fsum(log10((cu + 1) / (n + v + 1)::DOUBLE)), 6) AS base_score,
-  round(fsum(log10((cg + STRENGTH * pu) / (ck + STRENGTH))), 6) AS score
-FROM x GROUP BY doc_id
+  fsum(log10((cu + 1) / (n + v + 1)::DOUBLE)) AS base_score,
+  fsum(log10(CASE WHEN i > 1 THEN (cgg + STRENGTH * pb) / (ckk + STRENGTH) ELSE pb END)) AS score
+FROM y GROUP BY doc_id
 """
 
 

@@ -64,31 +64,67 @@ def test_bigram(docs):
     check(docs.repartition(7), 2)
 
 
-def test_trigram_and_odd(odd):
-    check(odd.filter("doc_id is null or doc_id <> 6"), 3)
+def test_trigram(docs):
+    check(docs.repartition(5), lm.ORDER)
+
+
+def test_longer_and_odd(odd):
+    check(odd.filter("doc_id is null or doc_id <> 6"), 4)
+    check(odd, 3)
     check(odd, 2)
 
 
+def test_many_groups(docs, monkeypatch):
+    """Every n-gram's total is whole however the texts are dealt."""
+    monkeypatch.setattr(lm, "parts", lambda df, mb: 23)
+    check(docs.filter("doc_id % 3 = 0"), 4)
+
+
 def test_empty_and_untrained(empty, spark):
     assert lm.score(empty, F.lit(True)).count() == 0
     r = lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False)).first()
     assert (r["train_tokens"], r["n_known"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0)
 
 
+def automaton(texts, train, order, strength=3.0):
+    grams = lm.Grams(texts, np.array(train, float), order)
+    for k in range(order):
+        grams.collect(k)
+    c = grams.count[0]
+    return grams, lm.Automaton(grams, lm.Stats(int(c.sum()), int((c > 0).sum()), int((c == 1).sum()), int((c == 2).sum())), strength)
+
+
 def test_each_state_sums_to_one():
     text = ["a b a c", "a b b", "c a"]
-    per = [lm.keys_of(lm.tokens(t), 2) for t in text]
-    local = lm._local(per, np.ones(len(text)), 2)
-    counts = local[0][1]
-    stats = lm.Stats(int(counts.sum()), len(counts), int((counts == 1).sum()), int((counts == 2).sum()))
-    auto = lm.Automaton([(k, c.astype(np.int64)) for k, c in local], stats, 3.0)
-    # after "a": every known word, the end, and one unknown word
-    total = 0.0
-    for w in ("a", "b", "c", "zzz", None):
-        seq = lm.tokens("a" if w is None else f"a {w}")
-        p, _ = auto.walk(lm.keys_of(seq, 2))
-        total += 10 ** p[1]
-    assert abs(total - 1) < 1e-9
+    for before in ("a", "a b", "b b", "c zzz", "zzz a"):
+        tried = [f"{before} {w}" for w in ("a", "b", "c", "zzz")] + [before]
+        grams, auto = automaton(text + tried, [1] * len(text) + [0] * len(tried), 3)
+        places = np.cumsum(grams.size)[len(text) :] - np.array([2] * 4 + [1])  # the token after ``before``; the end for the last
+        assert abs((10 ** auto.walk()[places]).sum() - 1) < 1e-9
+
+
+def test_states_arcs_and_failures():
+    grams, auto = automaton(["a b", "a c"], [1, 1], 3)
+    n = len(auto.fail)
+    assert auto.fail[0] == auto.fail[auto.begin] == 0 and (auto.fail[1:] != np.arange(1, n)).all()
+    assert len(auto.arc) == sum((c > 0).sum() for c in grams.count) and ((auto.target >= 0) & (auto.target < n)).all()
+    for s in range(n):  # a failure chain ends at the empty context within order - 1 steps
+        for _ in range(2):
+            s = auto.fail[s]
+        assert s == 0
+
+
+def test_stretches_do_not_matter(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = [" ".join(rng.choice(list("abcd"), rng.integers(0, 60))) for _ in range(30)]
+    _, auto = automaton(text, rng.integers(0, 2, 30), 4)
+    monkeypatch.setattr(lm, "STRETCH", 10**6)
+    monkeypatch.setattr(lm, "LANES", 1)
+    whole = auto.walk()
+    for stretch in (1, 2, 7):
+        monkeypatch.setattr(lm, "STRETCH", stretch)
+        monkeypatch.setattr(lm, "LANES", 10**6)
+        assert np.array_equal(auto.walk(), whole)
 
 
 def test_better_than_base(docs):
