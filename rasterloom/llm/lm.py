@@ -171,6 +171,7 @@ class Automaton:
         self.log_fail = np.log10(strength / (np.concatenate(mass) + strength))
         self.words = max(1, len(grams.keys[0]))
         key = np.concatenate(source) * self.words + np.concatenate(token)
+        del source, token
         order = np.argsort(key)
         self.arc, self.target, self.log = key[order], np.concatenate(target)[order], np.log10(np.concatenate(weight)[order])
         self.log_unknown = math.log10(stats.unknown)
@@ -290,9 +291,8 @@ def score(docs: DataFrame, train_if, order: int = ORDER, strength: float = STREN
     n = parts(docs, 6)
     bits = max(1, math.ceil(math.log2(n)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train_if, F.lit(False)).alias("train"))
-    # dealt by row, not by content, and written, so that every pass sees the same groups and repeated rows spread
-    rows = materialize(rows.withColumn("p", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("long")), "dealt")
-    rows = rows.repartitionById(n, F.col("p").cast("int"))
+    # dealt by content, so that every pass sees the same groups
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long")).repartition(n, "p")
 
     def start(pdf: pd.DataFrame) -> Grams:
         grams = Grams(pdf["text"], pdf["train"].to_numpy(np.float64), order)

@@ -2,35 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
 
-#: Words whose hash a worker keeps (about 200 bytes each).
-MEMO = 60_000
+#: Bytes of a text that are hashed together; a longer piece only where one word is longer.
+PIECE = 1 << 18
+_BLANK = b" \t\n\x0b\x0c\r"
+_SPACE = np.isin(np.arange(256), list(_BLANK))
+#: A random value for each byte, A-Z counting as a-z; white space has none.
+_VALUE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUE[65:91] = _VALUE[97:123]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijective finaliser of 64-bit words."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-_MEMO = _Memo()
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """``raw`` cut at white space."""
+    at = 0
+    while len(raw) - at > PIECE:
+        ends = [e for c in _BLANK if (e := raw.find(c, at + PIECE)) >= 0]
+        if not ends:
+            break
+        yield raw[at : min(ends)]
+        at = min(ends)
+    yield raw[at:]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A-Z lowered, split at ASCII white space; one unsigned 64-bit hash a word."""
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    return np.fromiter(map(_MEMO.__getitem__, found), np.uint64, len(found))
+def _hashed(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    word = ~_SPACE[b]
+    at = np.flatnonzero(word)
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(word[at] & ~np.concatenate(([False], word[:-1]))[at])  # where in ``at`` each word starts
+    place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+    # a value that depends on byte and place, summed over the word
+    return mix(np.add.reduceat(mix(_VALUE[b[at]] + place.astype(np.uint64) * _STEP), first))
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijective finaliser of 64-bit words."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def word_hashes(text: str | None) -> np.ndarray:
+    """A-Z lowered, split at ASCII white space; one unsigned 64-bit hash a word."""
+    found = [_hashed(p) for p in _pieces((text or "").encode("utf-8", "replace"))]
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def sequences(words: np.ndarray, n: int) -> np.ndarray:
