@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, parts
+from .common import let, materialize, parts
 
 NORMALIZER = "com.ibm.icu.text.Normalizer"
+#: MB of input in one range of ids.
+RANGE_MB = 512
 #: Unicode white space, controls of that kind included.
 BLANKS = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -51,12 +53,33 @@ def likeness(a: Column, b: Column, fa: Column, fb: Column) -> Column:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Each id with ``fingerprint``, ``group_id`` (least id of byte-equal canonical texts) and ``n_copies``.
 
-    Buckets are grouped by digest and canonical bytes together: map-side
-    aggregation first reduces a hot group to one row for each task.
+    Digests are counted first, without the texts: a hot group is one row for each
+    task before the shuffle. Only texts of buckets with several rows travel on,
+    to meet the bucket's head text; the bucket side of that join has one row a
+    bucket, so a hot bucket can be split. What differs from its head (a
+    collision) is grouped by its own bytes.
     """
-    rows = docs.select(F.col(id_col), canonical(F.col(text)).alias("_c")).withColumn("fingerprint", digest(F.col("_c")))
-    heads = rows.groupBy("fingerprint", "_c").agg(F.min(id_col).alias("group_id"), F.count("*").alias("n_copies"))
-    return rows.join(heads, ["fingerprint", "_c"]).select(id_col, "fingerprint", "group_id", "n_copies")
+    rows = docs.select(F.col(id_col).alias("id"), let(canonical(F.col(text)), lambda c: F.struct(digest(c).alias("f"), c.alias("c"))).alias("v"))
+    found = groups(rows.select("id", F.col("v.f").alias("f"), F.col("v.c").alias("c")), rows.select("id", F.col("v.f").alias("f")))
+    return found.select(F.col("id").alias(id_col), F.col("f").alias("fingerprint"), "group_id", "n_copies")
+
+
+def groups(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """(id, f, group_id, n_copies), a row for each of ``marks`` (id, f); ``texts`` (id, f, c) has their canonical texts.
+
+    Null ids come last as heads: a group of null ids alone has a null group_id.
+    """
+    buckets = marks.groupBy("f").agg(F.min("id").alias("head"), F.count("*").alias("n"))
+    single = marks.join(buckets.filter("n = 1").select("f"), "f").select("id", "f", F.col("id").alias("group_id"), F.lit(1).cast("long").alias("n_copies"))
+    many = materialize(texts.join(buckets.filter("n > 1").select("f", "head"), "f"), "copies")
+    heads = many.filter(F.col("id").eqNullSafe(F.col("head"))).groupBy("f").agg(F.min("c").alias("first"))
+    met = many.join(heads, "f").select("id", "f", "head", (F.col("c") == F.col("first")).alias("same"), F.when(F.col("c") != F.col("first"), F.col("c")).alias("c"))
+    met = materialize(met, "compared")
+    alike = met.filter("same").groupBy("f").agg(F.count("*").alias("n_copies"))
+    out = single.unionByName(met.filter("same").join(alike, "f").select("id", "f", F.col("head").alias("group_id"), "n_copies"))
+    other = met.filter("not same")
+    own = other.groupBy("f", "c").agg(F.min("id").alias("group_id"), F.count("*").alias("n_copies"))
+    return out.unionByName(other.join(own, ["f", "c"]).select("id", "f", "group_id", "n_copies"))
 
 
 def _range_of(value: Column, cuts: list[int]) -> Column:
@@ -85,9 +108,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     last row of each range takes the first row of the next range that has rows.
     Rows of equal id stand in order of a hash of their text.
     """
-    n = parts(docs, 8)
+    n = parts(docs, RANGE_MB)
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    found = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10000).alias("q")).first()["q"] if n > 1 else []
+    found = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("q")).first()["q"] if n > 1 else []
     cuts = sorted(set(found or []))
     used = sorted(r["b"] for r in ids.select(_range_of(F.col("id"), cuts).alias("b")).distinct().collect())  # at most n
     follow = F.lit(None).cast("int")

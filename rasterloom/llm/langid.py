@@ -8,7 +8,8 @@ the highest cosine; where even that is further than nearly all training texts of
 the centroid were, the text is flagged ``rejected``.
 
 Fitting uses a bounded sample of labelled rows: ``PER_LANGUAGE`` of each language
-in expectation, chosen by a hash, and in all at most ``MAX_ROWS`` vectors. Whole
+in expectation, chosen by a hash, or fewer where ``MAX_ROWS`` shared out among all
+languages gives fewer. Whole
 texts are read, in fitting and in prediction. The model's size is fixed by
 languages, centroids and dimensions, so it travels with the task.
 
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 DIM = 1 << 12
 ORDERS = (1, 2, 3, 4)
 CENTROIDS = 3
@@ -112,7 +115,8 @@ def fit(docs: DataFrame, train_if, per_language: int = PER_LANGUAGE, id_col: str
     sizes = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()}  # one row a language
     if not sizes:
         return fit_vectors(np.zeros((0, DIM)), [])
-    share = F.create_map(*[F.lit(x) for kv in {s: min(1.0, per_language / n) for s, n in sizes.items()}.items() for x in kv])
+    each = min(per_language, max(1, MAX_ROWS // len(sizes)))
+    share = F.create_map(*[F.lit(x) for kv in {s: min(1.0, each / n) for s, n in sizes.items()}.items() for x in kv])
     unit = F.pmod(F.xxhash64(F.lit(5), F.col(id_col), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.filter(unit < share[F.col(lang)]).select(F.col(lang).alias("l"), F.col(text).alias("t"), unit.alias("u"))
 
@@ -130,7 +134,7 @@ def fit(docs: DataFrame, train_if, per_language: int = PER_LANGUAGE, id_col: str
                 }
             )
 
-    got = sorted(rows.mapInPandas(run, "l string, u double, at binary, c binary").limit(MAX_ROWS).collect(), key=lambda r: (r["u"], r["l"], bytes(r["at"])))
+    got = sorted(rows.mapInPandas(run, "l string, u double, at binary, c binary").collect(), key=lambda r: (r["u"], r["l"], bytes(r["at"])))
     dense = np.zeros((len(got), DIM))
     for row, r in zip(dense, got):
         row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["c"], np.uint32)
@@ -141,8 +145,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    @tidy
     def run(t: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(counts(x)) for x in t], columns=["lang_pred", "score", "rejected"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*kept, run(F.col(text)).alias("_p")).select(*kept, "_p.lang_pred", "_p.score", "_p.rejected")
+    rows = docs.select(F.struct(*kept).alias("row"), run(F.col(text)).alias("found"))  # the caller's names stay inside the struct
+    return rows.select("row.*", "found.lang_pred", "found.score", "found.rejected")

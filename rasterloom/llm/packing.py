@@ -28,8 +28,9 @@ from .common import materialize, parts, tidy
 from .tokens import END, encoder
 
 CAPACITY = 4096
-#: Classes whose full bins leave more padding than this are not used.
-MAX_PAD = 4
+#: Classes whose full bins leave more padding than this are not used, but for pieces of at most SMALL tokens:
+#: a bin of these pads less than one piece, and what is left of a document then stays whole.
+MAX_PAD, SMALL = 4, 63
 
 
 @lru_cache
@@ -38,7 +39,7 @@ def sizes(capacity: int = CAPACITY, max_pad: int = MAX_PAD) -> tuple[tuple[int,
     best: dict[int, int] = {}
     for k in range(1, capacity + 1):
         s = capacity // k
-        if capacity - k * s <= max_pad:
+        if capacity - k * s <= max_pad or s <= min(SMALL, capacity // 64):
             best[s] = max(best.get(s, 0), k)
     return tuple(sorted(best.items(), reverse=True))
 
@@ -106,14 +107,14 @@ def ranked_in_class(cuts: DataFrame) -> DataFrame:
     return rows.join(counts, ["g", "k"]).withColumn("rank", F.col("base") + F.col("i"))
 
 
-def packed(docs: DataFrame, vocab: str, spaced: bool = False, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, vocab: str, spaced: bool = False, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Sequences of at most ``capacity`` tokens: one row for each piece.
 
     Sequence ids: bins of class k are numbered after those of the larger
     sizes; the leftovers' sequences come last.
     """
     spark = docs.sparkSession
-    ranked = materialize(ranked_in_class(materialize(pieces(docs, vocab, spaced), "pieces")), "ranked")
+    ranked = materialize(ranked_in_class(materialize(pieces(docs, vocab, spaced, id_col, text), "pieces")), "ranked")
     totals = {r["k"]: r["total"] for r in ranked.groupBy("k").agg(F.max("total").alias("total")).collect()}  # one row a class
     first, base = {}, 0
     for k in sorted(totals):
@@ -142,7 +143,7 @@ def packed(docs: DataFrame, vocab: str, spaced: bool = False, capacity: int = CA
     out = bins.unionByName(spark.createDataFrame(tail, schema))
     todo = [(rest[j]["h"], whole[j][1] + at, take, whole[j][4], base + seq, off) for j, at, take, seq, off in plan if j in split]
     if todo:
-        out = out.unionByName(_split(docs, vocab, spaced, todo))
+        out = out.unionByName(_split(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")), vocab, spaced, todo))
     return out
 
 
@@ -165,7 +166,7 @@ def _split(docs: DataFrame, vocab: str, spaced: bool, todo: list[tuple]) -> Data
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t")).withColumn("h", F.xxhash64("id", "t"))
+    rows = docs.withColumn("h", F.xxhash64("id", "t"))
     keys = spark.createDataFrame([(h,) for h in by], "h long")
     hit = rows.join(F.broadcast(keys), "h").dropDuplicates(["h"])
     return hit.select("id", "t", "h").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -114,18 +114,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             _repeat_words(v["w"]).alias("n_repeat_words"),
         ),
     )
-    out = docs.withColumn("_m", row)
-    for name in ("n_words", "n_lines", "n_dup_lines", "n_repeat_words"):
-        out = out.withColumn(name, F.col("_m")[name])
-    return out.drop("_m").withColumns(
-        {
-            "word_chars": F.char_length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"),
-            "n_symbols": _count(t, r"[#*$%&|<>]"),
-            "n_bars": _count(t, r"\|"),
-            "n_letters": _count(t, r"\p{L}"),
-            "n_upper": _count(t, r"\p{Lu}"),
-        }
-    )
+    counts = {
+        "word_chars": F.char_length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "n_symbols": _count(t, r"[#*$%&|<>]"),
+        "n_bars": _count(t, r"\|"),
+        "n_letters": _count(t, r"\p{L}"),
+        "n_upper": _count(t, r"\p{Lu}"),
+    }
+    kept = [c for c in docs.columns if c not in MEASURES]
+    # the caller's names stay inside a struct
+    out = docs.select(F.struct(*kept).alias("row"), row.alias("found"), *[v.alias(k) for k, v in counts.items()])
+    return out.select("row.*", *[F.col("found").getField(k).alias(k) for k in MEASURES if k not in counts], *counts)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint, langid, lm, minhash, mixing, packing, pii, quality, tokens, toxicity
-from .common import documents, let, remainder
+from .common import documents, let, materialize, remainder
 
 #: Vocabularies are read from where they are installed, never copied here.
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -57,7 +57,16 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         ).alias("v"),
     )
-    return canon.select("doc_id", "n_chars", "edited_sha256", "v.fingerprint", "v.edited_fingerprint", "v.near_edited", "v.near_next")
+    out = canon.select("doc_id", "n_chars", "edited_sha256", "v.fingerprint", "v.edited_fingerprint", "v.near_edited", "v.near_next")
+    out = materialize(out, "fingerprints")
+    # groups of equal fingerprints, their bytes compared: only texts that share a fingerprint are read again
+    marks = out.select(F.col("doc_id").alias("id"), F.col("fingerprint").alias("f"))
+    copies = marks.join(marks.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f"), "f", "left_semi").select("id").distinct()
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("id"), "text").join(copies.withColumnRenamed("id", "k"), F.col("id").eqNullSafe(F.col("k")), "left_semi")
+    texts = docs.select("id", let(fingerprint.canonical(F.col("text")), lambda c: F.struct(fingerprint.digest(c).alias("f"), c.alias("c"))).alias("v")).select("id", "v.f", "v.c")
+    found = fingerprint.groups(texts, marks).groupBy("id", "f").agg(F.min("group_id").alias("group_id"), F.max("n_copies").alias("n_copies"))
+    found = found.select(F.col("id").alias("k"), F.col("f").alias("kf"), "group_id", "n_copies")
+    return out.join(found, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("fingerprint") == F.col("kf")), "left").drop("k", "kf")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

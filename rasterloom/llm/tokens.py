@@ -18,17 +18,21 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, scratch_dir, tidy
+from .common import materialize, parts, scratch_dir, tidy
 
 END = 2
+#: MB of input in one shard.
+SHARD_MB = 256
 #: Slots of an encoder's memo (14 bytes each); at ``FULL`` words, or as many ids as slots times 4, it starts anew.
 SLOTS = 1 << 20
 FULL = SLOTS * 6 // 10
@@ -218,23 +222,32 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri) if uri.startswith("file:") else uri if "://" in uri else f"file://{uri}")
 
 
-def write_shard(fsys, stem: str, ids: list[int | None], blobs: list[bytes], dtype: str) -> int:
-    """``blobs``: ids of each document as ``dtype``; all three files appear whole or not at all. Returns the number of ids."""
-    nulls = sum(i is None for i in ids)
-    offsets = np.zeros(len(blobs) + 1, "<u8")
-    np.cumsum([len(b) // np.dtype(dtype).itemsize for b in blobs], out=offsets[1:])
-    parts_ = {
-        "bin": blobs,
-        "idx": [offsets.tobytes()],
-        "ids": [struct.pack("<Q", nulls), np.array([i or 0 for i in ids], "<i8").tobytes()],
-    }
-    for ext, chunks in parts_.items():
-        temp = f"{stem}.{uuid.uuid4().hex}.tmp"
-        with fsys.open_output_stream(temp) as out:
+def write_shard(fsys, stem: str, rows: Iterable[tuple[int | None, bytes]], dtype: str) -> tuple[int, int]:
+    """``rows``: id and ids as ``dtype`` of each document, written as they come; all three files appear whole or not at all.
+
+    Returns the number of documents and of ids; without documents there are no files.
+    """
+    rows = iter(rows)
+    head = next(rows, None)
+    if head is None:
+        return 0, 0
+    temp, ids, sizes = f"{stem}.{uuid.uuid4().hex}.tmp", array("q"), array("q")
+    nulls = 0
+    with fsys.open_output_stream(f"{temp}.bin") as out:
+        for i, blob in chain([head], rows):
+            nulls += i is None
+            ids.append(i or 0)
+            sizes.append(len(blob) // np.dtype(dtype).itemsize)
+            out.write(blob)
+    offsets = np.zeros(len(sizes) + 1, "<u8")
+    np.cumsum(np.frombuffer(sizes, np.int64), out=offsets[1:])
+    for ext, chunks in {"idx": [offsets.tobytes()], "ids": [struct.pack("<Q", nulls), np.frombuffer(ids, np.int64).astype("<i8").tobytes()]}.items():
+        with fsys.open_output_stream(f"{temp}.{ext}") as out:
             for c in chunks:
                 out.write(c)
-        fsys.move(temp, f"{stem}.{ext}")
-    return int(offsets[-1])
+    for ext in ("bin", "idx", "ids"):
+        fsys.move(f"{temp}.{ext}", f"{stem}.{ext}")
+    return len(ids), int(offsets[-1])
 
 
 def read_shard(fsys, stem: str, dtype: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -260,7 +273,7 @@ def write(docs: DataFrame, vocab: str, folder: str, spaced: bool = True, wide: b
     """
     dtype = "<u4" if wide else "<u2"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
-    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts(docs, 8), "id", "h").sortWithinPartitions("id", "h")
+    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts(docs, SHARD_MB), "id", "h").sortWithinPartitions("id", "h")
 
     @tidy
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,19 +282,22 @@ def write(docs: DataFrame, vocab: str, folder: str, spaced: bool = True, wide: b
         enc, shard = encoder(vocab, spaced), TaskContext.get().partitionId()
         fsys, root = filesystem(folder)
         fsys.create_dir(root, recursive=True)
-        end, ids, blobs = np.array([END], "<u4").tobytes(), [], []
-        for b in batches:
-            ids += b.column("id").to_pylist()
-            blobs += [np.frombuffer(x + end, "<u4").astype(dtype).tobytes() for x in enc.encode(t.as_py() for t in b.column("t"))]
-        if ids:
-            n = write_shard(fsys, f"{root}/{shard:08d}", ids, blobs, dtype)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(ids)], "n_tokens": [n]})
+        end = np.array([END], "<u4").tobytes()
+
+        def rows() -> Iterator[tuple[int | None, bytes]]:
+            for b in batches:
+                for i, x in zip(b.column("id").to_pylist(), enc.encode(t.as_py() for t in b.column("t"))):
+                    yield i, np.frombuffer(x + end, "<u4").astype(dtype).tobytes()
+
+        docs_, n = write_shard(fsys, f"{root}/{shard:08d}", rows(), dtype)
+        if docs_:
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [docs_], "n_tokens": [n]})
 
     return rows.select("id", "t").mapInArrow(save, "shard long, n_docs long, n_tokens long")
 
 
-def read(spark, shards: list[tuple[int, int]], folder: str, wide: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files; ``shards``: (shard, tokens before it)."""
+def read(shards: DataFrame, folder: str, wide: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the files; ``shards``: (shard, base), base being the tokens before it."""
     dtype = "<u4" if wide else "<u2"
 
     @tidy
@@ -289,25 +305,21 @@ def read(spark, shards: list[tuple[int, int]], folder: str, wide: bool = False)
         fsys, root = filesystem(folder)
         for b in batches:
             for shard, base in zip(b["shard"], b["base"]):
-                rows = [(i, base + a, len(t), zlib.crc32(t.astype("<u4").tobytes())) for i, a, t in read_shard(fsys, f"{root}/{shard:08d}", dtype)]
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                found = ((i, base + a, len(t), zlib.crc32(t.astype("<u4").tobytes())) for i, a, t in read_shard(fsys, f"{root}/{shard:08d}", dtype))
+                while rows := list(islice(found, 10_000)):
+                    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    out["doc_id"] = out["doc_id"].astype("Int64")
+                    yield out
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not shards:
-        return spark.createDataFrame([], schema)
-    frame = spark.createDataFrame(shards, "shard long, base long").repartition(len(shards), "shard")
-    return frame.mapInPandas(load, schema)
+    rows = shards.select("shard", "base").repartitionByRange(max(1, shards.count()), "shard")
+    return rows.mapInPandas(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, vocab: str, folder: str | None = None, spaced: bool = True, wide: bool = False) -> tuple[DataFrame, str]:
-    """Write, take prefix sums of the shards' lengths (one row for each shard), and read back."""
+    """Write, take prefix sums of the shards' lengths (a table of one row for each ``SHARD_MB`` of input), and read back."""
     spark = docs.sparkSession
     folder = folder or f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    sizes = sorted((r["shard"], r["n_tokens"]) for r in write(docs, vocab, folder, spaced, wide).collect())
-    base, shards = 0, []
-    for shard, n in sizes:
-        shards.append((shard, base))
-        base += n
-    return read(spark, shards, folder, wide), folder
+    sizes = materialize(write(docs, vocab, folder, spaced, wide), "shards")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = sizes.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    return read(shards, folder, wide), folder

@@ -245,9 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_if, max_rows: int = MAX_ROWS,
     texts, y, langs, total = [], [], [], 0
     got = found.select("i", "y", "l", "t").mapInPandas(run, "i long, y int, l string, w binary")
     for r in got.orderBy(F.xxhash64(F.lit(12), "i"), "i", "w", "y").toLocalIterator():
+        if total + len(r["w"]) // 2 > max_words:
+            continue  # one long text takes no other's place
         total += len(r["w"]) // 2
-        if total > max_words:
-            break
         texts.append(np.frombuffer(r["w"], np.uint16).astype(np.int64))
         y.append(float(r["y"]))
         langs.append(r["l"])

@@ -25,7 +25,7 @@ def odd(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     from pyspark.sql import functions as F
 
-    clash = {c: F.lit(-1) for c in ("score", "kept", "n_words", "id", "t", "h", "b", "p", "k", "rep", "component", "n_tokens", "epoch", "pii", "fail_bits")}
+    clash = {c: F.lit(-1) for c in ("score", "kept", "n_words", "id", "t", "h", "b", "p", "k", "rep", "component", "n_tokens", "epoch", "pii", "fail_bits", "row", "found", "f", "s", "n", "_s", "_h", "_b", "_at", "_p", "_m", "_c", "_before", "_total", "_room")}
     return df.withColumns(clash)
 
 
