@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .strokes import CH, frame_of, pixels_of
 
@@ -129,7 +130,10 @@ def inpaint(px: DataFrame, mask: DataFrame, w: int, h: int, radius: int = 2) ->
         if not len(frame):
             return pd.DataFrame(columns=["doc_id", "x", "y", *CH])
         m = np.zeros((h, w), bool)
-        m[hole["y"].to_numpy(int), hole["x"].to_numpy(int)] = True
+        if len(hole):  # without holes the group has no columns either
+            m.reshape(-1)[hole["at"].to_numpy()] = True
         return pixels_of(inpaint_frame(frame_of(frame, w, h), m, radius), doc_id=frame["doc_id"].iloc[0])
 
-    return px.groupBy("doc_id").cogroup(mask.groupBy("doc_id")).applyInPandas(run, SCHEMA)
+    # one new column: where mask and frame come from one table, columns of one name would be taken for each other
+    holes = mask.select("doc_id", (F.col("y").cast("long") * w + F.col("x")).alias("at"))
+    return px.groupBy("doc_id").cogroup(holes.groupBy("doc_id")).applyInPandas(run, SCHEMA)

@@ -109,11 +109,13 @@ pointwise("filter_gradient_map", A.f_gradient_map(*RGB))
 pointwise("filter_exposure", A.f_exposure(*RGB, 0.6))
 pointwise("filter_vibrance", A.f_vibrance(*RGB, 0.5))
 pointwise("filter_curves_linear", A.table(*RGB, *[A.linear_table([(64, 30), (180, 220)])] * 3))
-pointwise("filter_vignette", A.f_vignette(*RGB, XX, YY, 64, 500))
+#: A frame of fixed height: rows beyond it take part, by the same formulas.
+FRAME_H = 500
+pointwise("filter_vignette", A.f_vignette(*RGB, XX, YY, 64, FRAME_H))
 _s = Steps()
 pointwise("filter_tone_map", A.f_tone_map(_s, *RGB), _s)
-pointwise("filter_dark_gradient", A.f_dark_gradient(*RGB, YY, 500))
-pointwise("filter_dodge_burn", A.f_dodge_burn(*RGB, XX, YY, 64, 500))
+pointwise("filter_dark_gradient", A.f_dark_gradient(*RGB, YY, FRAME_H))
+pointwise("filter_dodge_burn", A.f_dodge_burn(*RGB, XX, YY, 64, FRAME_H))
 pointwise("filter_skin", {"skin": X(f"CAST({A.is_skin(*RGB).spark} AS INT)", f"CAST({A.is_skin(*RGB).duck} AS INT)")})
 pointwise("filter_colour_class", {"class": A.colour_class(R, G, BL, YY)})
 
@@ -581,18 +583,18 @@ def _log(spark, sf):
 _HIST = f"""WITH RECURSIVE lg AS (SELECT x AS doc, seq, {_KIND} AS kind, y % 8 AS key, k AS value, row_number() OVER (PARTITION BY x ORDER BY seq) AS rn FROM ({V.STROKES})),
   f AS (SELECT DISTINCT doc, 0::BIGINT AS rn, []::BIGINT[] AS done, []::BIGINT[] AS redo FROM lg
   UNION ALL SELECT o.doc, o.rn,
-    CASE WHEN kind = 'push' THEN list_append(done, seq)[greatest(1, len(done) - 18):] WHEN kind = 'undo' AND len(done) > 0 THEN done[:len(done) - 1] WHEN kind = 'redo' AND len(redo) > 0 THEN list_append(done, redo[len(redo)]) ELSE done END,
+    CASE WHEN kind = 'push' THEN list_append(done, seq)[greatest(1, len(done) - {HI.LIMIT - 2}):] WHEN kind = 'undo' AND len(done) > 0 THEN done[:len(done) - 1] WHEN kind = 'redo' AND len(redo) > 0 THEN list_append(done, redo[len(redo)]) ELSE done END,
     CASE WHEN kind = 'push' THEN []::BIGINT[] WHEN kind = 'undo' AND len(done) > 0 THEN list_append(redo, done[len(done)]) WHEN kind = 'redo' AND len(redo) > 0 THEN redo[:len(redo) - 1] ELSE redo END
     FROM f JOIN lg o ON o.doc = f.doc AND o.rn = f.rn + 1),
   last AS (SELECT doc, done, redo FROM f QUALIFY row_number() OVER (PARTITION BY doc ORDER BY rn DESC) = 1)"""
 register(
     "history_in_force",
-    lambda s, sf: HI.in_force(_log(s, sf), 20).select("doc", F.array_join("done", ",").alias("done"), F.array_join("redo", ",").alias("redo")),
+    lambda s, sf: HI.in_force(_log(s, sf)).select("doc", F.array_join("done", ",").alias("done"), F.array_join("redo", ",").alias("redo")),
     _HIST + " SELECT doc, array_to_string(done, ',') AS done, array_to_string(redo, ',') AS redo FROM last",
 )
 register(
     "history_state",
-    lambda s, sf: HI.state(_log(s, sf), ("key",), "value", 20),
+    lambda s, sf: HI.state(_log(s, sf), ("key",), "value"),
     _HIST + " SELECT lg.doc, key, arg_max(value, seq) AS value FROM lg JOIN (SELECT doc, unnest(done) AS seq FROM last) d USING (doc, seq) GROUP BY lg.doc, key",
 )
 register("history_tiles", lambda s, sf: HI.allocated_tiles(V.layers(s, sf), ("z",), 16), f"SELECT z, count(*) AS tiles, count(*) * 1024 AS bytes FROM (SELECT DISTINCT z, x // 16, y // 16 FROM ({V.LAYERS}) WHERE a > 0) GROUP BY z")
@@ -632,8 +634,8 @@ framed("codec_jpeg", _round_trip("jpeg"), None)
 
 
 def _sniffed(spark, p, w, h):
-    small = p.filter("x < 8 AND y < 8").withColumn("doc_id", F.lit(0).cast("long"))
-    files = [IM.encode(small, k, 8, 8).select(F.lit(k).alias("kind"), "content") for k in CO.ENCODERS]
+    whole = p.withColumn("doc_id", F.lit(0).cast("long"))
+    files = [IM.encode(whole, k, w, h).select(F.lit(k).alias("kind"), "content") for k in CO.ENCODERS]
     out = files[0]
     for f in files[1:]:
         out = out.unionByName(f)
@@ -660,7 +662,14 @@ def _packed(shortest: int):
 
 for _n in (2, 3):
     register(f"codec_pack_bits_{_n}", _packed(_n), "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents")
-register("codec_crc32", lambda s, sf: _bytes(s, sf).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")))
+#: One step of the checksum for a byte, eight bits at a time, from a table of 256 remainders.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END, i::BIGINT))"
+register(
+    "codec_crc32",
+    lambda s, sf: _bytes(s, sf).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")),
+    f"WITH t AS MATERIALIZED (SELECT {_CRC_TABLE} AS t), b AS MATERIALIZED (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents) "
+    "SELECT doc_id, xor(list_reduce(b, lambda v, x: xor(t[xor(v, x) % 256 + 1], v // 256), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM b, t",
+)
 _row = lambda: Window.partitionBy("y").orderBy("x")
 _delta = lambda p: p.select("x", "y", F.pmod(F.col("r") - F.coalesce(F.lag("r").over(_row()), F.lit(0)), F.lit(256)).cast("int").alias("d"))
 framed("codec_delta", lambda s, p, w, h: _delta(p), "SELECT x, y, ((r - coalesce(lag(r) OVER (PARTITION BY y ORDER BY x), 0)) % 256 + 256) % 256 AS d FROM px")
@@ -692,8 +701,24 @@ framed("frame_blur_sharpen_smudge", _tool, None)
 
 # -- pipelines ------------------------------------------------------------------------------
 register("pipeline_demo", lambda s, sf: V.explode_scan(P.demo(s)))
-framed("pipeline_thumbnail", lambda s, p, w, h: P.thumbnail(p, w, h, 32, 24), None)
-register("pipeline_retouch", lambda s, sf: V.explode_scan(P.retouch(V.scan(s, sf), W, V.height(s, sf))))
+framed("pipeline_thumbnail", lambda s, p, w, h: P.thumbnail(p, w, h, 320, 180), None)
+framed("pipeline_fit", lambda s, p, w, h: P.fit_inside(p, w, h, 32, 24), None)
+_frames = lambda s, sf: V.scan(s, sf).withColumn("doc_id", F.lit(0).cast("long"))
+register("pipeline_retouch", lambda s, sf: P.retouch(_frames(s, sf), W, V.height(s, sf)))
+register("pipeline_auto_retouch", lambda s, sf: V.explode_scan(P.auto_retouch(_frames(s, sf), W, V.height(s, sf))))
+framed("pipeline_retouch_error", lambda s, p, w, h: Y.mean_absolute_error(P.retouch(P.to_scan(_framed(p), w, h, ("doc_id",)), w, h).drop("doc_id"), p, w, h), None)
+
+
+def _every_filter(spark, p, w, h):
+    """What each filter of the dispatcher makes of the frame, in sums."""
+    px, out = _framed(p), None
+    for kind in [*P.FILTERS, "chroma", "none"]:
+        one = P.apply_filter(px, kind, w, h).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "rgba"])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+framed("filter_dispatch", _every_filter, None)
 register("pipeline_flagship", lambda s, sf: flagship(s, sf))
 framed(
     "pipeline_layer_split",
@@ -702,6 +727,14 @@ framed(
 )
 
 
+def _rebuilt(spark, p, w, h):
+    """How far the frame that is rebuilt from its layers is from the frame itself: no pixel differs."""
+    split = P.layer_split(p, p.select("x", "y", A.colour_class(R, G, BL, YY).col.alias("class")))
+    return Y.percent_different(P.layer_rebuild(split, w, h), p, w, h)
+
+
+framed("pipeline_layer_rebuild", _rebuilt, ", one AS (SELECT 1 AS k) SELECT 0.0::DOUBLE AS percent FROM one")
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = V.layers(spark, sf_dir)
     rows = int(px.agg(F.max("y")).first()[0]) + 1

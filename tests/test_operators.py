@@ -1,5 +1,7 @@
 """Operators that have no SQL form, and edges of those that have."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from rasterloom.operators import sequential as Q
 from rasterloom.operators import shapes as S
 from rasterloom.operators import stencil as T
 from rasterloom.operators import strokes as N
+from rasterloom.plans import pipelines as P
 
 PX = "x int, y int, r int, g int, b int, a int"
 
@@ -177,3 +180,126 @@ def test_layout_lines(spark):
     for width in (0, 7, 12):
         got = {r["i"]: r["l"] for r in df.select("i", X.layout_lines(F.col("t"), F.lit(float(width)), F.lit(1.0)).alias("l")).collect()}
         assert [got[i] for i in range(len(texts))] == [lines(t, width) for t in texts]
+
+
+# -- bands ------------------------------------------------------------------------
+
+
+def gray_rows(spark, w, h, seed=5):
+    rng = np.random.default_rng(seed)
+    img = {c: rng.integers(0, 256, (h, w)) for c in "rgba"}
+    return img, spark.createDataFrame([(y, *[img[c][y].tolist() for c in "rgba"]) for y in range(h)], "y int, r array<int>, g array<int>, b array<int>, a array<int>").repartition(3)
+
+
+def collected(df, c="r"):
+    return np.array([r[c] for r in sorted(df.collect(), key=lambda r: r["y"])])
+
+
+@pytest.mark.parametrize("radius", [255, 256, 257, 280, 600])
+def test_any_reach(spark, radius):
+    w, h = 2, 900
+    img, rows = gray_rows(spark, w, h)
+    near = np.clip(np.arange(h)[:, None] + np.arange(-radius, radius + 1), 0, h - 1)
+    wide = np.clip(np.arange(w)[:, None] + np.arange(-radius, radius + 1), 0, w - 1)
+    across = np.rint(img["r"][:, wide].sum(axis=2) / (2 * radius + 1))
+    want = np.rint(across[near].sum(axis=1) / (2 * radius + 1))
+    assert np.array_equal(collected(T.box_blur(rows, w, h, radius)), want)
+
+
+@pytest.mark.parametrize("reach", [255, 256, 257, 600])
+def test_any_motion(spark, reach):
+    w, h = 3, 900
+    img, rows = gray_rows(spark, w, h)
+    length = 2 * reach
+    got = collected(T.motion_blur(rows, w, h, length, 90.0))
+    at = lambda y: np.clip(math.floor(y), 0, h - 1)
+    for y in (0, 1, 255, 256, 257, 511, 512, 640, 899):
+        taps = [at(y + (t / length * 2 - 1) * length * 0.5 + 0.5) for t in range(length)]
+        assert np.array_equal(got[y], np.rint(img["r"][taps].sum(axis=0) / length))
+
+
+def test_a_missing_or_repeated_row_is_an_error(spark):
+    _, rows = gray_rows(spark, 4, 20)
+    for bad in (rows.filter("y <> 7"), rows.union(rows.filter("y = 7"))):
+        with pytest.raises(Exception, match="missing or repeated"):
+            T.box_blur(bad, 4, 20, 2).collect()
+
+
+STEPS = {
+    "zoom": lambda d, w, h: T.motion_blur(d, w, h, 5, 20.0, 0.3),
+    "shadow": lambda d, w, h: T.drop_shadow(d, w, h, 2, -9, 6),
+    "sobel": lambda d, w, h: T.sobel_edge(d, w, h),
+    "median": lambda d, w, h: T.median_filter(d, w, h, 2),
+    "kuwahara": lambda d, w, h: T.kuwahara(d, w, h, 2),
+    "wrap": lambda d, w, h: T.convolve(d, w, h, [0.2] * 25, 5, "wrap"),
+    "mirror": lambda d, w, h: T.convolve(d, w, h, list(range(25)), 5, "mirror", 0.01),
+    "extend": lambda d, w, h: T.convolve(d, w, h, list(range(25)), 5, "extend", 0.01),
+    "auto": lambda d, w, h: P.auto_retouch(d.withColumn("doc_id", F.lit(1).cast("long")), w, h),
+    "retouch": lambda d, w, h: P.to_scan(P.retouch(d.withColumn("doc_id", F.lit(1).cast("long")), w, h), w, h),
+}
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_bands_do_not_matter(spark, monkeypatch, step):
+    """A frame in one band, and in many that are lower than the halo."""
+    w, h = 9, 61
+    _, rows = gray_rows(spark, w, h)
+    whole = [collected(STEPS[step](rows, w, h), c) for c in "rgba"]
+    monkeypatch.setattr(T, "BAND", 4)
+    cut = [collected(STEPS[step](rows, w, h), c) for c in "rgba"]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, cut))
+
+
+def test_zoom_equals_the_gather(spark):
+    w, h = 12, 40
+    _, rows = gray_rows(spark, w, h)
+    px = P.to_pixels(rows)
+    one = P.to_pixels(T.motion_blur(rows, w, h, 7, 30.0, 0.05))
+    assert not one.exceptAll(Y.motion_zoom(px, w, h, 7, 30.0, 0.05).select(one.columns)).count()
+
+
+def test_retouch_leaves_what_is_not_skin(spark):
+    w, h = 24, 20
+    rows = spark.createDataFrame([(y, [40] * w, [90] * w, [160] * w, [255] * w) for y in range(h)], "y int, r array<int>, g array<int>, b array<int>, a array<int>")
+    rows = rows.withColumn("doc_id", F.lit(3).cast("long"))
+    out = P.retouch(rows, w, h).collect()
+    assert len(out) == w * h and all(abs(r["r"] - 40) <= 4 and abs(r["b"] - 160) <= 4 and r["doc_id"] == 3 for r in out)
+    skin = spark.createDataFrame([(y, [200 if (x, y) != (12, 10) else 20 for x in range(w)], [150] * w, [120] * w, [255] * w) for y in range(h)], "y int, r array<int>, g array<int>, b array<int>, a array<int>")
+    skin = skin.withColumn("doc_id", F.lit(3).cast("long")).withColumn("r", F.when(F.col("y") == 10, F.transform("r", lambda v: v)).otherwise(F.col("r")))
+    got = {(r["x"], r["y"]): r["r"] for r in P.to_pixels(P.auto_retouch(skin, w, h)).collect()}
+    assert abs(got[3, 3] - 200) <= 1
+
+
+def test_every_filter_keeps_the_frame(spark):
+    w, h = 16, 12
+    _, rows = gray_rows(spark, w, h)
+    px = P.to_pixels(rows).withColumn("doc_id", F.lit(0).cast("long"))
+    assert len(P.FILTERS) == 32
+    for kind in ("sepia", "median", "pixelate", "kaleido", "thermal", "curves", "freqsep", "unheard of"):
+        assert P.apply_filter(px, kind, w, h).count() == w * h
+
+
+def test_regions_over_many_bands(spark, monkeypatch):
+    """A comb: teeth that meet only in the last row."""
+    monkeypatch.setattr(Z, "BAND", 3)
+    w, h = 9, 40
+    px = frame(spark, w, h, lambda x, y: (255, 255, 255, 255) if x % 2 == 0 or y == h - 1 else (0, 0, 0, 255))
+    grown = Z.region_grow(px, w, h, 0, 0, 1)
+    assert grown.count() == 5 * (h - 1) + w
+    apart = frame(spark, w, h, lambda x, y: (255, 255, 255, 255) if x % 2 == 0 else (0, 0, 0, 255))
+    assert Z.region_grow(apart, w, h, 4, 7, 1).count() == h
+
+
+def test_rectangles():
+    assert Z.contains((2, 3, 4, 5), 2, 3) and not Z.contains((2, 3, 4, 5), 6, 3)
+    assert Z.intersect((0, 0, 4, 4), (2, 1, 9, 2)) == (2, 1, 2, 2) and Z.intersect((0, 0, 2, 2), (2, 0, 2, 2)) is None
+
+
+def test_split_and_rebuild(spark):
+    w, h = 10, 8
+    px = frame(spark, w, h, lambda x, y: (220, 20, 20, 255) if 3 <= x <= 4 and 3 <= y <= 4 else (90, 90, 90, 255))
+    classes = px.select("x", "y", F.when(F.col("r") > 200, "red").otherwise("none").alias("class"))
+    split = P.layer_split(px, classes)
+    assert not P.layer_rebuild(split, w, h).select(px.columns).exceptAll(px).count()
+    ground = P.layer_ground(split, w, h)
+    assert ground.filter("r <> 90").count() == 0 and ground.count() == w * h

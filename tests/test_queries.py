@@ -5,39 +5,10 @@ import pytest
 from rasterloom.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-#: One or two of each kind here; the driver runs them all at the next scale.
-CHOSEN = [
-    "blend_softLight",
-    "blend_hue",
-    "blend_clear_backdrop",
-    "blend_hash2",
-    "color_hsl_to_rgb",
-    "color_lab_to_rgb",
-    "color_hex_to_rgb",
-    "adj_hue",
-    "adj_curves",
-    "filter_posterize",
-    "filter_tone_map",
-    "composite_bench",
-    "composite_mask",
-    "composite_dirty_tiles",
-    "geometry_kaleidoscope",
-    "select_polygon",
-    "region_grow",
-    "region_chroma_key",
-    "shape_linear_gradient",
-    "shape_line_steep",
-    "stamp_heal",
-    "stroke_points",
-    "history_state",
-    "stencil_emboss",
-    "stencil_median",
-    "codec_png",
-    "codec_undelta",
-]
-
-
-@pytest.mark.parametrize("key", CHOSEN)
+CORE = sorted(SQL)
+
+
+@pytest.mark.parametrize("key", CORE)
 def test_same_rows(spark, duck, key):
     a = QUERIES[key](spark, SF).toPandas()
     b = duck.sql(SQL[key]).df()
