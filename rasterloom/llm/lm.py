@@ -48,6 +48,8 @@ from .text import mix, word_hashes
 
 ORDER = 3
 STRENGTH = 40.0
+#: MB of input in one group of documents.
+GROUP_MB = 4
 BEGIN, END = np.uint64(0x1B5E9D3C7A2F4E61), np.uint64(0x7C3A1F5E9B2D4A83)
 #: Stretches that are walked at once, and tokens of one at least.
 LANES, STRETCH = 1 << 14, 32
@@ -86,6 +88,7 @@ class Grams:
         stream = [x for w in words for x in (np.array([BEGIN]), w, np.array([END]))]
         self.tokens = np.concatenate(stream).astype(np.uint64) if stream else np.zeros(0, np.uint64)
         begin = np.cumsum(self.size + 1) - self.size - 1
+        del words, stream
         depth = np.arange(len(self.tokens)) - np.repeat(begin, self.size + 1)
         self.where = np.flatnonzero(depth)  # of each place in ``tokens``
         self.depth = depth[self.where]
@@ -288,7 +291,7 @@ def score(docs: DataFrame, train_if, order: int = ORDER, strength: float = STREN
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
-    n = parts(docs, 6)
+    n = parts(docs, GROUP_MB)
     bits = max(1, math.ceil(math.log2(n)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train_if, F.lit(False)).alias("train"))
     # dealt by content, so that every pass sees the same groups
