@@ -27,6 +27,7 @@ from .plans import pipelines as P
 from .plans import views as V
 from .sources import codecs as CO
 from .sources import images as IM
+from .sources import psd as PS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -645,6 +646,69 @@ def _sniffed(spark, p, w, h):
 framed("codec_sniff", _sniffed, "SELECT k AS kind, k AS format FROM (VALUES " + ", ".join(f"('{k}')" for k in CO.ENCODERS) + ") AS v(k)")
 
 
+# -- layered documents: images to a document, read again, flattened by what the document says --------
+_DOC = [L(1, opacity=0.8), L(2, "multiply", 0.6), L(3, "screen", 0.8), L(4, "hardLight", 0.2)]
+
+
+def _read_flat(docs: DataFrame, canvas: tuple[int, int] | None = None) -> DataFrame:
+    """The layers of one document, flattened as its records say; only the records, without pixels, come to the driver."""
+    rows = PS.read_layers(docs.select(F.lit("d").alias("path"), "content"))
+    heads = rows.withColumn("mask", F.expr("CASE WHEN mask IS NOT NULL THEN x'' END")).drop("data").orderBy("z").collect()
+    regions = PS.vector_regions(rows, *canvas).drop("path") if canvas else None
+    return K.flatten(PS.layer_pixels(rows).drop("path"), PS.stack(heads), regions=regions)
+
+
+def _from_stack(spark, sf):
+    px = V.layers(spark, sf).filter("z <= 4")
+    h = int(px.agg(F.max("y")).first()[0]) + 1
+    look = F.create_map(*[F.lit(v) for k in _DOC for v in (k.z, f"{k.mode}:{k.opacity}")])[F.col("z")]
+    files = IM.encode(px, "png", 128, h, "z").select(F.lit(0).cast("long").alias("doc_id"), "z", F.concat(F.lit("layer "), "z").alias("name"), F.split(look, ":")[0].alias("mode"), F.split(look, ":")[1].cast("double").alias("opacity"), "content")
+    return PS.from_images(files)
+
+
+register("pipeline_layered_file", lambda s, sf: _read_flat(_from_stack(s, sf)), K.flatten_sql(V.LAYERS, _DOC))
+_BOX = (4, 3, 40, 90)
+#: What stands over the frame in the document: a group at 0.6 with a masked, darkened copy of the frame, and two adjustments.
+_OVER = [
+    PS.Record("group", "group", opacity=0.6),
+    PS.Record("copy", mode="difference", box=_BOX, style={"drop_shadow": {"distance": 8.0, "angle": 90.0, "opacity": 0.5}, "stroke": {"size": 3.0}}),
+    PS.Record("close", "end"),
+    PS.Record("tone", "adjust", adjust="levels", params={"shadows": 20, "highlights": 230, "gamma": 1.2}),
+    PS.Record("negative", "adjust", adjust="invert"),
+]
+
+
+def _with_blocks(px: DataFrame, w: int, h: int) -> DataFrame:
+    """(doc_id, content): the frame as a document of records of every kind."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, rgba = CO.decode(bytes(pdf["content"].iloc[0]))
+        filled = [PS.replace(r, w=w, h=h, rgba=rgba) if r.kind == "paint" else r for r in [PS.Record("frame"), *_OVER]]
+        return pd.DataFrame({"doc_id": [0], "content": [PS.encode(w, h, filled)]})
+
+    files = IM.encode(px.withColumn("doc_id", F.lit(0).cast("long")), "png", w, h)
+    return files.groupBy("doc_id").applyInPandas(run, "doc_id long, content binary")
+
+
+_BLOCKS = [L(0), L(1, kind="group", opacity=0.6), L(2, "difference", vector_masked=True), L(3, kind="end"), L(4, kind="adjust", adjust="levels", params=_OVER[3].params), L(5, kind="adjust", adjust="invert")]
+framed(
+    "codec_layered_blocks",
+    lambda s, p, w, h: _read_flat(_with_blocks(p, w, h), (w, h)),
+    ", fl AS (" + K.flatten_sql("SELECT *, 0 AS z FROM px UNION ALL SELECT *, 2 AS z FROM px", _BLOCKS, regions=f"SELECT x, y, 2 AS z FROM px WHERE x >= {_BOX[0]} AND x < {_BOX[2]} AND y >= {_BOX[1]} AND y < {_BOX[3]}") + ") SELECT x, y, r, g, b, a FROM fl",
+)
+
+
+def _styles(spark, p, w, h):
+    """Layer styles as variants."""
+    rows = PS.read_layers(_with_blocks(p, w, h).select(F.lit("d").alias("path"), "content"))
+    got = rows.filter("style IS NOT NULL").select("z", "name", F.parse_json("style").alias("v"))
+    part = lambda path, kind: F.variant_get("v", path, kind)
+    return got.select("z", "name", part("$.drop_shadow.distance", "double").alias("distance"), part("$.drop_shadow.blur", "double").alias("blur"), part("$.drop_shadow.mode", "string").alias("mode"), part("$.stroke.size", "double").alias("size"), part("$.stroke.position", "string").alias("position"))
+
+
+framed("codec_layer_styles", _styles, ", one AS (SELECT 1 AS k) SELECT 2 AS z, 'copy' AS name, 8.0::DOUBLE AS distance, 0.0::DOUBLE AS blur, 'multiply' AS mode, 3.0::DOUBLE AS size, 'outside' AS position FROM one")
+
+
 def _bytes(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 

@@ -486,40 +486,96 @@ def psd_has_layers(data: bytes) -> bool:
     return len(section) >= 6 and struct.unpack(">I", section[:4])[0] > 0 and struct.unpack(">h", section[4:6])[0] != 0
 
 
+#: Colour planes of each mode (bitmap, grey, indexed, RGB, CMYK, duotone, Lab), and its depths.
+PSD_PLANES = {0: 1, 1: 1, 2: 1, 3: 3, 4: 4, 8: 1, 9: 3}
+
+
+def psd_check(head: dict[str, int]) -> None:
+    if head["mode"] not in PSD_PLANES or head["depth"] not in ((1,) if head["mode"] == 0 else (8, 16, 32)):
+        raise FormatError(f"mode {head['mode']} at {head['depth']} bits is not supported")
+
+
+def psd_row(w: int, depth: int) -> int:
+    """Bytes of a row of samples."""
+    return -(-w // 8) if depth == 1 else w * depth // 8
+
+
+def psd_samples(raw: bytes, w: int, rows: int, depth: int, differences: bool = False) -> np.ndarray:
+    """Rows of bytes from samples of any depth: the high byte of 16 bits, a clamped fraction of 32; a set bit is black.
+
+    ``differences``: each row holds steps between samples; those of 32 bits are
+    steps between bytes, all high bytes of the row first.
+    """
+    v = np.frombuffer(raw, np.uint8, rows * psd_row(w, depth)).reshape(rows, -1)
+    if depth == 1:
+        return 255 - 255 * np.unpackbits(v, axis=1)[:, :w]
+    if depth == 8:
+        return delta_decode(v) if differences else v
+    if depth == 16:
+        wide = v.view(">u2")
+        return ((np.cumsum(wide, axis=1, dtype=np.uint16) if differences else wide) >> 8).astype(np.uint8)
+    if differences:
+        v = np.ascontiguousarray(delta_decode(v).reshape(rows, 4, w).transpose(0, 2, 1)).reshape(rows, -1)
+    f = np.nan_to_num(v.view(">f4").astype(float), nan=0.0, posinf=1.0, neginf=0.0)
+    return np.floor(np.clip(f, 0, 1) * 255 + 0.5).astype(np.uint8)
+
+
+def lab_bytes(planes: np.ndarray) -> np.ndarray:
+    """RGB planes from Lab planes, as ``functions.color.lab_to_rgb`` has it."""
+    from ..functions import color as K
+
+    light, a, b = planes.astype(float)
+    light = light * 100 / 255
+    fy = (light + 16) / 116
+    fx, fz = fy + (a - 128) / 500, fy - (b - 128) / 200
+    back = lambda f: np.where(f**3 > K.LAB_EPSILON, f**3, (116 * f - 16) / K.LAB_KAPPA)
+    xyz = np.stack([back(fx), np.where(light > 8, fy**3, light / K.LAB_KAPPA), back(fz)]) * np.array(K.D50)[:, None, None]
+    lin = np.clip(np.tensordot(np.array(K.XYZ_TO_RGB), np.tensordot(np.array(K.D50_TO_D65), xyz, 1), 1), 0, 1)
+    return np.floor(np.where(lin <= 0.0031308, lin * 12.92, 1.055 * lin ** (1 / 2.4) - 0.055) * 255 + 0.5).astype(np.uint8)
+
+
+def psd_colours(planes: np.ndarray, mode: int, palette: bytes = b"") -> np.ndarray:
+    """(3, h, w) RGB from the colour planes of a mode."""
+    if mode == 3:
+        return planes
+    if mode == 4:
+        return np.floor(planes[:3].astype(float) * planes[3] / 255 + 0.5).astype(np.uint8)
+    if mode == 9:
+        return lab_bytes(planes)
+    if mode == 2:
+        return np.frombuffer(palette[:768].ljust(768, b"\0"), np.uint8).reshape(3, 256)[:, planes[0]]
+    return np.repeat(planes[:1], 3, axis=0)
+
+
 def psd_decode(data: bytes) -> Image:
-    """The merged image: 8 bits, grey, RGB or CMYK, raw or run-length."""
+    """The merged image: any mode of ``PSD_PLANES``, 1, 8, 16 or 32 bits, raw, run-length or deflated."""
     head = psd_header(data)
-    w, h, n, mode = head["width"], head["height"], head["channels"], head["mode"]
-    if head["depth"] != 8 or mode not in (1, 3, 4):
-        raise FormatError("only 8 bit grey, RGB and CMYK")
-    body = _psd_sections(data)[3]
-    how = struct.unpack(">H", body[:2])[0]
+    psd_check(head)
+    w, h, n, mode, depth = (head[k] for k in ("width", "height", "channels", "mode", "depth"))
+    palette, _, _, body = _psd_sections(data)
+    how, wide = struct.unpack(">H", body[:2])[0], psd_row(w, depth)
     if how == 0:
-        planes = np.frombuffer(body, np.uint8, n * w * h, 2).reshape(n, h, w)
+        raw = body[2 : 2 + n * h * wide]
     elif how == 1:
         counts = struct.unpack(f">{n * h}H", body[2 : 2 + 2 * n * h])
         at, rows = 2 + 2 * n * h, []
         if at + sum(counts) > len(body):
             raise FormatError("image data is short")
         for c in counts:
-            rows.append(unpack_bits(body[at : at + c], w).ljust(w, b"\0"))
+            rows.append(unpack_bits(body[at : at + c], wide).ljust(wide, b"\0")[:wide])
             at += c
-        planes = np.frombuffer(b"".join(rows), np.uint8).reshape(n, h, w)
+        raw = b"".join(rows)
+    elif how in (2, 3):
+        raw = inflate(body[2:])
     else:
         raise FormatError("compression is not supported")
+    if len(raw) < n * h * wide or n < PSD_PLANES[mode]:
+        raise FormatError("image data is short")
+    planes = psd_samples(raw, w, n * h, depth, how == 3).reshape(n, h, w)
     out = np.full((h, w, 4), 255, np.uint8)
-    if mode == 1:
-        out[:, :, :3] = planes[0][:, :, None]
-        used = 1
-    elif mode == 3:
-        out[:, :, :3] = planes[:3].transpose(1, 2, 0)
-        used = 3
-    else:
-        ink = planes[:3].astype(float) * planes[3] / 255
-        out[:, :, :3] = np.floor(ink + 0.5).transpose(1, 2, 0)
-        used = n
-    if n > used:
-        out[:, :, 3] = planes[used]
+    out[:, :, :3] = psd_colours(planes[: PSD_PLANES[mode]], mode, palette).transpose(1, 2, 0)
+    if mode != 4 and n > PSD_PLANES[mode]:
+        out[:, :, 3] = planes[PSD_PLANES[mode]]
     return w, h, out.tobytes()
 
 
@@ -579,11 +635,15 @@ def icc_describe(data: bytes) -> dict[str, str | int]:
 
 
 def icc_extract(data: bytes) -> bytes | None:
-    """The profile inside a PNG or TIFF."""
+    """The profile inside a PNG, TIFF, JPEG or PSD."""
     kind = sniff(data)
     if kind == "tiff":
         found = tiff_tags(data)[1].get(34675)
         return found[0] if found else None
+    if kind == "jpeg":
+        return _jpeg_profile(data)
+    if kind == "psd":
+        return _psd_profile(_psd_sections(data)[1])
     if kind == "png":
         at = 8
         while at + 8 <= len(data):
@@ -595,6 +655,30 @@ def icc_extract(data: bytes) -> bytes | None:
     return None
 
 
+def _jpeg_profile(data: bytes) -> bytes | None:
+    """Parts in application segments, joined in the order of their numbers."""
+    parts, at, mark = {}, 2, b"ICC_PROFILE\0"
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xD9, 0xDA):
+        n = struct.unpack(">H", data[at + 2 : at + 4])[0]
+        body = data[at + 4 : at + 2 + n]
+        if data[at + 1] == 0xE2 and body.startswith(mark) and len(body) >= len(mark) + 2:
+            parts[body[len(mark)]] = body[len(mark) + 2 :]
+        at += 2 + n
+    return b"".join(parts[k] for k in sorted(parts)) or None
+
+
+def _psd_profile(resources: bytes) -> bytes | None:
+    at = 0
+    while at + 12 <= len(resources) and resources[at : at + 4] == b"8BIM":
+        name = resources[at + 6] + 1
+        start = at + 6 + name + name % 2
+        n = struct.unpack(">I", resources[start : start + 4])[0]
+        if struct.unpack(">H", resources[at + 4 : at + 6])[0] == 1039:
+            return resources[start + 4 : start + 4 + n]
+        at = start + 4 + n + n % 2
+    return None
+
+
 DECODERS = {"png": png_decode, "bmp": bmp_decode, "qoi": qoi_decode, "tiff": tiff_decode, "psd": psd_decode}
 ENCODERS = {"png": png_encode, "bmp": bmp_encode, "qoi": qoi_encode, "tiff": tiff_encode, "psd": psd_encode}
 

@@ -202,3 +202,136 @@ def test_every_mode_has_a_key():
     from rasterloom.sources.psd import MODE_KEYS
 
     assert set(MODE_KEYS) == set(MODES) and len(set(MODE_KEYS.values())) == len(MODES)
+
+
+def test_blocks_round_trip():
+    from rasterloom.sources import blocks as B
+
+    adjustments = {
+        "invert": {}, "grayscale": {}, "threshold": {"at": 99}, "brightness": {"brightness": 0.2, "contrast": -0.3}, "hue": {"hue": 40.0, "sat": -20.0, "light": 5.0},
+        "levels": {"shadows": 20, "highlights": 230, "gamma": 1.2}, "exposure": {"ev": -0.5}, "vibrance": {"amount": 0.4}, "curves": {"points": [(0, 40), (128, 140), (255, 215)]},
+    }
+    for name, params in adjustments.items():
+        assert B.read_adjustment(*B.write_adjustment(name, params)) == (name, params)
+    assert B.read_adjustment(b"luni", b"") is None
+    for box in ((0, 0, 1, 1), (3, 2, 40, 30), (0, 0, 64, 50), (7, 11, 13, 49)):
+        assert B.read_path_box(B.write_path_box(box, 64, 50), 64, 50) == box
+    tree = B.Tree("root", {"flag": True, "n": 7, "big": 1 << 40, "f": 0.5, "Txt ": "größ ☃", "u": B.Unit("#Prc", 40.0), "e": B.Choice("BlnM", "Mltp"), "k": B.Kind("", "layr"), "list": [1, B.Tree("leaf", {"x": 1.5}), "y"]}, "name")
+    assert B.read_descriptor(B.write_descriptor(tree)) == tree
+    assert '"u": {"unit": "#Prc", "value": 40.0}' in B.to_json(tree)
+    style = {"drop_shadow": {"color": [1, 2, 3], "opacity": 0.5, "angle": 30.0, "distance": 10.0, "blur": 4.0}, "color_overlay": {"color": [255, 0, 128], "opacity": 0.25}}
+    new, old = B.read_style(B.write_style(style)), B.read_old_style(B.write_old_style(style))
+    for kind, want in style.items():
+        for k, v in want.items():
+            assert new[kind][k] == v and (old[kind][k] == v or abs(old[kind][k] - v) < 0.003)
+    assert abs(new["drop_shadow"]["dx"] - 8.660254) < 1e-6 and abs(old["drop_shadow"]["dy"] - 5) < 1e-6
+    assert B.read_style(b"\0" * 9) == {} and B.read_old_style(b"\0\0\0\2junk") == {}
+
+
+def test_groups_adjustments_and_masks_of_a_document():
+    from rasterloom.sources import psd
+
+    records = [
+        psd.Record("ground", w=6, h=4, rgba=image(6, 4), box=(1, 1, 5, 3)),
+        psd.Record("outer", "group", "screen", opacity=0.6),
+        psd.Record("inner", "group", opacity=0.2, visible=False),
+        psd.Record("inner close", "end"),
+        psd.Record("outer close", "end"),
+        psd.Record("tone", "adjust", adjust="curves", params={"points": [(0, 40), (255, 215)]}),
+    ]
+    data = psd.encode(6, 4, records)
+    got = psd.decode(data)[2]
+    assert [(r.name, r.kind, r.mode, r.visible, r.box, r.adjust) for r in got] == [(r.name, r.kind, r.mode, r.visible, r.box, r.adjust) for r in records]
+    assert [round(r.opacity, 2) for r in got] == [1.0, 0.6, 0.2, 1.0, 1.0, 1.0]
+    stack = psd.stack(got)
+    assert [s.kind for s in stack] == ["paint", "group", "group", "end", "end", "adjust"] and stack[0].vector_masked and len(stack[-1].params["tr"]) == 256
+
+
+def _merged(mode, depth, planes, w, h, how, palette=b""):
+    """A flat document from rows of samples (h, bytes of a row) of each plane."""
+    import struct
+    import zlib
+
+    head = struct.pack(">4sH6xHIIHH", b"8BPS", 1, len(planes), h, w, depth, mode) + struct.pack(">I", len(palette)) + palette + struct.pack(">II", 0, 0)
+    rows = [r.tobytes() for p in planes for r in p]
+    if how == 0:
+        return head + b"\0\0" + b"".join(rows)
+    if how == 1:
+        packed = [C.pack_bits(r) for r in rows]
+        return head + b"\0\1" + struct.pack(f">{len(packed)}H", *map(len, packed)) + b"".join(packed)
+    if how == 2:
+        return head + b"\0\2" + zlib.compress(b"".join(rows))
+    out = b""
+    for r in rows:  # differences, sample by sample
+        if depth == 16:
+            v = np.frombuffer(r, ">u2").astype(int)
+            out += np.diff(v, prepend=0).astype(np.uint16).astype(">u2").tobytes()
+        else:
+            v = np.frombuffer(r, np.uint8)
+            v = v.reshape(-1, 4).T.ravel() if depth == 32 else v
+            out += np.diff(v.astype(int), prepend=0).astype(np.uint8).tobytes()
+    return head + b"\0\3" + zlib.compress(out)
+
+
+@pytest.mark.parametrize("how", [0, 1, 2, 3])
+@pytest.mark.parametrize("depth", [8, 16, 32])
+@pytest.mark.parametrize("mode", [1, 2, 3, 4, 8, 9])
+def test_modes_and_depths(mode, depth, how):
+    w, h = 5, 3
+    n = C.PSD_PLANES[mode]
+    rng = np.random.default_rng(mode * 100 + depth)
+    v = rng.integers(0, 256, (n, h, w)).astype(np.uint8)
+    wide = {8: v, 16: (v.astype(np.uint16) * 256 + 200).astype(">u2"), 32: (v / 255).astype(">f4")}[depth]
+    palette = bytes(range(256)) + bytes(range(255, -1, -1)) + bytes(256)
+    got = C.decode(_merged(mode, depth, list(wide), w, h, how, palette if mode == 2 else b""))
+    px = np.frombuffer(got[2], np.uint8).reshape(h, w, 4).astype(int)
+    assert got[:2] == (w, h) and (px[:, :, 3] == 255).all()
+    x = v.astype(int)
+    if mode == 3:
+        want = x
+    elif mode == 4:
+        want = np.floor(x[:3] * x[3] / 255 + 0.5)
+    elif mode == 2:
+        want = np.stack([x[0], 255 - x[0], 0 * x[0]])
+    elif mode == 9:
+        grey = v.copy()
+        grey[1:] = 128
+        even = np.frombuffer(C.decode(_merged(9, 8, list(grey), w, h, 0))[2], np.uint8).reshape(h, w, 4).astype(int)
+        assert np.ptp(even[:, :, :3], axis=2).max() <= 1  # no colour: grey
+        want = px[:, :, :3].transpose(2, 0, 1)
+    else:
+        want = np.repeat(x, 3, axis=0)
+    assert (px[:, :, :3].transpose(2, 0, 1) == want).all()
+
+
+@pytest.mark.parametrize("how", [0, 1, 2])
+def test_bitmaps(how):
+    bits = np.random.default_rng(1).integers(0, 2, (4, 11)).astype(np.uint8)
+    got = C.decode(_merged(0, 1, [np.packbits(bits, axis=1)], 11, 4, how))
+    px = np.frombuffer(got[2], np.uint8).reshape(4, 11, 4)
+    assert (px[:, :, 0] == 255 - 255 * bits).all()
+
+
+def test_lab_is_the_column_formula(spark):
+    from rasterloom.functions import color as K
+    from rasterloom.functions.dual import Steps, names
+
+    v = np.random.default_rng(2).integers(0, 256, (3, 4, 8)).astype(np.uint8)
+    steps = Steps()
+    out = K.lab_to_rgb(steps, *names("l", "u", "v"))
+    rows = spark.createDataFrame([tuple(map(int, p)) for p in v.reshape(3, -1).T], "l int, u int, v int")
+    want = [tuple(r) for r in steps.spark(rows.coalesce(1)).select(*[out[c].col.alias(c) for c in "rgb"]).collect()]
+    assert [tuple(map(int, p)) for p in C.lab_bytes(v).reshape(3, -1).T] == want
+
+
+def test_profiles_inside_jpeg_and_psd():
+    import struct
+
+    icc = C.icc_srgb()
+    parts = [icc[:700], icc[700:]]
+    segment = lambda k, p: b"\xff\xe2" + struct.pack(">H", len(p) + 16) + b"ICC_PROFILE\0" + bytes((k, 2)) + p
+    assert C.icc_extract(b"\xff\xd8" + segment(2, parts[1]) + segment(1, parts[0]) + b"\xff\xd9") == icc
+    flat = C.psd_encode(5, 3, image(5, 3))
+    block = b"8BIM" + struct.pack(">H", 1005) + b"\0\0" + struct.pack(">I", 3) + b"abc\0" + b"8BIM" + struct.pack(">H", 1039) + b"\0\0" + struct.pack(">I", len(icc)) + icc + b"\0" * (len(icc) % 2)
+    assert C.icc_extract(flat[:30] + struct.pack(">I", len(block)) + block + flat[34:]) == icc
+    assert C.icc_extract(flat) is None and C.icc_extract(b"\xff\xd8\xff\xd9") is None
