@@ -1,12 +1,15 @@
-"""Text specifications and line breaking.
+"""Text specifications, line breaking and bitmap text.
 
-Rasterising glyphs belongs to a font engine; what is data here is the
+Rasterising outlines belongs to a font engine; what is data here is the
 specification, kept within its limits, and the breaking of text into lines by a
 width per character (a column, so a font's average or a monospace advance).
+Bitmap text is a join with a table of glyphs, five cells wide and seven high.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +51,78 @@ def layout_lines(content: Column, max_width: Column, advance: Column) -> Column:
 
     paragraphs = F.split(F.coalesce(content, F.lit("")), "\n")
     return F.when(F.coalesce(max_width, F.lit(0)) > 0, F.flatten(F.transform(paragraphs, wrap))).otherwise(paragraphs)
+
+
+#: The cells of each glyph, row by row from the top; other characters are blank.
+GLYPHS = {
+    "A": "01110 10001 10001 11111 10001 10001 10001",
+    "B": "11110 10001 10001 11110 10001 10001 11110",
+    "C": "01110 10001 10000 10000 10000 10001 01110",
+    "D": "11110 10001 10001 10001 10001 10001 11110",
+    "E": "11111 10000 10000 11110 10000 10000 11111",
+    "F": "11111 10000 10000 11110 10000 10000 10000",
+    "G": "01110 10001 10000 10111 10001 10001 01111",
+    "H": "10001 10001 10001 11111 10001 10001 10001",
+    "I": "11111 00100 00100 00100 00100 00100 11111",
+    "J": "00111 00010 00010 00010 00010 10010 01100",
+    "K": "10001 10010 10100 11000 10100 10010 10001",
+    "L": "10000 10000 10000 10000 10000 10000 11111",
+    "M": "10001 11011 10101 10101 10001 10001 10001",
+    "N": "10001 11001 10101 10011 10001 10001 10001",
+    "O": "01110 10001 10001 10001 10001 10001 01110",
+    "P": "11110 10001 10001 11110 10000 10000 10000",
+    "Q": "01110 10001 10001 10001 10101 10010 01101",
+    "R": "11110 10001 10001 11110 10100 10010 10001",
+    "S": "01111 10000 10000 01110 00001 00001 11110",
+    "T": "11111 00100 00100 00100 00100 00100 00100",
+    "U": "10001 10001 10001 10001 10001 10001 01110",
+    "V": "10001 10001 10001 10001 10001 01010 00100",
+    "W": "10001 10001 10001 10101 10101 11011 10001",
+    "X": "10001 10001 01010 00100 01010 10001 10001",
+    "Y": "10001 10001 01010 00100 00100 00100 00100",
+    "Z": "11111 00001 00010 00100 01000 10000 11111",
+    "0": "01110 10001 10011 10101 11001 10001 01110",
+    "1": "00100 01100 00100 00100 00100 00100 01110",
+    "2": "01110 10001 00001 00010 00100 01000 11111",
+    "3": "11110 00001 00001 01110 00001 00001 11110",
+    "4": "00010 00110 01010 10010 11111 00010 00010",
+    "5": "11111 10000 10000 11110 00001 00001 11110",
+    "6": "01110 10000 10000 11110 10001 10001 01110",
+    "7": "11111 00001 00010 00100 01000 01000 01000",
+    "8": "01110 10001 10001 01110 10001 10001 01110",
+    "9": "01110 10001 10001 01111 00001 00001 01110",
+    "!": "00100 00100 00100 00100 00000 00100 00100",
+    "?": "01110 10001 00001 00010 00100 00000 00100",
+    ".": "00000 00000 00000 00000 00000 00110 00110",
+    "-": "00000 00000 00000 11111 00000 00000 00000",
+    "#": "01010 11111 01010 01010 11111 01010 00000",
+    "%": "11001 11010 00010 00100 01000 01011 10011",
+    " ": "00000 00000 00000 00000 00000 00000 00000",
+}
+
+
+def text_size(text: str, size: int, gap: float = 0.18, pad: int = 30) -> tuple[int, int]:
+    """Width and height of a line of bitmap text."""
+    cell, between = size // 9, math.floor(size * gap)
+    return len(text) * (6 * cell + between) - between + 2 * pad, 8 * cell + 2 * pad
+
+
+def bitmap_text(texts: DataFrame, size: int, color=(255, 214, 0), stroke=(0, 0, 0), gap: float = 0.18, pad: int = 30, rim: int | None = None, keys: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """(keys, x, y, r, g, b, a): each text in capitals, its cells filled, with a rim of ``rim`` pixels around them.
+
+    The rim is by default 0.22 of a cell; it ends at the text's box. A null or
+    empty text has no pixels; rows with equal keys are drawn over each other.
+    """
+    cell, between = size // 9, math.floor(size * gap)
+    rim = math.ceil(cell * 0.22) if rim is None else rim
+    lit = [(c, cx, cy) for c, rows in GLYPHS.items() for cy, row in enumerate(rows.split()) for cx, bit in enumerate(row) if bit == "1"]
+    glyphs = F.broadcast(texts.sparkSession.createDataFrame(lit, "glyph string, cx int, cy int"))
+    line = F.upper(F.coalesce(F.col(text), F.lit("")))
+    wide = F.char_length(line) * (6 * cell + between) - between + 2 * pad
+    chars = texts.select(*keys, wide.alias("wide"), F.posexplode(F.split(line, "")).alias("n", "glyph"))
+    cells = chars.join(glyphs, "glyph").select(*keys, "wide", (pad + F.col("n") * (6 * cell + between) + F.col("cx") * cell).alias("px"), (F.col("cy") * cell).alias("py"))
+    side = lambda c, most: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - rim), F.least(most, F.col(c) + cell + rim) - 1))
+    px = cells.withColumn("x", side("px", F.col("wide"))).withColumn("y", side("py", F.lit(8 * cell + 2 * pad)))
+    own = (F.col("x") >= F.col("px")) & (F.col("x") < F.col("px") + cell) & (F.col("y") >= F.col("py")) & (F.col("y") < F.col("py") + cell)
+    shown = px.groupBy(*keys, "x", "y").agg(F.max(own).alias("own"))
+    return shown.select(*keys, "x", "y", *[F.when(F.col("own"), c).otherwise(s).alias(k) for k, c, s in zip("rgb", color, stroke)], F.lit(255).alias("a"))

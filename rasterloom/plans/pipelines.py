@@ -13,7 +13,7 @@ from pyspark.sql import types as ty
 
 from ..functions import adjust as A
 from ..functions.dual import Steps, names
-from ..operators import composite, geometry, region, sequential, shapes, stencil
+from ..operators import composite, geometry, region, sequential, shapes, stencil, text
 
 CH = ("r", "g", "b", "a")
 RGB = ("r", "g", "b")
@@ -77,10 +77,16 @@ def fit_inside(px: DataFrame, w: int, h: int, tw: int, th: int) -> DataFrame:
 DARKER = (0.45, 0.45, 0.5)
 SUBJECT_HIGH, SUBJECT_SHAPE, SUBJECT_WIDE = 0.78, 1.15, 0.52
 RIGHT, UP = 90, 20
+#: Size of the caption, and its margins to the left and below.
+CAPTION, CAPTION_LEFT, CAPTION_UP = 120, 60, 70
 
 
-def thumbnail(px: DataFrame, w: int, h: int, tw: int = 1280, th: int = 720, blur: int = 18) -> DataFrame:
-    """A darkened, blurred backdrop of the whole frame with its tone-mapped, sharpened centre in front, to the right; darker below."""
+def _caption(spark, line: str, size: int, **look) -> DataFrame:
+    return text.bitmap_text(spark.createDataFrame([(line,)], "text string"), size, **look)
+
+
+def thumbnail(px: DataFrame, w: int, h: int, tw: int = 1280, th: int = 720, blur: int = 18, caption: str = "INSANE!") -> DataFrame:
+    """A darkened, blurred backdrop of the whole frame with its tone-mapped, sharpened centre in front, to the right; darker below, with a caption."""
     wide = stencil.gaussian_blur(to_scan(geometry.scale_bilinear(px, w, h, tw, th), tw, th), tw, th, blur)
     back = to_pixels(wide).select("x", "y", *[F.rint(F.col(c) * k).cast("int").alias(c) for c, k in zip(RGB, DARKER)], "a")
     cw = min(w, math.floor(h * SUBJECT_HIGH))
@@ -95,7 +101,57 @@ def thumbnail(px: DataFrame, w: int, h: int, tw: int = 1280, th: int = 720, blur
     subject = geometry.scale_bilinear(sharp, cw, ch, sw, sh)
     canvas = composite.over_gamma(back, subject, tw - sw - RIGHT * tw // 1280, (th - sh) // 2 - UP * tw // 1280)
     dark = A.f_dark_gradient(*names(*RGB, "y"), th, 0.55, 0.6)
-    return canvas.select("x", "y", *[dark[c].col.alias(c) for c in RGB], "a")
+    canvas = canvas.select("x", "y", *[dark[c].col.alias(c) for c in RGB], "a")
+    line = _caption(px.sparkSession, caption, CAPTION)
+    return composite.over_gamma(canvas, line, CAPTION_LEFT, th - text.text_size(caption, CAPTION)[1] - CAPTION_UP)
+
+
+def _shrunk(line: str, size: int, step: int, least: int, widest: int) -> int:
+    """The size at which a line fits, in steps, down to a least."""
+    while text.text_size(line, size, *_tight(size))[0] > widest and size > least:
+        size -= step
+    return size
+
+
+def _tight(size: int) -> tuple[float, int]:
+    """Gap and margin of headline text."""
+    return 0.12, math.ceil(size * 0.25)
+
+
+def _headline(spark, line: str, size: int, **look) -> DataFrame:
+    gap, pad = _tight(size)
+    return _caption(spark, line, size, gap=gap, pad=pad, rim=max(2, math.ceil(size // 9 * 0.45)), **look)
+
+
+def headline_thumbnail(food: DataFrame, fw: int, fh: int, man: DataFrame, mw: int, mh: int, title: str = "BEST FAST FOOD", sub: str = "IRAN!", tw: int = 1280, th: int = 720) -> DataFrame:
+    """Two subjects cut out of green, each with a glow, on a flat gradient, with badges, an arrow and two lines of text.
+
+    ``food`` stands at the lower left, ``man`` at the right, cut by the edge.
+    Positions and sizes are those of a canvas 1280 by 720.
+    """
+    spark = food.sparkSession
+    canvas = shapes.flat_gradient(spark, tw, th, (255, 40, 20), (255, 170, 0), 0)
+    lay = lambda back, top, x, y, k=1.0: composite.over_gamma(back, top, x, y, k, True)
+
+    def subject(px, w, h, share, color, radius, strength):
+        high = math.floor(th * share + 0.5)
+        wide = math.floor(high * w / h + 0.5)
+        cut = geometry.scale_bilinear(region.chroma_key(px, w, h, (0, 255, 0), 100), w, h, wide, high)
+        glow = to_pixels(stencil.glow_from_alpha(to_scan(cut, wide, high), wide, high, color, radius, strength))
+        return cut, glow, wide, high
+
+    cut, glow, _, high = subject(food, fw, fh, 0.72, (255, 200, 0), 12, 1.0)
+    canvas = lay(lay(canvas, glow, -60, th - high + 90, 0.9), cut, -60, th - high + 90, 1.12)
+    cut, glow, wide, high = subject(man, mw, mh, 0.74, (255, 240, 210), 10, 0.8)
+    at = tw - math.floor(wide * 0.8 + 0.5), th - high + 60
+    canvas = lay(lay(canvas, glow, *at, 0.5), cut, *at, 1.05)
+    canvas = lay(canvas, shapes.draw_star(spark, tw, th, 120, 110, 56, (255, 210, 0), (0, 0, 0)), 0, 0)
+    canvas = lay(canvas, shapes.draw_star(spark, tw, th, 250, 60, 30, (255, 255, 255), (0, 0, 0)), 0, 0)
+    canvas = lay(canvas, shapes.draw_arrow(spark, tw, th, 380, 560, 300, 430, (230, 30, 30), (255, 255, 255), 26), 0, 0)
+    size, small = _shrunk(title, 130, 8, 60, 1100), _shrunk(sub, 90, 6, 50, 1100)
+    top = th - text.text_size(title, size, *_tight(size))[1] - 16
+    canvas = lay(canvas, _headline(spark, title, size, color=(255, 255, 255), stroke=(0, 0, 0)), 50, top)
+    return lay(canvas, _headline(spark, sub, small, color=(255, 60, 30), stroke=(255, 255, 255)), 50, top - text.text_size(sub, small, *_tight(small))[1] - 40)
 
 
 # -- retouching -----------------------------------------------------------------

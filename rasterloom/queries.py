@@ -748,6 +748,17 @@ register(
     f"SELECT seq, floor(least(4000, greatest(4, CASE WHEN y = 0 THEN 64 ELSE y END)))::INT AS size, floor(least(4.0::DOUBLE, greatest(0.5::DOUBLE, CASE WHEN x = 0 THEN 1.25::DOUBLE ELSE x / 10.0::DOUBLE END)) * 100 + 0.5::DOUBLE)::INT AS line_height, floor(least(200, greatest(0, k * 100)))::INT AS stroke_width, 'left' AS align FROM ({V.STROKES})",
 )
 
+_CELL, _GAP, _PAD, _RIM = 2, 3, 4, 1
+_GLYPH_SQL = "(VALUES " + ", ".join(f"('{c}', {x}, {y})" for c, rows in TX.GLYPHS.items() for y, row in enumerate(rows.split()) for x, bit in enumerate(row) if bit == "1") + ") AS gl(c, cx, cy)"
+register(
+    "text_bitmap",
+    lambda s, sf: TX.bitmap_text(s.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name"), 18, gap=0.17, pad=_PAD, keys=("p_partkey",), text="p_name"),
+    f"WITH t AS (SELECT p_partkey, upper(p_name) AS s FROM part), u AS (SELECT p_partkey, s, unnest(range(length(s))) AS n FROM t), "
+    f"c AS (SELECT p_partkey, length(s) * {6 * _CELL + _GAP} - {_GAP} + {2 * _PAD} AS wide, {_PAD} + n * {6 * _CELL + _GAP} + cx * {_CELL} AS px, cy * {_CELL} AS py FROM u JOIN {_GLYPH_SQL} ON c = substr(s, n + 1, 1)), "
+    f"p AS (SELECT p_partkey, px + i - {_RIM} AS x, py + j - {_RIM} AS y, i BETWEEN {_RIM} AND {_RIM + _CELL - 1} AND j BETWEEN {_RIM} AND {_RIM + _CELL - 1} AS own, wide FROM c, (SELECT unnest(range({_CELL + 2 * _RIM})) AS i), (SELECT unnest(range({_CELL + 2 * _RIM})) AS j)) "
+    f"SELECT p_partkey, x::INT AS x, y::INT AS y, CASE WHEN bool_or(own) THEN 255 ELSE 0 END AS r, CASE WHEN bool_or(own) THEN 214 ELSE 0 END AS g, 0 AS b, 255 AS a FROM p WHERE x >= 0 AND y >= 0 AND x < wide AND y < {8 * _CELL + 2 * _PAD} GROUP BY p_partkey, x, y",
+)
+
 # -- one frame at a time ------------------------------------------------------------------
 _framed = lambda p: p.withColumn("doc_id", F.lit(0).cast("long"))
 framed("frame_dither", lambda s, p, w, h: Q.dither(_framed(p), w, h), None)
@@ -766,6 +777,8 @@ framed("frame_blur_sharpen_smudge", _tool, None)
 # -- pipelines ------------------------------------------------------------------------------
 register("pipeline_demo", lambda s, sf: V.explode_scan(P.demo(s)))
 framed("pipeline_thumbnail", lambda s, p, w, h: P.thumbnail(p, w, h, 320, 180), None)
+_greened = lambda p: p.select("x", "y", "r", F.when(F.col("x") < 8, 255).otherwise(F.col("g")).alias("g"), F.when(F.col("x") < 8, 0).otherwise(F.col("b")).alias("b"), "a").withColumn("r", F.when(F.col("x") < 8, 0).otherwise(F.col("r")))
+framed("pipeline_headline", lambda s, p, w, h: P.headline_thumbnail(_greened(p), w, h, p, w, h), None)
 framed("pipeline_fit", lambda s, p, w, h: P.fit_inside(p, w, h, 32, 24), None)
 _frames = lambda s, sf: V.scan(s, sf).withColumn("doc_id", F.lit(0).cast("long"))
 register("pipeline_retouch", lambda s, sf: P.retouch(_frames(s, sf), W, V.height(s, sf)))

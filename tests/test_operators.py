@@ -303,3 +303,46 @@ def test_split_and_rebuild(spark):
     assert not P.layer_rebuild(split, w, h).select(px.columns).exceptAll(px).count()
     ground = P.layer_ground(split, w, h)
     assert ground.filter("r <> 90").count() == 0 and ground.count() == w * h
+
+
+def test_bitmap_text(spark):
+    """Against cells drawn one by one."""
+    from rasterloom.operators.text import GLYPHS, bitmap_text, text_size
+
+    size, gap, pad, rim = 31, 0.18, 5, 2
+    cell, between = size // 9, int(size * gap)
+    texts = [(1, "Go 2!"), (2, None), (3, "?é"), (4, "")]
+    got = {}
+    for r in bitmap_text(spark.createDataFrame(texts, "k int, text string"), size, (1, 2, 3), (7, 8, 9), gap, pad, rim, ("k",)).collect():
+        assert (r["k"], r["x"], r["y"]) not in got and r["a"] == 255
+        got[r["k"], r["x"], r["y"]] = (r["r"], r["g"], r["b"])
+    want = {}
+    for k, t in texts:
+        w, h = text_size(t or "", size, gap, pad)
+        for own in (False, True):
+            grow = 0 if own else rim
+            for n, c in enumerate((t or "").upper()):
+                for cy, row in enumerate(GLYPHS.get(c, GLYPHS[" "]).split()):
+                    for cx, bit in enumerate(row):
+                        px, py = pad + n * (6 * cell + between) + cx * cell, cy * cell
+                        for y in range(py - grow, py + cell + grow):
+                            for x in range(px - grow, px + cell + grow):
+                                if bit == "1" and 0 <= x < w and 0 <= y < h:
+                                    want[k, x, y] = (1, 2, 3) if own else (7, 8, 9)
+    assert got == want and {k for k, _, _ in got} == {1, 3}
+
+
+def test_headline_thumbnail(spark):
+    """Title, badge and gradient are where they belong; a subject stands on the gradient."""
+    from rasterloom.plans import pipelines as P
+
+    green = [(x, y, 0, 255, 0, 255) if x < 3 or x > 16 or y < 3 else (x, y, 90, 60, 200, 255) for x in range(20) for y in range(18)]
+    px = spark.createDataFrame(green, "x int, y int, r int, g int, b int, a int")
+    out = P.headline_thumbnail(px, 20, 18, px, 20, 18, "HI", "OK!").cache()
+    assert out.count() == 1280 * 720 and out.select("x", "y").distinct().count() == 1280 * 720
+    at = lambda x, y: tuple(out.filter(f"x = {x} AND y = {y}").select("r", "g", "b", "a").first())
+    assert at(120, 110) == (255, 210, 0, 255) and at(250, 60) == (255, 255, 255, 255)
+    assert out.filter("r = 255 AND g = 255 AND b = 255 AND y > 500 AND x < 400").count() > 1000
+    assert abs(at(200, 500)[2] - 200 * 1.12) < 8  # the subject's blue, brighter
+    assert at(640, 5)[2] == 0 or at(640, 5)[2] < 30
+    out.unpersist()
