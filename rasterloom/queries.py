@@ -28,6 +28,7 @@ from .plans import views as V
 from .sources import codecs as CO
 from .sources import images as IM
 from .sources import psd as PS
+from .streaming import strokes as SM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -605,6 +606,55 @@ register("history_remove_layer", lambda s, sf: HI.remove_layer(_zs(s, sf), 3), f
 register("history_reorder_layer", lambda s, sf: HI.reorder_layer(_zs(s, sf), 2, 5), f"SELECT CASE WHEN z = 2 THEN 5 WHEN z BETWEEN 2 AND 5 THEN z - 1 ELSE z END AS z, v FROM ({_small})")
 
 
+_labelled = lambda s, sf: _log(s, sf).withColumn("label", F.concat(F.lit("edit "), F.col("value")))
+register(
+    "history_labels",
+    lambda s, sf: HI.labels(_labelled(s, sf)),
+    _HIST + ", d AS (SELECT doc, unnest(done) AS seq, unnest(range(len(done))) AS n FROM last) SELECT doc, 0 AS depth, 'Open' AS label FROM last UNION ALL SELECT doc, (n + 1)::INT, 'edit ' || value FROM d JOIN lg USING (doc, seq)",
+)
+
+
+def _snapshots(spark, sf):
+    """Two layers of each document after each push, and the document as it was opened."""
+    log = _log(spark, sf)
+    seqs = log.filter("kind = 'push'").select("doc", F.col("seq").cast("long").alias("seq")).unionByName(log.select("doc", F.lit(0).cast("long").alias("seq")).distinct())
+    return seqs.select("doc", "seq", F.explode(F.array(F.lit(1), F.lit(2))).alias("z")).withColumn("name", F.concat(F.lit("layer "), F.col("z") * F.col("seq")))
+
+
+register(
+    "history_restore",
+    lambda s, sf: HI.restore(_log(s, sf), _snapshots(s, sf)),
+    _HIST + " SELECT doc, seq, z, 'layer ' || (z * seq) AS name FROM (SELECT doc, CASE WHEN len(done) > 0 THEN done[len(done)] ELSE 0 END AS seq FROM last), (VALUES (1), (2)) AS v(z)",
+)
+register("history_capture", lambda s, sf: HI.restore_tiles(HI.capture_tiles(V.layers(s, sf), ("z",), 16), ("z",)), f"SELECT * FROM ({V.LAYERS}) WHERE a > 0")
+framed(
+    "history_written",
+    lambda s, p, w, h: HI.written(p, p.filter("r < 90").withColumn("g", 255 - F.col("g")).withColumn("x", F.col("x") + 1)),
+    ", c AS (SELECT x + 1 AS x, y, r, 255 - g AS g, b, a FROM px WHERE r < 90) SELECT p.x, p.y, p.r, p.g, p.b, p.a FROM px p LEFT JOIN c USING (x, y) WHERE c.r IS NULL UNION ALL SELECT * FROM c",
+)
+_META = "z, CASE z % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS name, 'paint' AS kind, z % 2 = 0 AS clip"
+_meta = lambda s, sf: V.layers(s, sf).select("z").distinct().selectExpr(*_META.split(", "))
+_META_SQL = f"(SELECT {_META} FROM (SELECT DISTINCT z FROM ({V.LAYERS})))"
+register("history_rename_layer", lambda s, sf: HI.rename_layer(_meta(s, sf), 3, "sky"), f"SELECT z, CASE z WHEN 3 THEN 'sky' ELSE name END AS name, kind, clip FROM {_META_SQL}")
+register("history_clip_layer", lambda s, sf: HI.toggle_layer(_meta(s, sf), 3, "clip"), f"SELECT z, name, kind, clip <> (z = 3) AS clip FROM {_META_SQL}")
+register("history_duplicate_layer", lambda s, sf: HI.duplicate_layer(_meta(s, sf), 3), f"SELECT CASE WHEN z > 3 THEN z + 1 ELSE z END AS z, name, kind, clip FROM {_META_SQL} UNION ALL SELECT 4, name, kind, clip FROM {_META_SQL} WHERE z = 3")
+register(
+    "history_group_layer",
+    lambda s, sf: HI.group_layer(_meta(s, sf), 3).withColumn("clip", F.coalesce("clip", F.lit(False))),
+    f"SELECT CASE WHEN z > 3 THEN z + 2 WHEN z = 3 THEN 4 ELSE z END AS z, name, kind, clip FROM {_META_SQL} UNION ALL SELECT z, 'Group', k, false FROM (VALUES (3, 'group'), (5, 'end')) AS v(z, k)",
+)
+_TOOLS = [t for tools in SM.FAMILIES.values() for t in tools]
+_events = lambda s, sf: V.strokes(s, sf).select(F.col("x").alias("doc"), "seq", F.element_at(F.array(*map(F.lit, _TOOLS)), (F.col("seq") % (len(_TOOLS) + 2)).cast("int") % len(_TOOLS) + 1).alias("tool"))
+_FAMILY = "CASE " + " ".join(f"WHEN tool IN ({', '.join(repr(t) for t in tools)}) THEN '{f}'" for f, tools in SM.FAMILIES.items()) + " END"
+register(
+    "stroke_runs",
+    lambda s, sf: SM.runs(_events(s, sf)),
+    f"WITH e AS (SELECT x AS doc, seq, [{', '.join(repr(t) for t in _TOOLS)}][(seq % {len(_TOOLS) + 2})::INT % {len(_TOOLS)} + 1] AS tool FROM ({V.STROKES})), f AS (SELECT doc, seq, {_FAMILY} AS family FROM e), "
+    "g AS (SELECT *, CASE WHEN lag(family) OVER (PARTITION BY doc ORDER BY seq) = family THEN 0 ELSE 1 END AS cut FROM f), h AS (SELECT *, sum(cut) OVER (PARTITION BY doc ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM g) "
+    "SELECT doc, run::BIGINT AS run, family, min(seq) AS first, max(seq) AS last, count(*) AS n FROM h GROUP BY doc, run, family",
+)
+
+
 def _over_gamma(opaque: bool, k: float):
     def run(spark, p, w, h):
         return K.over_gamma(p, p.filter("x < 20 AND y < 30").withColumn("a", F.col("g")), 10, 5, k, opaque)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import LINEAR
@@ -85,3 +85,36 @@ def paint(strokes: DataFrame, tile: int = TILE, late: str = "30 seconds") -> Dat
 def by_tool(strokes: DataFrame, tools: dict) -> dict[str, DataFrame]:
     """The stream split by tool; each goes to its own operator."""
     return {name: strokes.filter(F.col("tool").isin(list(kinds))) for name, kinds in tools.items()}
+
+
+#: Every tool, by the operators that carry it out.
+FAMILIES = {
+    "stamp": ("brush", "pencil", "eraser", "clone", "healing", "dodge", "burn"),
+    "sequential": ("blur", "sharpen", "smudge"),
+    "region": ("fill", "wand", "magiceraser"),
+    "selection": ("rect", "ellipse", "lasso", "polygonal"),
+    "shape": ("gradient", "rectshape", "ellipseshape", "lineshape"),
+    "layer": ("move", "text"),
+    "read": ("picker",),
+}
+
+
+def route(events: DataFrame) -> DataFrame:
+    """Events with ``family``: which operators a tool goes to; null for an unknown tool. Works on streams."""
+    family = F.lit(None).cast("string")
+    for name, tools in FAMILIES.items():
+        family = F.when(F.col("tool").isin(*tools), name).otherwise(family)
+    return events.withColumn("family", family)
+
+
+def runs(events: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, run, family, first, last, n): a document's events in order of seq, cut where the family changes.
+
+    A run goes to its operator as a whole; runs follow each other, since each
+    reads what the one before has made. Unknown tools are left out.
+    """
+    order = Window.partitionBy(doc).orderBy("seq")
+    known = route(events).filter("family IS NOT NULL")
+    new = (F.lag("family").over(order).eqNullSafe(F.col("family"))).cast("int")
+    cut = known.withColumn("cut", 1 - new).withColumn("run", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.groupBy(doc, "run", "family").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))

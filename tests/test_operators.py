@@ -346,3 +346,27 @@ def test_headline_thumbnail(spark):
     assert abs(at(200, 500)[2] - 200 * 1.12) < 8  # the subject's blue, brighter
     assert at(640, 5)[2] == 0 or at(640, 5)[2] < 30
     out.unpersist()
+
+
+def test_history_of_whole_documents(spark):
+    log = spark.createDataFrame(
+        [(1, 1, "push", "paint"), (1, 2, "push", "fill"), (1, 3, "undo", None), (1, 4, "push", "blur"), (1, 5, "undo", None), (1, 6, "redo", None), (2, 1, "push", "paint"), (2, 2, "undo", None), (3, 1, "undo", None)],
+        "doc int, seq long, kind string, label string",
+    )
+    labels = {}
+    for r in H.labels(log).orderBy("doc", "depth").collect():
+        labels.setdefault(r["doc"], []).append(r["label"])
+    assert labels == {1: ["Open", "paint", "blur"], 2: ["Open"], 3: ["Open"]}
+    snaps = spark.createDataFrame([(d, s, f"{d}.{s}") for d in (1, 2, 3) for s in (0, 1, 2, 4)], "doc int, seq long, v string")
+    assert {r["v"] for r in H.restore(log, snaps).collect()} == {"1.4", "2.0", "3.0"}
+    layers = spark.createDataFrame([(0, "paint", "a", True), (1, "paint", "b", None), (2, "paint", "c", False)], "z int, kind string, name string, clip boolean")
+    show = lambda d: [tuple(r) for r in d.orderBy("z").collect()]
+    assert show(H.group_layer(layers, 1)) == [(0, "paint", "a", True), (1, "group", "Group", None), (2, "paint", "b", None), (3, "end", "Group", None), (4, "paint", "c", False)]
+    assert show(H.group_layer(layers, 9)) == show(layers) == show(H.rename_layer(layers, 1, ""))
+    assert [r[3] for r in show(H.toggle_layer(layers, 1, "clip"))] == [True, True, False]
+    assert [r[2] for r in show(H.duplicate_layer(layers, 1))] == ["a", "b", "b", "c"]
+    px = spark.createDataFrame([(0, 0, 1, 1, 1, 255), (300, 5, 2, 2, 2, 9), (1, 0, 3, 3, 3, 0)], "x int, y int, r int, g int, b int, a int")
+    tiles = H.capture_tiles(px)
+    assert tiles.count() == 2 and H.restore_tiles(tiles).count() == 2
+    copy = H.written(px, spark.createDataFrame([(0, 0, 9, 9, 9, 255), (7, 7, 8, 8, 8, 255)], px.schema))
+    assert {(r["x"], r["r"]) for r in copy.collect()} == {(0, 9), (7, 8), (300, 2), (1, 3)} and px.count() == 3

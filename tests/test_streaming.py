@@ -58,3 +58,11 @@ def test_split_by_tool(spark):
     df = spark.createDataFrame(rows(3), SCHEMA)
     parts = T.by_tool(df, {"paint": ["brush", "pencil"], "other": ["smudge"]})
     assert parts["paint"].count() == 3 and parts["other"].count() == 0
+
+
+def test_runs_of_tools(spark):
+    tools = ["brush", "eraser", "blur", "what", "smudge", "fill", "brush"]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(tools)] + [(2, 9, None)], "doc int, seq long, tool string")
+    got = [tuple(r) for r in T.runs(df).select("run", "family", "first", "last", "n").orderBy("run").collect()]
+    assert got == [(1, "stamp", 0, 1, 2), (2, "sequential", 2, 4, 2), (3, "region", 5, 5, 1), (4, "stamp", 6, 6, 1)]
+    assert sum(map(len, T.FAMILIES.values())) == 24
