@@ -73,6 +73,17 @@ class Stats:
         return self.discount * self.v / self.n if self.n else 1.0
 
 
+def distinct(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each (any), and for each value its index; by an unstable sort, which is much faster."""
+    order = np.argsort(v)
+    v = v[order]
+    new = np.ones(len(v), bool)
+    np.not_equal(v[1:], v[:-1], out=new[1:])
+    at = np.empty(len(v), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return v[new], order[new], at
+
+
 class Grams:
     """The n-grams of a group of texts, laid end to end with a begin and an end mark each.
 
@@ -113,7 +124,7 @@ class Grams:
         """The distinct (k+1)-grams, of those places where ``where`` holds."""
         there = self.depth >= max(1, k)
         places = np.flatnonzero(there if where is None else there & where)
-        keys, first, at = np.unique(self._hashes(k, places), return_index=True, return_inverse=True)
+        keys, first, at = distinct(self._hashes(k, places))
         index = np.full(len(self.where), -1, np.int32)
         index[places] = at
         self.keys.append(keys)

@@ -23,6 +23,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: What a byte counts at the first places of a word; beyond them it is worked out.
+_PLACES = 32
+_PLACED = mix(_VALUE[None, :] + np.arange(_PLACES, dtype=np.uint64)[:, None] * _STEP)
+
+
 def _pieces(raw: bytes) -> Iterator[bytes]:
     """``raw`` cut at white space."""
     at = 0
@@ -44,7 +49,11 @@ def _hashed(raw: bytes) -> np.ndarray:
     first = np.flatnonzero(word[at] & ~np.concatenate(([False], word[:-1]))[at])  # where in ``at`` each word starts
     place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
     # a value that depends on byte and place, summed over the word
-    return mix(np.add.reduceat(mix(_VALUE[b[at]] + place.astype(np.uint64) * _STEP), first))
+    low = b[at]
+    value = _PLACED[np.minimum(place, _PLACES - 1), low]
+    far = np.flatnonzero(place >= _PLACES)
+    value[far] = mix(_VALUE[low[far]] + place[far].astype(np.uint64) * _STEP)
+    return mix(np.add.reduceat(value, first))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
