@@ -668,11 +668,16 @@ framed("composite_over_gamma", *_over_gamma(False, 1.0))
 framed("composite_over_gamma_bright", *_over_gamma(True, 1.3))
 
 
-# -- codecs: what comes back is what went in --------------------------------------------
+# -- codecs: what comes back is what went in; a frame too high for one file is several strips --
+def _placed(px: DataFrame) -> DataFrame:
+    """Pixels of strips at their place in the frame; the path of a strip is its first row."""
+    return px.withColumn("y", F.col("y") + F.col("path").cast("int")).drop("path")
+
+
 def _round_trip(kind: str):
     def run(spark, p, w, h):
-        files = IM.encode(p.withColumn("doc_id", F.lit(0).cast("long")), kind, w, h).select(F.lit("f").alias("path"), "content")
-        return IM.to_pixels(IM.decode(files)).drop("path")
+        files = IM.encode_strips(p.withColumn("doc_id", F.lit(0).cast("long")), kind, w, h).select(F.col("top").cast("string").alias("path"), "content")
+        return _placed(IM.to_pixels(IM.decode(files)))
 
     return run
 
@@ -686,11 +691,11 @@ framed("codec_jpeg", _round_trip("jpeg"), None)
 
 def _sniffed(spark, p, w, h):
     whole = p.withColumn("doc_id", F.lit(0).cast("long"))
-    files = [IM.encode(whole, k, w, h).select(F.lit(k).alias("kind"), "content") for k in CO.ENCODERS]
+    files = [IM.encode_strips(whole, k, w, h).select(F.lit(k).alias("kind"), "content") for k in CO.ENCODERS]
     out = files[0]
     for f in files[1:]:
         out = out.unionByName(f)
-    return out.select("kind", IM.sniff(F.col("content")).alias("format"))
+    return out.select("kind", IM.sniff(F.col("content")).alias("format")).distinct()
 
 
 framed("codec_sniff", _sniffed, "SELECT k AS kind, k AS format FROM (VALUES " + ", ".join(f"('{k}')" for k in CO.ENCODERS) + ") AS v(k)")
@@ -701,19 +706,23 @@ _DOC = [L(1, opacity=0.8), L(2, "multiply", 0.6), L(3, "screen", 0.8), L(4, "har
 
 
 def _read_flat(docs: DataFrame, canvas: tuple[int, int] | None = None) -> DataFrame:
-    """The layers of one document, flattened as its records say; only the records, without pixels, come to the driver."""
-    rows = PS.read_layers(docs.select(F.lit("d").alias("path"), "content"))
-    heads = rows.withColumn("mask", F.expr("CASE WHEN mask IS NOT NULL THEN x'' END")).drop("data").orderBy("z").collect()
-    regions = PS.vector_regions(rows, *canvas).drop("path") if canvas else None
-    return K.flatten(PS.layer_pixels(rows).drop("path"), PS.stack(heads), regions=regions)
+    """The layers of one document, flattened as its records say; only the records, without pixels, come to the driver.
+
+    The document is (top, content): one file, or one for each strip, whose records are the same.
+    """
+    docs = Z.shared(docs.select(F.col("top").cast("string").alias("path"), "content"), "documents")
+    rows = PS.read_layers(docs)
+    heads = PS.read_layers(docs.filter("path = '0'")).withColumn("mask", F.expr("CASE WHEN mask IS NOT NULL THEN x'' END")).drop("data").orderBy("z").collect()
+    regions = _placed(PS.vector_regions(rows, *canvas)) if canvas else None
+    return K.flatten(_placed(PS.layer_pixels(rows)), PS.stack(heads), regions=regions)
 
 
 def _from_stack(spark, sf):
     px = V.layers(spark, sf).filter("z <= 4")
     h = int(px.agg(F.max("y")).first()[0]) + 1
     look = F.create_map(*[F.lit(v) for k in _DOC for v in (k.z, f"{k.mode}:{k.opacity}")])[F.col("z")]
-    files = IM.encode(px, "png", 128, h, "z").select(F.lit(0).cast("long").alias("doc_id"), "z", F.concat(F.lit("layer "), "z").alias("name"), F.split(look, ":")[0].alias("mode"), F.split(look, ":")[1].cast("double").alias("opacity"), "content")
-    return PS.from_images(files)
+    files = IM.encode_strips(px, "png", 128, h, "z").select("top", "z", F.concat(F.lit("layer "), "z").alias("name"), F.split(look, ":")[0].alias("mode"), F.split(look, ":")[1].cast("double").alias("opacity"), "content")
+    return PS.from_images(files, "top")
 
 
 register("pipeline_layered_file", lambda s, sf: _read_flat(_from_stack(s, sf)), K.flatten_sql(V.LAYERS, _DOC))
@@ -728,16 +737,24 @@ _OVER = [
 ]
 
 
+def _box_at(box: tuple[int, int, int, int], top: int, h: int) -> tuple[int, int, int, int]:
+    """A box as the strip of h rows from ``top`` holds it: one that misses the strip lies just outside."""
+    y = min(max(box[1] - top, -2), h + 1)
+    return box[0], y, box[2], min(max(box[3] - top, y + 1), h + 2)
+
+
 def _with_blocks(px: DataFrame, w: int, h: int) -> DataFrame:
-    """(doc_id, content): the frame as a document of records of every kind."""
+    """(top, content): the frame as a document of records of every kind."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, rgba = CO.decode(bytes(pdf["content"].iloc[0]))
-        filled = [PS.replace(r, w=w, h=h, rgba=rgba) if r.kind == "paint" else r for r in [PS.Record("frame"), *_OVER]]
-        return pd.DataFrame({"doc_id": [0], "content": [PS.encode(w, h, filled)]})
+        _, n, rgba = CO.decode(bytes(pdf["content"].iloc[0]))
+        top = int(pdf["top"].iloc[0])
+        own = lambda r: PS.replace(r, w=w, h=n, rgba=rgba, box=r.box and _box_at(r.box, top, n))
+        filled = [own(r) if r.kind == "paint" else r for r in [PS.Record("frame"), *_OVER]]
+        return pd.DataFrame({"top": [top], "content": [PS.encode(w, n, filled)]})
 
-    files = IM.encode(px.withColumn("doc_id", F.lit(0).cast("long")), "png", w, h)
-    return files.groupBy("doc_id").applyInPandas(run, "doc_id long, content binary")
+    files = IM.encode_strips(px.withColumn("doc_id", F.lit(0).cast("long")), "png", w, h)
+    return files.groupBy("top").applyInPandas(run, "top int, content binary")
 
 
 _BLOCKS = [L(0), L(1, kind="group", opacity=0.6), L(2, "difference", vector_masked=True), L(3, kind="end"), L(4, kind="adjust", adjust="levels", params=_OVER[3].params), L(5, kind="adjust", adjust="invert")]
@@ -750,10 +767,11 @@ framed(
 
 def _styles(spark, p, w, h):
     """Layer styles as variants."""
-    rows = PS.read_layers(_with_blocks(p, w, h).select(F.lit("d").alias("path"), "content"))
+    rows = PS.read_layers(_with_blocks(p, w, h).select(F.col("top").cast("string").alias("path"), "content"))
     got = rows.filter("style IS NOT NULL").select("z", "name", F.parse_json("style").alias("v"))
     part = lambda path, kind: F.variant_get("v", path, kind)
-    return got.select("z", "name", part("$.drop_shadow.distance", "double").alias("distance"), part("$.drop_shadow.blur", "double").alias("blur"), part("$.drop_shadow.mode", "string").alias("mode"), part("$.stroke.size", "double").alias("size"), part("$.stroke.position", "string").alias("position"))
+    out = got.select("z", "name", part("$.drop_shadow.distance", "double").alias("distance"), part("$.drop_shadow.blur", "double").alias("blur"), part("$.drop_shadow.mode", "string").alias("mode"), part("$.stroke.size", "double").alias("size"), part("$.stroke.position", "string").alias("position"))
+    return out.distinct()  # the strips of a document have the same
 
 
 framed("codec_layer_styles", _styles, ", one AS (SELECT 1 AS k) SELECT 2 AS z, 'copy' AS name, 8.0::DOUBLE AS distance, 0.0::DOUBLE AS blur, 'multiply' AS mode, 3.0::DOUBLE AS size, 'outside' AS position FROM one")

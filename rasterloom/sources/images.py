@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import codecs
 
 FRAMES = "path string, format string, w int, h int, data binary, error string"
+#: Pixels of a strip of a frame that is too high for one file; strips are a multiple of this many rows, whole blocks of every format.
+STRIP_PIXELS, STRIP_STEP = 1 << 20, 16
 
 
 def sniff(content):
@@ -50,24 +52,57 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 
 def to_pixels(frames: DataFrame, key: str = "path", drop_clear: bool = True) -> DataFrame:
-    """(key, x, y, r, g, b, a) of frames (key, w, h, data), in the JVM: a row for each pixel."""
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), F.col("i").cast("int") * 4 + 1 + k, 1)), 16, 10).cast("int")
-    rows = frames.filter("data is not null").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w").cast("long") * F.col("h") - 1)))
-    out = rows.select(key, (F.col("i") % F.col("w")).cast("int").alias("x"), F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), *[byte(k).alias(c) for k, c in enumerate("rgba")])
+    """(key, x, y, r, g, b, a) of frames (key, w, h, data), in the JVM: a row of bytes, then a row for each pixel."""
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("line"), F.col("x") * 4 + 1 + k, 1)), 16, 10).cast("int")
+    lines = frames.filter("data is not null").select(key, "w", "data", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    lines = lines.select(key, "w", "y", F.substring(F.col("data"), F.col("y") * F.col("w") * 4 + 1, F.col("w") * 4).alias("line"))
+    rows = lines.select(key, "y", "line", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    out = rows.select(key, "x", "y", *[byte(k).alias(c) for k, c in enumerate("rgba")])
     return out.filter("a > 0") if drop_clear else out
 
 
+def _file(pdf: pd.DataFrame, kind: str, w: int, h: int, top: int = 0) -> bytes:
+    """An image of the h rows from ``top``."""
+    img = np.zeros((h, w, 4), np.uint8)
+    img[pdf["y"].to_numpy(int) - top, pdf["x"].to_numpy(int)] = pdf[list("rgba")].to_numpy()
+    return codecs.encode(kind, w, h, img.tobytes())
+
+
 def encode(pixels: DataFrame, kind: str, w: int, h: int, key: str = "doc_id") -> DataFrame:
     """(key, content): each frame's pixels as one image file."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        img = np.zeros((h, w, 4), np.uint8)
-        img[pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)] = pdf[list("rgba")].to_numpy()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [codecs.encode(kind, w, h, img.tobytes())]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [_file(pdf, kind, w, h)]})
 
     return pixels.groupBy(key).applyInPandas(run, f"{key} {dict(pixels.dtypes)[key]}, content binary")
 
 
+def strip_height(w: int, h: int) -> int:
+    """Rows of one file: all of them if a file may be that high."""
+    if h <= codecs.MAX_EDGE and w * h <= codecs.MAX_PIXELS:
+        return h
+    return max(STRIP_STEP, min(codecs.MAX_EDGE, STRIP_PIXELS // max(1, w)) // STRIP_STEP * STRIP_STEP)
+
+
+def encode_strips(pixels: DataFrame, kind: str, w: int, h: int, key: str = "doc_id") -> DataFrame:
+    """(key, top, content): each frame as image files of its rows from ``top``, for frames of any height.
+
+    A frame that one file may hold is one file; a higher one is cut into strips
+    of ``strip_height`` rows, each a task of its own. Clear strips are files too.
+    """
+    high = strip_height(w, h)
+    clear = [F.lit(0).alias(c) for c in "rgba"]
+    every = pixels.select(key).distinct().select(key, F.lit(-1).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(h - 1), F.lit(high))).alias("y"), *clear)
+    rows = pixels.select(key, *[F.col(c).cast("int").alias(c) for c in ("x", "y", *"rgba")]).unionByName(every)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        top = int(pdf["top"].iloc[0])
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "top": [top], "content": [_file(pdf[pdf["x"] >= 0], kind, w, min(high, h - top), top)]})
+
+    tops = rows.withColumn("top", (F.floor(F.col("y") / high) * high).cast("int"))
+    return tops.groupBy(key, "top").applyInPandas(run, f"{key} {dict(pixels.dtypes)[key]}, top int, content binary")
+
+
 def write_images(encoded: DataFrame, folder: str, kind: str, key: str = "doc_id") -> DataFrame:
     """Files named by key in a folder that all workers share; each appears whole, and a repeated task replaces its own."""
 
