@@ -13,6 +13,7 @@ H = 32_784
 #: What each query gives of such a frame; ``same``: its pixels.
 TALL = {
     "codec_bmp": "same",
+    "codec_layered_blocks": H * 64,
 }
 
 
