@@ -14,6 +14,7 @@ H = 32_784
 TALL = {
     "codec_bmp": "same",
     "codec_layered_blocks": H * 64,
+    "codec_qoi": "same",
 }
 
 
