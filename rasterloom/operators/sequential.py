@@ -2,12 +2,13 @@
 
 Each frame is one group; frames are independent, so a table of many frames
 spreads over the cluster, and no frame is larger than one task can hold
-(32,768 pixels on a side at most, 100 million in all).
+(100 million pixels in all; a side may be of any length, unlike in files).
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 from .strokes import CH, frame_of, pixels_of
 
 SCHEMA = "doc_id long, x int, y int, r int, g int, b int, a int"
-MAX_EDGE, MAX_PIXELS = 32_768, 100_000_000
+MAX_PIXELS = 100_000_000
 
 
 def check_size(w: int, h: int) -> None:
-    if w > MAX_EDGE or h > MAX_EDGE or w * h > MAX_PIXELS:
+    if w * h > MAX_PIXELS:
         raise ValueError(f"a frame of {w} x {h} pixels is too large")
 
 
@@ -38,19 +39,26 @@ def per_frame(px: DataFrame, w: int, h: int, f) -> DataFrame:
 def dither_frame(img: np.ndarray) -> np.ndarray:
     """Two levels a channel, errors spread to the right and below; every other row runs backwards."""
     h, w = img.shape[:2]
-    out, err = img.copy(), np.zeros((h + 1, w + 2, 3), np.float32)
-    for y in range(h):
-        step = 1 if y % 2 == 0 else -1
-        for x in range(w) if step > 0 else range(w - 1, -1, -1):
-            v = np.clip(img[y, x, :3] + err[y, x + 1].astype(float), 0, 255)
-            q = np.where(v <= 127, 0.0, 255.0)
-            out[y, x, :3] = q
-            e = v - q
-            # fixed shares: ahead 7, below and behind 3, below 5, below and ahead 1 of 16
-            err[y, x + 1 + step] += (e * (7 / 16)).astype(np.float64)
-            err[y + 1, x + 1 - step] += e * (3 / 16)
-            err[y + 1, x + 1] += e * (5 / 16)
-            err[y + 1, x + 1 + step] += e * (1 / 16)
+    out = img.copy()
+    for c in range(3):
+        # errors are floats, a row's and the next one's; sums round to floats where they are stored
+        err = array("f", bytes(4 * (w + 2)))
+        for y in range(h):
+            step = 1 if y % 2 == 0 else -1
+            below, row = array("f", bytes(4 * (w + 2))), img[y, :, c].tolist()
+            for x in range(w) if step > 0 else range(w - 1, -1, -1):
+                v = row[x] + err[x + 1]
+                v = 0.0 if v < 0 else 255.0 if v > 255 else v
+                q = 0.0 if v <= 127 else 255.0
+                row[x] = q
+                e = v - q
+                # fixed shares: ahead 7, below and behind 3, below 5, below and ahead 1 of 16
+                err[x + 1 + step] += e * 0.4375
+                below[x + 1 - step] += e * 0.1875
+                below[x + 1] += e * 0.3125
+                below[x + 1 + step] += e * 0.0625
+            out[y, :, c] = row
+            err = below
     return out
 
 

@@ -146,9 +146,9 @@ def frame_of(pdf: pd.DataFrame, w: int, h: int) -> np.ndarray:
 
 def pixels_of(img: np.ndarray, **keys) -> pd.DataFrame:
     h, w = img.shape[:2]
-    out = pd.DataFrame({"x": np.tile(np.arange(w), h), "y": np.repeat(np.arange(h), w)})
+    out = pd.DataFrame({"x": np.tile(np.arange(w, dtype=np.int32), h), "y": np.repeat(np.arange(h, dtype=np.int32), w)})
     for k, c in enumerate(CH):
-        out[c] = img[:, :, k].reshape(-1).astype(int)
+        out[c] = img[:, :, k].reshape(-1).astype(np.int32)
     for k, v in keys.items():
         out[k] = v
     return out
