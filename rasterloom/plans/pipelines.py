@@ -135,7 +135,7 @@ def headline_thumbnail(food: DataFrame, fw: int, fh: int, man: DataFrame, mw: in
 
     def subject(px, w, h, share, color, radius, strength):
         high = math.floor(th * share + 0.5)
-        wide = math.floor(high * w / h + 0.5)
+        wide = max(1, math.floor(high * w / h + 0.5))  # of a very high picture a column stays
         cut = geometry.scale_bilinear(region.chroma_key(px, w, h, (0, 255, 0), 100), w, h, wide, high)
         glow = to_pixels(stencil.glow_from_alpha(to_scan(cut, wide, high), wide, high, color, radius, strength))
         return cut, glow, wide, high

@@ -16,6 +16,7 @@ TALL = {
     "codec_layered_blocks": H * 64,
     "codec_qoi": "same",
     "frame_inpaint": H * 64,
+    "pipeline_headline": 1280 * 720,
 }
 
 
