@@ -15,6 +15,7 @@ TALL = {
     "codec_bmp": "same",
     "codec_layered_blocks": H * 64,
     "codec_qoi": "same",
+    "filter_dispatch": 34,
     "frame_inpaint": H * 64,
     "pipeline_headline": 1280 * 720,
 }
