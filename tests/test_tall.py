@@ -18,6 +18,7 @@ TALL = {
     "filter_dispatch": 34,
     "frame_inpaint": H * 64,
     "pipeline_headline": 1280 * 720,
+    "pipeline_retouch": H * 64,
 }
 
 
