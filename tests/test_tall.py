@@ -19,6 +19,7 @@ TALL = {
     "frame_inpaint": H * 64,
     "pipeline_headline": 1280 * 720,
     "pipeline_retouch": H * 64,
+    "codec_jpeg": H * 64,
 }
 
 
