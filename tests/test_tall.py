@@ -20,6 +20,7 @@ TALL = {
     "pipeline_headline": 1280 * 720,
     "pipeline_retouch": H * 64,
     "codec_jpeg": H * 64,
+    "codec_png": "same",
 }
 
 
