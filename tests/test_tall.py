@@ -21,6 +21,7 @@ TALL = {
     "pipeline_retouch": H * 64,
     "codec_jpeg": H * 64,
     "codec_png": "same",
+    "codec_sniff": 5,
 }
 
 
