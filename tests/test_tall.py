@@ -22,6 +22,7 @@ TALL = {
     "codec_jpeg": H * 64,
     "codec_png": "same",
     "codec_sniff": 5,
+    "frame_dither": H * 64,
 }
 
 
