@@ -23,6 +23,7 @@ TALL = {
     "codec_png": "same",
     "codec_sniff": 5,
     "frame_dither": H * 64,
+    "frame_rain": H * 64,
 }
 
 
