@@ -24,6 +24,7 @@ TALL = {
     "codec_sniff": 5,
     "frame_dither": H * 64,
     "frame_rain": H * 64,
+    "pipeline_layer_rebuild": 1,
 }
 
 
