@@ -25,6 +25,7 @@ TALL = {
     "frame_dither": H * 64,
     "frame_rain": H * 64,
     "pipeline_layer_rebuild": 1,
+    "pipeline_retouch_error": 1,
 }
 
 
