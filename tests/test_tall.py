@@ -26,6 +26,7 @@ TALL = {
     "frame_rain": H * 64,
     "pipeline_layer_rebuild": 1,
     "pipeline_retouch_error": 1,
+    "codec_layer_styles": 1,
 }
 
 
