@@ -27,6 +27,7 @@ TALL = {
     "pipeline_layer_rebuild": 1,
     "pipeline_retouch_error": 1,
     "codec_layer_styles": 1,
+    "codec_psd": "same",
 }
 
 
