@@ -28,6 +28,7 @@ TALL = {
     "pipeline_retouch_error": 1,
     "codec_layer_styles": 1,
     "codec_psd": "same",
+    "codec_tiff": "same",
 }
 
 
