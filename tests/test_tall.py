@@ -29,6 +29,7 @@ TALL = {
     "codec_layer_styles": 1,
     "codec_psd": "same",
     "codec_tiff": "same",
+    "frame_grain": H * 64,
 }
 
 
