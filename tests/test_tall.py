@@ -30,6 +30,7 @@ TALL = {
     "codec_psd": "same",
     "codec_tiff": "same",
     "frame_grain": H * 64,
+    "pipeline_auto_retouch": H * 64,
 }
 
 
