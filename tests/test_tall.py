@@ -31,6 +31,7 @@ TALL = {
     "codec_tiff": "same",
     "frame_grain": H * 64,
     "pipeline_auto_retouch": H * 64,
+    "pipeline_layered_file": 11,
 }
 
 
