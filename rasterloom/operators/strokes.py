@@ -17,14 +17,15 @@ CH = ("r", "g", "b", "a")
 def stroke_points(path: DataFrame, spacing: float, keys: tuple[str, ...] = ("stroke",)) -> DataFrame:
     """(keys, n, x, y): points every ``spacing`` along the path (keys, seq, x, y).
 
-    Arc length is a running sum over the stroke; each segment then yields the
-    points whose length falls inside it. The first point is always there.
+    Arc length is a running sum over the stroke, of decimals, so that its error
+    doesn't grow along a stroke; each segment then yields the points whose
+    length falls inside it. The first point is always there.
     """
     by = Window.partitionBy(*keys).orderBy("seq")
     seg = path.select(*keys, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     seg = seg.withColumns({"px": F.lag("x").over(by), "py": F.lag("y").over(by)})
     seg = seg.withColumn("l", F.coalesce(F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))), F.lit(0.0)))
-    seg = seg.withColumn("end", F.sum("l").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("l"))
+    seg = seg.withColumn("end", F.sum(F.col("l").cast("decimal(28,16)")).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("double")).withColumn("start", F.col("end") - F.col("l"))
     first = seg.filter(F.col("px").isNull()).select(*keys, F.lit(0).cast("long").alias("n"), "x", "y")
     low = F.floor(F.col("start") / spacing) + 1
     high = F.floor((F.col("end") + 1e-6) / spacing)
