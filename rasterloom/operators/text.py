@@ -115,14 +115,41 @@ def bitmap_text(texts: DataFrame, size: int, color=(255, 214, 0), stroke=(0, 0,
     """
     cell, between = size // 9, math.floor(size * gap)
     rim = math.ceil(cell * 0.22) if rim is None else rim
-    lit = [(c, cx, cy) for c, rows in GLYPHS.items() for cy, row in enumerate(rows.split()) for cx, bit in enumerate(row) if bit == "1"]
-    glyphs = F.broadcast(texts.sparkSession.createDataFrame(lit, "glyph string, cx int, cy int"))
     line = F.upper(F.coalesce(F.col(text), F.lit("")))
-    wide = F.char_length(line) * (6 * cell + between) - between + 2 * pad
-    chars = texts.select(*keys, wide.alias("wide"), F.posexplode(F.split(line, "")).alias("n", "glyph"))
-    cells = chars.join(glyphs, "glyph").select(*keys, "wide", (pad + F.col("n") * (6 * cell + between) + F.col("cx") * cell).alias("px"), (F.col("cy") * cell).alias("py"))
-    side = lambda c, most: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - rim), F.least(most, F.col(c) + cell + rim) - 1))
-    px = cells.withColumn("x", side("px", F.col("wide"))).withColumn("y", side("py", F.lit(8 * cell + 2 * pad)))
-    own = (F.col("x") >= F.col("px")) & (F.col("x") < F.col("px") + cell) & (F.col("y") >= F.col("py")) & (F.col("y") < F.col("py") + cell)
-    shown = px.groupBy(*keys, "x", "y").agg(F.max(own).alias("own"))
+    lines = texts.select(*keys, line.alias("_line"))
+    if keys:
+        # a text grows a thousandfold as pixels, so tasks are not to be joined for being small
+        lines = lines.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    apart = 2 * rim <= cell + between
+    if apart:
+        # one line to a key: its glyphs can't meet, so each pixel is made once; only other keys' pixels need to be brought together
+        found = lines.groupBy(*keys).agg(F.min("_line").alias("_line"), F.max("_line").alias("_last"))
+        mixed = found.filter("_line <> _last").select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(0).alias("_one"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        lines = lines.join(mixed, same, "left_semi")
+    shown = _glyph_pixels(lines, cell, between, pad, rim, keys).groupBy(*keys, "x", "y").agg(F.max("own").alias("own"))
+    if apart:
+        shown = _glyph_pixels(found.filter("_line = _last"), cell, between, pad, rim, keys).unionByName(shown)
     return shown.select(*keys, "x", "y", *[F.when(F.col("own"), c).otherwise(s).alias(k) for k, c, s in zip("rgb", color, stroke)], F.lit(255).alias("a"))
+
+
+def _glyph_pixels(lines: DataFrame, cell: int, between: int, pad: int, rim: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, x, y, own): the pixels of each glyph of the lines (keys, _line), ``own`` in a cell, others in its rim."""
+    lit = []
+    for c, rows in GLYPHS.items():
+        at: dict[tuple[int, int], bool] = {}
+        for cy, row in enumerate(rows.split()):
+            for cx, bit in enumerate(row):
+                for dx in range(-rim, cell + rim) if bit == "1" else ():
+                    for dy in range(-rim, cell + rim):
+                        k = cx * cell + dx, cy * cell + dy
+                        at[k] = at.get(k, False) or (0 <= dx < cell and 0 <= dy < cell)
+        lit += [(c, *k, own) for k, own in at.items()]
+    glyphs = F.broadcast(lines.sparkSession.createDataFrame(lit, "_glyph string, _dx int, y int, own boolean"))
+    wide = F.char_length("_line") * (6 * cell + between) - between + 2 * pad
+    chars = lines.select(*keys, wide.alias("_wide"), F.posexplode(F.split("_line", "")).alias("_n", "_glyph"))
+    px = chars.join(glyphs, "_glyph").withColumn("x", pad + F.col("_n") * (6 * cell + between) + F.col("_dx"))
+    high = 8 * cell + 2 * pad
+    return px.filter((F.col("x") >= 0) & (F.col("x") < F.col("_wide")) & (F.col("y") >= 0) & (F.col("y") < high)).select(*keys, "x", "y", "own")

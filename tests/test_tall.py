@@ -91,3 +91,33 @@ def test_long_strokes_keep_their_places(spark):
     path = spark.range(100_001).select(F.lit(1).alias("stroke"), F.col("id").alias("seq"), (F.col("id") % 2).alias("x"), F.col("id").alias("y"))
     worst = N.stroke_points(path, 2.5).select(F.max(F.abs(F.col("y") - F.col("n") * 2.5 / F.sqrt(F.lit(2.0)))).alias("e"), F.count("*").alias("n")).first()
     assert worst["n"] == 56_569 and worst["e"] < 1e-9
+
+
+def test_bitmap_text_is_made_without_bringing_pixels_together(spark):
+    """Keys with one line, however often, with several, and null ones: as if every pixel were grouped."""
+    from rasterloom.operators import text as TX
+
+    rows = [(1, "Ab!"), (2, "x"), (2, "X"), (3, "A"), (3, "B"), (None, "Q"), (None, "--"), (4, None), (5, ""), (6, "é?")]
+    t = spark.createDataFrame(rows, "k int, line string")
+    got = TX.bitmap_text(t, 18, gap=0.17, pad=1, keys=("k",), text="line")
+    px = {(r["k"], r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"]) for r in got.collect()}
+    assert len(px) == got.count()
+    cell, gap, pad, rim, want = 2, 3, 1, 1, {}
+    for k, line in rows:
+        line = (line or "").upper()
+        wide, high = len(line) * (6 * cell + gap) - gap + 2 * pad, 8 * cell + 2 * pad
+        for n, c in enumerate(line):
+            for cy, bits in enumerate(TX.GLYPHS.get(c, "").split()):
+                for cx, bit in enumerate(bits):
+                    for dx in range(-rim, cell + rim) if bit == "1" else ():
+                        for dy in range(-rim, cell + rim):
+                            x, y = pad + n * (6 * cell + gap) + cx * cell + dx, cy * cell + dy
+                            if 0 <= x < wide and 0 <= y < high:
+                                want[k, x, y] = want.get((k, x, y), False) or (0 <= dx < cell and 0 <= dy < cell)
+    assert px == {k: (255, 214, 0, 255) if own else (0, 0, 0, 255) for k, own in want.items()}
+    # no key with two lines: nothing but the texts is shuffled
+    one = TX.bitmap_text(spark.range(3).selectExpr("id AS k", "'AB' AS line"), 18, gap=0.17, pad=4, keys=("k",), text="line")
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "_glyph" in plan.split("Union")[1].split("Aggregate")[0]
+    # a rim so wide that glyphs meet
+    assert TX.bitmap_text(spark.createDataFrame([("AB",)], "text string"), 18, rim=5).groupBy("x", "y").count().filter("count > 1").count() == 0
