@@ -188,17 +188,40 @@ class Automaton:
         del source, token
         order = np.argsort(key)
         self.arc, self.target, self.log = key[order], np.concatenate(target)[order], np.log10(np.concatenate(weight)[order])
+        self.first = np.searchsorted(self.arc, np.arange(n + 1) * self.words)  # a state's arcs start there
+        self.root = np.full(self.words, -1)  # the empty context's arc for each word
+        self.root[self.arc[: self.first[1]]] = np.arange(self.first[1])
         self.log_unknown = math.log10(stats.unknown)
 
+    def arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The arc that each state has for a token, -1 where it has none."""
+        out = np.full(len(state), -1)
+        low = self.first[state]
+        n = self.first[state + 1] - low
+        empty = state == 0
+        out[empty] = self.root[token[empty]]
+        some = np.flatnonzero((n > 0) & ~empty)
+        low, n, want = low[some], n[some], (state * self.words + token)[some]
+        # by halves within the state's arcs, which are few for nearly all states
+        while len(some):
+            half = n >> 1
+            got = self.arc[low + half]
+            hit = got == want
+            out[some[hit]] = (low + half)[hit]
+            up = got < want
+            low, n = np.where(up, low + half + 1, low), np.where(up, n - half - 1, half)
+            rest = np.flatnonzero((n > 0) & ~hit)
+            some, low, n, want = some[rest], low[rest], n[rest], want[rest]
+        return out
+
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after reading one token each, and what that cost."""
         cost, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
         todo = np.arange(len(state))
         while len(todo):
             s = state[todo]
-            want = s * self.words + token[todo]
-            i = np.minimum(np.searchsorted(self.arc, want), len(self.arc) - 1) if len(self.arc) else np.zeros(len(todo), np.int64)
-            hit = self.arc[i] == want if len(self.arc) else np.zeros(len(todo), bool)
+            i = self.arcs(s, token[todo])
+            hit = i >= 0
             got = todo[hit]
             cost[got] += self.log[i[hit]]
             after[got] = self.target[i[hit]]

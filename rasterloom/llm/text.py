@@ -23,9 +23,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: What a byte counts at the first places of a word; beyond them it is worked out.
+#: What a byte counts at the first places of a word, row by row, white space nothing; beyond them it is worked out.
 _PLACES = 32
 _PLACED = mix(_VALUE[None, :] + np.arange(_PLACES, dtype=np.uint64)[:, None] * _STEP)
+_PLACED[:, _SPACE] = 0
+_PLACED = _PLACED.ravel()
+_WORD = ~_SPACE
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
@@ -42,17 +45,20 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
 
 def _hashed(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
-    word = ~_SPACE[b]
-    at = np.flatnonzero(word)
-    if not len(at):
+    word = _WORD.take(b)
+    new = word.copy()
+    np.greater(word[1:], word[:-1], out=new[1:])
+    first = np.flatnonzero(new)  # where each word starts
+    if not len(first):
         return np.zeros(0, np.uint64)
-    first = np.flatnonzero(word[at] & ~np.concatenate(([False], word[:-1]))[at])  # where in ``at`` each word starts
-    place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+    b, word, first = b[first[0] :], word[first[0] :], (first - first[0]).astype(np.int32)
+    # places run on over the white space after a word, which counts nothing
+    place = np.arange(len(b), dtype=np.int32) - np.repeat(first, np.diff(first, append=np.int32(len(b))))
     # a value that depends on byte and place, summed over the word
-    low = b[at]
-    value = _PLACED[np.minimum(place, _PLACES - 1), low]
-    far = np.flatnonzero(place >= _PLACES)
-    value[far] = mix(_VALUE[low[far]] + place[far].astype(np.uint64) * _STEP)
+    value = _PLACED.take((np.minimum(place, _PLACES - 1) << 8) + b)
+    if place.max() >= _PLACES:
+        far = np.flatnonzero((place >= _PLACES) & word)
+        value[far] = mix(_VALUE[b[far]] + place[far].astype(np.uint64) * _STEP)
     return mix(np.add.reduceat(value, first))
 
 
