@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from .strokes import CH, frame_of, pixels_of
 
 SCHEMA = "doc_id long, x int, y int, r int, g int, b int, a int"
 MAX_PIXELS = 100_000_000
+#: Pixels that leave a task at once.
+PART = 1 << 16
 
 
 def check_size(w: int, h: int) -> None:
@@ -26,14 +29,42 @@ def check_size(w: int, h: int) -> None:
         raise ValueError(f"a frame of {w} x {h} pixels is too large")
 
 
-def per_frame(px: DataFrame, w: int, h: int, f) -> DataFrame:
-    """``f(img)`` for each doc_id, the frame as a float array (h, w, 4)."""
+def in_parts(parts: Iterator[pd.DataFrame], w: int, h: int, f) -> Iterator[pd.DataFrame]:
+    """``f(img, mask)`` of a frame whose pixels come and go in parts.
+
+    Beside a part, only arrays of the frame are held: bytes while all values
+    are, floats otherwise. ``mask`` is where rows are marked as ``hole``; a
+    frame of no other rows gives none.
+    """
+    img, mask, doc_id, found = np.zeros((h, w, 4), np.uint8), np.zeros((h, w), bool), None, False
+    for pdf in parts:
+        hole, doc_id = pdf["hole"].to_numpy(bool), pdf["doc_id"].iloc[0]
+        y, x, v = pdf["y"].to_numpy(int), pdf["x"].to_numpy(int), pdf[list(CH)].to_numpy()
+        mask[y[hole], x[hole]] = True
+        y, x, v = y[~hole], x[~hole], v[~hole]
+        if len(v):
+            found = True
+            if img.dtype == np.uint8 and (v.dtype.kind != "i" or v.min() < 0 or v.max() > 255):
+                img = img.astype(float)
+            img[y, x] = v
+    if found:
+        flat = f(img, mask).reshape(-1, 4)
+        for low in range(0, len(flat), PART):
+            at, v = np.arange(low, min(len(flat), low + PART), dtype=np.int32), flat[low : low + PART].astype(np.int32)
+            yield pd.DataFrame({"doc_id": doc_id, "x": at % w, "y": at // w, **{c: v[:, k] for k, c in enumerate(CH)}})
+
+
+def per_frame(px: DataFrame, w: int, h: int, f, holes: DataFrame | None = None) -> DataFrame:
+    """``f(img, mask)`` for each doc_id: the frame as an array (h, w, 4), and where ``holes`` (doc_id, x, y) are."""
     check_size(w, h)
+    rows = px.select("doc_id", "x", "y", *CH, F.lit(False).alias("hole"))
+    if holes is not None:
+        rows = rows.unionByName(holes.select("doc_id", "x", "y", *[F.lit(0).alias(c) for c in CH], F.lit(True).alias("hole")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pixels_of(f(frame_of(pdf, w, h)), doc_id=pdf["doc_id"].iloc[0])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_parts(parts, w, h, f)
 
-    return px.groupBy("doc_id").applyInPandas(run, SCHEMA)
+    return rows.groupBy("doc_id").applyInPandas(run, SCHEMA)
 
 
 def dither_frame(img: np.ndarray) -> np.ndarray:
@@ -119,15 +150,15 @@ def grain_frame(img: np.ndarray, intensity: float = 18, seed: int = 1337) -> np.
 
 
 def dither(px: DataFrame, w: int, h: int) -> DataFrame:
-    return per_frame(px, w, h, dither_frame)
+    return per_frame(px, w, h, lambda img, _: dither_frame(img))
 
 
 def rain(px: DataFrame, w: int, h: int, density: float = 0.015, seed: int = 42, length: int = 14) -> DataFrame:
-    return per_frame(px, w, h, lambda img: rain_frame(img, density, seed, length))
+    return per_frame(px, w, h, lambda img, _: rain_frame(img, density, seed, length))
 
 
 def grain(px: DataFrame, w: int, h: int, intensity: float = 18, seed: int = 1337) -> DataFrame:
-    return per_frame(px, w, h, lambda img: grain_frame(img, intensity, seed))
+    return per_frame(px, w, h, lambda img, _: grain_frame(img, intensity, seed))
 
 
 def inpaint(px: DataFrame, mask: DataFrame, w: int, h: int, radius: int = 2) -> DataFrame:

@@ -1,6 +1,9 @@
 """Frames higher than an image file may be: files come in strips, tools that work frame by frame take them whole."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,42 @@ def test_bitmap_text_is_made_without_bringing_pixels_together(spark):
     assert "_glyph" in plan.split("Union")[1].split("Aggregate")[0]
     # a rim so wide that glyphs meet
     assert TX.bitmap_text(spark.createDataFrame([("AB",)], "text string"), 18, rim=5).groupBy("x", "y").count().filter("count > 1").count() == 0
+
+
+def parts(w, h, each=10_000):
+    """The pixels of a frame as a group brings them, every seventh a hole too."""
+    for low in range(0, w * h, each):
+        at = np.arange(low, min(w * h, low + each), dtype=np.int32)
+        px = pd.DataFrame({"doc_id": 7, "x": at % w, "y": at // w} | {c: at * k % 256 for c, k in zip("rgba", (3, 5, 7, 11))} | {"hole": False})
+        yield pd.concat([px, px[at % 7 == 0].assign(r=0, g=0, b=0, a=0, hole=True)])
+
+
+def held(f, w=64, h=H):
+    """Bytes a pixel that a frame tool holds at its peak."""
+    tracemalloc.start()
+    n = sum(len(p) for p in Q.in_parts(parts(w, h), w, h, f))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == w * h
+    return peak / n
+
+
+def test_frame_tools_hold_bytes(spark):
+    px = spark.range(60).selectExpr("id DIV 30 AS doc_id", "CAST(id % 5 AS INT) AS x", "CAST(id % 30 DIV 5 AS INT) AS y", "255 AS r", "0 AS g", "7 AS b", "9 AS a")
+    size = lambda d: {tuple(r) for r in Q.per_frame(d, 5, 6, lambda img, *_: np.full_like(img, img.itemsize)).select("r", "a").distinct().collect()}
+    assert size(px) == {(1, 1)}
+    assert size(px.withColumn("g", F.lit(256))) == {(8, 8)} == size(px.withColumn("g", F.lit(-1)))
+    assert held(lambda img, _: Q.rain_frame(img, 0.001)) < 20
+
+
+def test_rain_in_parts_is_rain_on_the_frame(spark, monkeypatch):
+    monkeypatch.setattr(Q, "PART", 50)
+    w, h, img = 20, 30, np.zeros((30, 20, 4))
+    for p in parts(w, h):
+        p = p[~p["hole"]]
+        img[p["y"], p["x"]] = p[list("rgba")]
+    got = list(Q.in_parts(parts(w, h, 70), w, h, lambda img, _: Q.rain_frame(img, 0.05)))
+    assert [len(p) for p in got] == [50] * 12
+    out = pd.concat(got)
+    assert (out["x"] + w * out["y"]).tolist() == list(range(w * h)) and set(out["doc_id"]) == {7}
+    assert np.array_equal(out[list("rgba")].to_numpy(), Q.rain_frame(img, 0.05).reshape(-1, 4))
