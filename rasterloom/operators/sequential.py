@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .strokes import CH, frame_of, pixels_of
+from .strokes import CH
 
 SCHEMA = "doc_id long, x int, y int, r int, g int, b int, a int"
 MAX_PIXELS = 100_000_000
@@ -163,16 +163,4 @@ def grain(px: DataFrame, w: int, h: int, intensity: float = 18, seed: int = 1337
 
 def inpaint(px: DataFrame, mask: DataFrame, w: int, h: int, radius: int = 2) -> DataFrame:
     """``mask``: (doc_id, x, y) of the pixels to fill."""
-    check_size(w, h)
-
-    def run(frame: pd.DataFrame, hole: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame(columns=["doc_id", "x", "y", *CH])
-        m = np.zeros((h, w), bool)
-        if len(hole):  # without holes the group has no columns either
-            m.reshape(-1)[hole["at"].to_numpy()] = True
-        return pixels_of(inpaint_frame(frame_of(frame, w, h), m, radius), doc_id=frame["doc_id"].iloc[0])
-
-    # one new column: where mask and frame come from one table, columns of one name would be taken for each other
-    holes = mask.select("doc_id", (F.col("y").cast("long") * w + F.col("x")).alias("at"))
-    return px.groupBy("doc_id").cogroup(holes.groupBy("doc_id")).applyInPandas(run, SCHEMA)
+    return per_frame(px, w, h, lambda img, hole: inpaint_frame(img, hole, radius), mask)

@@ -163,3 +163,28 @@ def test_rain_in_parts_is_rain_on_the_frame(spark, monkeypatch):
     out = pd.concat(got)
     assert (out["x"] + w * out["y"]).tolist() == list(range(w * h)) and set(out["doc_id"]) == {7}
     assert np.array_equal(out[list("rgba")].to_numpy(), Q.rain_frame(img, 0.05).reshape(-1, 4))
+
+
+def test_holes_come_with_their_frame(spark):
+    """Rebuilding layers gathers the frame and its holes in parts, not as two whole tables."""
+    from rasterloom.plans import pipelines as P
+
+    px = spark.range(42).selectExpr("CAST(id % 6 AS INT) AS x", "CAST(id DIV 6 AS INT) AS y", "CAST(id * 5 AS INT) AS r", "9 AS g", "8 AS b", "255 AS a")
+    split = px.withColumn("class", F.when(F.col("x") % 3 == 1, "red").otherwise("none"))
+    rebuilt = P.layer_rebuild(split, 6, 7)
+    assert "CoGroup" not in rebuilt._jdf.queryExecution().optimizedPlan().toString()
+    assert rebuilt.count() == 42 and not rebuilt.select(px.columns).exceptAll(px).count()
+    img, mask = np.zeros((7, 6, 4)), np.zeros((7, 6), bool)
+    for r in split.collect():
+        img[r["y"], r["x"]], mask[r["y"], r["x"]] = (r["r"], r["g"], r["b"], r["a"]), r["class"] == "red"
+    ground = P.layer_ground(split, 6, 7, 3)
+    assert {(r["x"], r["y"]): tuple(r)[2:] for r in ground.collect()} == {(x, y): tuple(v) for y, row in enumerate(Q.inpaint_frame(img, mask, 3)) for x, v in enumerate(row)}
+    assert held(lambda img, _: img) < 20
+
+
+def test_holes_without_a_frame(spark):
+    px = spark.createDataFrame([(d, x, 0, 50, 60, 70, 255) for d in (1, None) for x in range(3)], "doc_id long, x int, y int, r int, g int, b int, a int")
+    holes = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 2, 0), (8, 0, 0)], "doc_id long, x long, y long")
+    key = lambda r: str(tuple(r))
+    assert sorted(Q.inpaint(px, holes, 3, 1).collect(), key=key) == sorted(px.collect(), key=key)
+    assert Q.inpaint(px.limit(0), holes, 3, 1).count() == 0
